@@ -1,0 +1,6 @@
+"""All queries over the given tables, by name."""
+
+from ordina.catalog import preprocess_queries  # noqa: F401
+from ordina.catalog.registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
