@@ -396,7 +396,7 @@ def pseudo_label(spark, sf_dir):
 def sink_pseudo(spark, sf_dir):
     path = fresh_path(spark, "pseudo")
     tables.sink_pseudo(pseudo_label(spark, sf_dir), path)
-    return spark.read.parquet(path)
+    return tables.scan_gold(spark, path).select(*DOC_COLUMNS)
 
 
 ONLINE_COLUMNS = ["doc_id", "lang", "n_chars", "y", "fold_info"]
@@ -529,7 +529,7 @@ def _perm_sql(repeats: int = 3, seed: int = 0) -> str:
         ranks = "row_number() OVER (PARTITION BY fold ORDER BY md5('{key}' || id), id) AS rn"
         parts.append(
             f"SELECT {r} AS repeat, o.fold, o.y, o.a, o.b, p.a AS pa, p.b AS pb"
-            f" FROM (SELECT *, {ranks.format(key=f'{seed}-a{r}-')} FROM {source} s) o"
+            f" FROM (SELECT *, {ranks.format(key=f'{seed}-a-')} FROM {source} s) o"
             f" JOIN (SELECT *, {ranks.format(key=f'{seed}-b{r}-')} FROM {source} s) p"
             " ON o.fold = p.fold AND o.rn = p.rn"
         )

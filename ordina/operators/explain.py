@@ -9,7 +9,6 @@ from math import factorial
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +18,7 @@ from ordina.operators.metrics import qwk_classes
 from ordina.operators.models import PRED, FoldModel, TreeNodes, union_all
 from ordina.operators.ranking import shuffled_rank
 from ordina.operators.series import series_subset
+from ordina.session import written
 
 
 def rank_features(table: DataFrame, value: str, k: int | None = None) -> DataFrame:
@@ -68,23 +68,23 @@ def permuted_pairs(
 ) -> DataFrame:
     """Each row with the features of a random partner of its fold, once per repeat.
 
-    Two seeded orders of the fold are matched by rank. The partners of a repeat
-    are the same for all features, so the shuffles do not multiply with them.
+    Two seeded orders of the fold are matched by rank; the first one serves all
+    repeats. The partners of a repeat are the same for all features, so the
+    shuffles do not multiply with them.
     """
-    pairs = []
-    for r in range(repeats):
-        own = shuffled_rank(df, [fold_col], id_col, f"{seed}-a{r}-", "__rank")
-        other = shuffled_rank(
+    own = shuffled_rank(df, [fold_col], id_col, f"{seed}-a-", "__rank")
+    partner = F.struct(*[F.col(f"`{c}`") for c in features]).alias("__partner")
+    others = [
+        shuffled_rank(
             df.select(fold_col, id_col, *[f"`{c}`" for c in features]),
             [fold_col],
             id_col,
             f"{seed}-b{r}-",
             "__rank",
-        ).select(
-            fold_col, "__rank", F.struct(*[F.col(f"`{c}`") for c in features]).alias("__partner")
-        )
-        pairs.append(own.join(other, [fold_col, "__rank"]).withColumn("repeat", F.lit(r)))
-    return union_all(pairs).drop("__rank")
+        ).select(fold_col, "__rank", partner, F.lit(r).alias("repeat"))
+        for r in range(repeats)
+    ]
+    return own.join(union_all(others), [fold_col, "__rank"]).drop("__rank")
 
 
 def permutation_scores(
@@ -101,23 +101,19 @@ def permutation_scores(
     """`(feature, repeat, fold, qwk)` with the one feature shuffled inside the fold."""
     valid = df.withColumn("fold", validation_fold(info_col)).where(F.col("fold").isNotNull())
     pairs = permuted_pairs(valid, id_col, features, repeats, seed)
-    each = pairs.withColumn("feature", F.explode(F.lit(list(features))))
+    # Each model reads the pairs of its fold; the shuffles above run once.
+    pairs = written(pairs, "permuted", ["fold"])
+    each = pairs.withColumn("__at", F.explode(F.sequence(F.lit(0), F.lit(len(features) - 1))))
     mixed = each.withColumns(
         {
-            c: F.when(F.col("feature") == c, F.col("__partner").getField(c)).otherwise(
-                F.col(f"`{c}`")
-            )
-            for c in features
+            c: F.when(F.col("__at") == i, F.col("__partner").getField(c)).otherwise(F.col(f"`{c}`"))
+            for i, c in enumerate(features)
         }
     )
+    kept = ["__at", "repeat", "fold", target]
     scored = union_all(
-        [
-            m.score(mixed.where(F.col("fold") == m.fold)).select(
-                "feature", "repeat", "fold", target, PRED
-            )
-            for m in models
-        ]
-    )
+        [m.score(mixed.where(F.col("fold") == m.fold), PRED, kept) for m in models]
+    ).withColumn("feature", F.get(F.lit(list(features)), F.col("__at")))
     return qwk_classes(
         scored,
         round_half_even(target),
@@ -141,8 +137,8 @@ def permutation_importance(
     """`(feature, importance)`: mean fold kappa minus its mean over the shuffles."""
     valid = union_all(
         [
-            m.score(df.where(fold_entry(info_col, m.fold) == "v")).select(
-                F.lit(m.fold).alias("fold"), target, PRED
+            m.score(df.where(fold_entry(info_col, m.fold) == "v"), PRED, [target]).withColumn(
+                "fold", F.lit(m.fold)
             )
             for m in models
         ]
@@ -183,7 +179,7 @@ def contributions(
     parts = []
     for m in models:
         valid = df.where(fold_entry(info_col, m.fold) == "v")
-        vectors = m.space.assemble(valid).select(id_col, vector_to_array("features").alias("x"))
+        vectors = valid.select(id_col, F.expr(m.space.slots_sql).alias("x"))
         kind = vectors.schema[id_col].dataType.simpleString()
         parts.append(
             vectors.mapInPandas(

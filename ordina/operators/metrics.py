@@ -56,24 +56,21 @@ def kappa_of_cells(df: DataFrame, n_classes: int, out: str = "qwk") -> DataFrame
         *[total([cell(i, j) for i in grid]).alias(f"__col_{j}") for j in grid],
     )
     present = [((F.col(f"__row_{i}") + F.col(f"__col_{i}")) > 0).cast("bigint") for i in grid]
-    placed = margins.select(
-        "*",
-        *[
-            (total(present[:i]) if i else F.lit(0).cast("bigint")).alias(f"__pos_{i}")
-            for i in grid
-        ],
-    )
-    pos = [F.col(f"__pos_{i}") for i in grid]
+    # The first class has position 0 and adds to none of the sums but the count.
+    moved = grid[1:]
+    placed = margins.select("*", *[total(present[:i]).alias(f"__pos_{i}") for i in moved])
+    pos = [F.col(f"__pos_{i}") if i else None for i in grid]
     row = [F.col(f"__row_{i}") for i in grid]
     col = [F.col(f"__col_{i}") for i in grid]
+    weighted = [total([pos[j] * cell(i, j) for j in moved]) for i in grid]
     sums = placed.select(
         *keep,
         total(row).alias("__n"),
-        total([pos[i] * row[i] for i in grid]).alias("__t"),
-        total([pos[i] * col[i] for i in grid]).alias("__p"),
-        total([pos[i] * pos[i] * row[i] for i in grid]).alias("__tt"),
-        total([pos[i] * pos[i] * col[i] for i in grid]).alias("__pp"),
-        total([pos[i] * pos[j] * cell(i, j) for i in grid for j in grid]).alias("__tp"),
+        total([pos[i] * row[i] for i in moved]).alias("__t"),
+        total([pos[i] * col[i] for i in moved]).alias("__p"),
+        total([pos[i] * pos[i] * row[i] for i in moved]).alias("__tt"),
+        total([pos[i] * pos[i] * col[i] for i in moved]).alias("__pp"),
+        total([pos[i] * weighted[i] for i in moved]).alias("__tp"),
     )
     moments = [F.col(f"__{m}") for m in ("n", "t", "p", "tt", "pp", "tp")]
     return sums.select(*keep, kappa_from_sums(*moments).alias(out))

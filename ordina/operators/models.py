@@ -14,8 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark import cloudpickle, inheritable_thread_target
 from pyspark.ml.base import Estimator, Model
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,32 +56,43 @@ class FeatureSpace:
     def max_cardinality(self) -> int:
         return max((top + 2 for top in self.top_codes.values()), default=2)
 
-    def assemble(self, df: DataFrame, out: str = "features") -> DataFrame:
-        slots = []
-        for c, mean in self.fills.items():
-            slots.append(F.coalesce(_present(c), F.lit(float(mean))))
-        for c in self.flagged:
-            slots.append(_present(c).isNull().cast("double"))
-        nominal = {}
-        for c, top in self.top_codes.items():
-            code = F.col(f"`{c}`").cast("double")
-            nominal[len(slots)] = {"ml_attr": {"type": "nominal", "num_vals": top + 2}}
-            slots.append(F.when(code.between(0, top), code).otherwise(F.lit(float(top + 1))))
-        names = [f"__slot_{i}" for i in range(len(slots))]
-        wide = df.select(
-            "*",
-            *[
-                s.alias(n, metadata=nominal[i]) if i in nominal else s.alias(n)
-                for i, (n, s) in enumerate(zip(names, slots))
-            ],
-        )
-        return VectorAssembler(inputCols=names, outputCol=out).transform(wide).drop(*names)
+    @cached_property
+    def slots_sql(self) -> str:
+        """All slots as one array expression, parsed in a single step."""
+        slots = [f"coalesce({_present_sql(c)}, {float(m)!r}D)" for c, m in self.fills.items()]
+        slots += [f"CAST({_present_sql(c)} IS NULL AS DOUBLE)" for c in self.flagged]
+        slots += [
+            f"CASE WHEN `{c}` BETWEEN 0 AND {top} THEN CAST(`{c}` AS DOUBLE) ELSE {top + 1}D END"
+            for c, top in self.top_codes.items()
+        ]
+        return f"array({', '.join(slots)})"
+
+    @cached_property
+    def attributes(self) -> dict:
+        """ML attributes of the vector: which slots are nominal, and their sizes."""
+        first = len(self.fills) + len(self.flagged)
+        numeric = [{"idx": i, "name": f"slot_{i}"} for i in range(first)]
+        nominal = [
+            {"idx": first + i, "name": f"slot_{first + i}", "num_vals": top + 2}
+            for i, top in enumerate(self.top_codes.values())
+        ]
+        return {
+            "ml_attr": {
+                "attrs": {"numeric": numeric, "nominal": nominal},
+                "num_attrs": first + len(nominal),
+            }
+        }
 
+    def assemble(self, df: DataFrame, keep: Sequence[str] | None = None) -> DataFrame:
+        """`df`, or only its columns `keep`, with the vector column `features`."""
+        kept = ["*"] if keep is None else [f"`{c}`" for c in keep]
+        vector = array_to_vector(F.expr(self.slots_sql))
+        return df.select(*kept, vector.alias("features", metadata=self.attributes))
 
-def _present(column: str) -> Column:
+
+def _present_sql(column: str) -> str:
     """The value as a double, NaN counted as missing."""
-    x = F.col(f"`{column}`").cast("double")
-    return F.when(~F.isnan(x), x)
+    return f"nullif(CAST(`{column}` AS DOUBLE), double('NaN'))"
 
 
 def feature_spaces(
@@ -101,9 +111,9 @@ def feature_spaces(
         df.groupBy(info_col)
         .agg(
             F.count(F.lit(1)).alias("__rows"),
-            *[F.sum(_present(c)).alias(f"s{i}") for i, c in enumerate(numeric)],
-            *[F.count(_present(c)).alias(f"n{i}") for i, c in enumerate(numeric)],
-            *[F.max(f"`{c}`").cast("int").alias(f"m{i}") for i, c in enumerate(codes)],
+            *[F.expr(f"sum({_present_sql(c)}) AS s{i}") for i, c in enumerate(numeric)],
+            *[F.expr(f"count({_present_sql(c)}) AS n{i}") for i, c in enumerate(numeric)],
+            *[F.expr(f"CAST(max(`{c}`) AS INT) AS m{i}") for i, c in enumerate(codes)],
         )
         .collect()
     )
@@ -206,22 +216,19 @@ class FoldModel:
             for tree, w in list(zip(self.trees, self.weights))[:upto]
         ]
 
-    def leaves(self, df: DataFrame) -> DataFrame:
-        """Add `__leaf`, the leaf number in each tree as an array."""
-        wide = self.model.copy({self.model.leafCol: "__leafvec"}).transform(
-            self.space.assemble(df)
-        )
-        return wide.withColumn("__leaf", vector_to_array("__leafvec")).drop(
-            "__leafvec", "features", self.model.getPredictionCol()
-        )
+    def leaves(self, df: DataFrame, keep: Sequence[str]) -> DataFrame:
+        """`keep` and `__leaf`, the leaf number in each tree as an array."""
+        numbered = self.model.copy({self.model.leafCol: "__leafvec"})
+        wide = numbered.transform(self.space.assemble(df, keep))
+        return wide.select(*[f"`{c}`" for c in keep], vector_to_array("__leafvec").alias("__leaf"))
 
-    def score(self, df: DataFrame, out: str = PRED) -> DataFrame:
-        """`df` plus the prediction; no shuffle."""
+    def score(self, df: DataFrame, out: str = PRED, keep: Sequence[str] | None = None) -> DataFrame:
+        """`df`, or its columns `keep`, plus the prediction; no shuffle."""
+        keep = [c for c in (df.columns if keep is None else keep) if c != out]
+        kept = [f"`{c}`" for c in keep]
         if self.upto is None or not self.is_ensemble:
-            wide = self.model.transform(self.space.assemble(df))
-            made = self.model.getPredictionCol()
-            extra = [c for c in wide.columns if c not in (*df.columns, made)]
-            return wide.withColumn(out, F.col(made)).drop(*extra, made)
+            wide = self.model.transform(self.space.assemble(df, keep))
+            return wide.select(*kept, F.col(self.model.getPredictionCol()).alias(out))
         terms = self.tree_terms()
         table = F.from_json(F.lit(json.dumps(terms)), "array<array<double>>")
         each = F.transform(
@@ -230,7 +237,7 @@ class FoldModel:
         )
         total = F.aggregate(each, F.lit(0.0), lambda acc, x: acc + x)
         weight = sum(self.weights[: len(terms)]) if self.averages else 1.0
-        return self.leaves(df).withColumn(out, total / F.lit(weight)).drop("__leaf")
+        return self.leaves(df, keep).select(*kept, (total / F.lit(weight)).alias(out))
 
 
 def _tree_nodes(rows: list) -> TreeNodes:
@@ -265,8 +272,9 @@ class ExpressionModel:
     expression: Column
     upto: int | None = None
 
-    def score(self, df: DataFrame, out: str = PRED) -> DataFrame:
-        return df.withColumn(out, self.expression)
+    def score(self, df: DataFrame, out: str = PRED, keep: Sequence[str] | None = None) -> DataFrame:
+        kept = [f"`{c}`" for c in (df.columns if keep is None else keep) if c != out]
+        return df.select(*kept, self.expression.alias(out))
 
 
 def cv_fit(
@@ -287,14 +295,12 @@ def cv_fit(
 
     def fit(k: int) -> FoldModel:
         train = df.where(fold_entry(info_col, k) == "t")
-        used = train.select(
-            *[f"`{c}`" for c in spaces[k].features], F.col(target).cast("double").alias("__label")
-        )
-        model = estimator(spaces[k]).fit(spaces[k].assemble(used).select("features", "__label"))
+        labelled = train.withColumn("__label", F.col(target).cast("double"))
+        model = estimator(spaces[k]).fit(spaces[k].assemble(labelled, ["__label"]))
         return FoldModel(k, spaces[k], model)
 
     with ThreadPool(min(parallelism, n_fold)) as pool:
-        return pool.map(inheritable_thread_target(fit), range(n_fold))
+        return pool.map(inheritable_thread_target(df.sparkSession)(fit), range(n_fold))
 
 
 def boosted_trees(iterations: int = 20, depth: int = 3, step: float = 0.1, seed: int = 0):
@@ -343,12 +349,16 @@ def union_all(frames: Sequence[DataFrame]) -> DataFrame:
 
 
 def oof_predict(
-    models: Sequence, df: DataFrame, info_col: str = "fold_info", out: str = PRED
+    models: Sequence,
+    df: DataFrame,
+    info_col: str = "fold_info",
+    out: str = PRED,
+    keep: Sequence[str] | None = None,
 ) -> DataFrame:
     """Each fold's validation rows scored by that fold's model, with their `fold`."""
     return union_all(
         [
-            m.score(df.where(fold_entry(info_col, m.fold) == "v"), out).withColumn(
+            m.score(df.where(fold_entry(info_col, m.fold) == "v"), out, keep).withColumn(
                 "fold", F.lit(m.fold)
             )
             for m in models
@@ -360,7 +370,7 @@ def predict_folds(models: Sequence, df: DataFrame, id_col: str, model: str) -> D
     """`(id, fold, model, pred)`: every row scored by every fold's model."""
     return union_all(
         [
-            m.score(df).select(
+            m.score(df, PRED, [id_col]).select(
                 id_col, F.lit(m.fold).alias("fold"), F.lit(model).alias("model"), PRED
             )
             for m in models
@@ -409,9 +419,9 @@ def staged_metric(
     counted = []
     for m in models:
         valid = df.where(fold_entry(info_col, m.fold) == "v")
-        leaves = m.leaves(valid).select("__leaf", round_half_even(target).alias("y"))
+        leaves = m.leaves(valid, [target])
         counted.append(
-            leaves.mapInPandas(
+            leaves.select("__leaf", round_half_even(target).alias("y")).mapInPandas(
                 _stage_counter(m.tree_terms(), m.weights, m.averages, tuple(thresholds)),
                 "iter int, y int, p int, n bigint",
             ).withColumn("fold", F.lit(m.fold))

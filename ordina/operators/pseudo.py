@@ -35,15 +35,16 @@ def union_relaxed(*frames: DataFrame) -> DataFrame:
 def pseudo_rows(models: Sequence, df: DataFrame, target: str, columns: Sequence[str]) -> DataFrame:
     """Every row once per fold: the fold's raw score as target, training that fold only."""
     n_fold = len(models)
-    return union_all(
-        [
-            m.score(df, PRED)
-            .withColumn(target, F.col(PRED).cast("double"))
-            .withColumn("fold_info", F.lit(pseudo_fold_info(m.fold, n_fold)))
-            .select(*[f"`{c}`" for c in columns])
-            for m in models
-        ]
-    )
+    own = [c for c in columns if c not in (target, "fold_info")]
+    parts = []
+    for m in models:
+        made = {
+            target: F.col(PRED).cast("double").alias(target),
+            "fold_info": F.lit(pseudo_fold_info(m.fold, n_fold)).alias("fold_info"),
+        }
+        scored = m.score(df, PRED, own)
+        parts.append(scored.select(*[made.get(c, F.col(f"`{c}`")) for c in columns]))
+    return union_all(parts)
 
 
 def pseudo_label(

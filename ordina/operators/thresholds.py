@@ -5,14 +5,18 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import add, and_
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ordina.config import BASE_THRESHOLDS, THRESHOLD_HALF_WIDTH, THRESHOLD_POINTS
 from ordina.functions.features import linspace
-from ordina.operators.metrics import CELLS, kappa_of_cells
+from ordina.operators.metrics import CELLS, kappa_from_sums, kappa_of_cells
+
+MAX_FOLDS = 1_000
 
 
 @dataclass(frozen=True)
@@ -38,30 +42,38 @@ class ThresholdGrid:
 
     def rows(self, spark: SparkSession) -> DataFrame:
         """`(combo, t1, t2, ...)`, generated from the tuple number without a join."""
+        table = self._numbered(spark)
+        return table.select("combo", *[F.col(f"__v{i}").alias(n) for i, n in enumerate(self.names)])
+
+    def _numbered(self, spark: SparkSession) -> DataFrame:
+        """Tuples with their values `__v<i>` and positions `__at<i>` in `values`."""
         sizes = [len(a) for a in self.axes]
         total = math.prod(sizes)
-        ids = spark.range(total + (self.base is not None))
-        digits, stride = [], total
-        for size in sizes:
+        place = {v: i for i, v in enumerate(self.values)}
+        columns, stride = [], total
+        for i, (axis, size) in enumerate(zip(self.axes, sizes)):
             stride //= size
-            digits.append(F.expr(f"(id div {stride}L) % {size}L").cast("int"))
-        columns = []
-        for i, (axis, digit) in enumerate(zip(self.axes, digits)):
-            value = F.element_at(F.lit(list(axis)), digit + 1)
+            digit = f"CAST((id div {stride}L) % {size}L AS INT)"
+            value = f"get({_literals(axis)}, {digit})"
+            at = f"get(array({', '.join(str(place[v]) for v in axis)}), {digit})"
             if self.base is not None:
-                value = F.when(F.col("id") == total, F.lit(self.base[i])).otherwise(value)
-            columns.append(value.alias(self.names[i]))
-        table = ids.select(F.col("id").alias("combo"), *columns)
+                last = self.base[i]
+                value = f"CASE WHEN id = {total}L THEN {last!r}D ELSE {value} END"
+                at = f"CASE WHEN id = {total}L THEN {place[last]} ELSE {at} END"
+            columns += [f"{value} AS __v{i}", f"{at} AS __at{i}"]
+        ids = spark.range(total + (self.base is not None))
+        table = ids.selectExpr("id AS combo", *columns)
         if self.rising:
-            ordered = [F.col(a) < F.col(b) for a, b in zip(self.names, self.names[1:])]
-            is_base = F.col("combo") == total if self.base is not None else F.lit(False)
-            keep = ordered[0]
-            for o in ordered[1:]:
-                keep = keep & o
-            table = table.where(keep | is_base)
+            pairs = zip(range(len(self.axes)), range(1, len(self.axes)))
+            keep = reduce(and_, [F.col(f"__at{a}") < F.col(f"__at{b}") for a, b in pairs])
+            table = table.where(keep if self.base is None else keep | (F.col("combo") == total))
         return table
 
 
+def _literals(values: Sequence[float]) -> str:
+    return f"array({', '.join(f'{v!r}D' for v in values)})"
+
+
 def grid_cross(
     base: Sequence[float] = BASE_THRESHOLDS,
     half_width: float = THRESHOLD_HALF_WIDTH,
@@ -126,66 +138,91 @@ def pred_ge_threshold(
             F.raise_error(F.lit("a class lies outside the known range")).cast("boolean")
         )
     ).drop("__odd")
-    # Interval i holds the scores from threshold i-1 up to threshold i.
-    frame = counted.select(fold).distinct().select(
-        fold, F.explode(F.sequence(F.lit(0), F.lit(len(values)))).alias("__at")
-    )
-    filled = frame.join(counted, [fold, "__at"], "left").na.fill(0)
-    top_down = (
-        Window.partitionBy(fold)
-        .orderBy(F.col("__at").desc())
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # Interval i holds the scores from threshold i-1 up to threshold i, so a fold
+    # has at most one cell more than there are thresholds.
+    cells = counted.groupBy(fold).agg(
+        F.collect_list(F.struct("__at", *[f"__n_{i}" for i in range(n_classes)])).alias("__cells")
     )
-    whole = Window.partitionBy(fold)
-    summed = filled.select(
-        fold,
-        F.col("__at"),
-        *[F.sum(f"__n_{i}").over(top_down).alias(f"ge_{i}") for i in range(n_classes)],
-        *[F.sum(f"__n_{i}").over(whole).alias(f"all_{i}") for i in range(n_classes)],
+    each = cells.select(
+        fold, "__cells", F.explode(F.sequence(F.lit(1), F.lit(len(values)))).alias("__from")
     )
-    return summed.where(F.col("__at") > 0).select(
+
+    def total(i, at_least):
+        zero = F.lit(0).cast("bigint")
+        return F.aggregate(
+            "__cells",
+            zero,
+            lambda acc, c: acc + F.when(c["__at"] >= at_least, c[f"__n_{i}"]).otherwise(zero),
+        )
+
+    return each.select(
         fold,
-        (F.col("__at") - 1).alias("at"),
-        F.element_at(F.lit(values), F.col("__at")).alias("threshold"),
-        *[F.col(f"ge_{i}") for i in range(n_classes)],
-        *[F.col(f"all_{i}") for i in range(n_classes)],
+        (F.col("__from") - 1).alias("at"),
+        F.element_at(F.expr(_literals(values)), F.col("__from")).alias("threshold"),
+        *[total(i, F.col("__from")).alias(f"ge_{i}") for i in range(n_classes)],
+        *[total(i, F.lit(0)).alias(f"all_{i}") for i in range(n_classes)],
     )
 
 
-def grid_cells(
-    df: DataFrame, fold: str, y: str, pred: str, grid: ThresholdGrid
+def _fetched(df: DataFrame, fold: str, y: str, pred: str, grid: ThresholdGrid) -> list:
+    """The per-threshold counts: one small row per threshold and fold."""
+    n_classes = len(grid.axes) + 1
+    counts = pred_ge_threshold(df, fold, y, pred, grid.values, n_classes).drop("threshold")
+    most = MAX_FOLDS * len(grid.values)
+    rows = counts.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"{fold} has more than {MAX_FOLDS} values")
+    return rows
+
+
+def _joined(
+    spark: SparkSession, fold: str, grid: ThresholdGrid, schema: str, per_at: Sequence[str], rows
 ) -> DataFrame:
-    """Confusion cells of every tuple and fold: `(combo, t.., fold, cells)`.
+    """Tuples joined with the count rows of each of their thresholds.
 
-    The cost of the grid does not depend on the number of rows: it joins the
-    tuples with the per-threshold counts, once for each tuple position. Those
-    counts are `len(grid.values)` rows per fold, which bounds the broadcast.
+    The rows are `(fold, at, *per_at, *per_fold)`; `per_at` columns come back
+    once per tuple position as `<name>_<position>`.
     """
-    n_classes = len(grid.axes) + 1
-    counts = pred_ge_threshold(df, fold, y, pred, grid.values, n_classes)
-    values = F.lit(grid.values)
-    tuples = grid.rows(df.sparkSession)
+    counts = spark.createDataFrame(rows, schema).coalesce(1)
+    per_fold = [c for c in counts.columns if c not in (fold, "at", *per_at)]
     # A class needs its own and all lower thresholds passed, so a tuple that is
     # not sorted acts like its running maximum.
-    reached: list[Column] = []
-    for i, name in enumerate(grid.names):
-        top = F.greatest(*[F.col(t) for t in grid.names[: i + 1]]) if i else F.col(name)
-        reached.append((F.array_position(values, top).cast("int") - 1).alias(f"__at_{i}"))
-    table = tuples.select("*", *reached)
+    table = grid._numbered(spark)
     for i in range(len(grid.axes)):
+        parts = [F.col(f"__at{j}") for j in range(i + 1)]
+        reached = F.greatest(*parts) if i else parts[0]
         side = counts.select(
-            F.col(fold) if i == 0 else F.col(fold).alias(f"__fold_{i}"),
+            F.col(fold).alias(fold if i == 0 else f"__fold_{i}"),
             F.col("at").alias(f"__key_{i}"),
-            *[F.col(f"ge_{c}").alias(f"__ge_{i}_{c}") for c in range(n_classes)],
-            *([F.col(f"all_{c}") for c in range(n_classes)] if i == 0 else []),
+            *[F.col(c).alias(f"{c}_{i}") for c in per_at],
+            *(per_fold if i == 0 else []),
         )
-        on = F.col(f"__at_{i}") == F.col(f"__key_{i}")
+        on = reached == F.col(f"__key_{i}")
         if i:
-            on = on & F.col(fold).eqNullSafe(F.col(f"__fold_{i}"))
+            on = on & (F.col(fold) == F.col(f"__fold_{i}"))
         table = table.join(F.broadcast(side), on)
+    names = [F.col(f"__v{i}").alias(n) for i, n in enumerate(grid.names)]
+    made = [f"{c}_{i}" for i in range(len(grid.axes)) for c in per_at]
+    return table.select("combo", *names, fold, *made, *per_fold)
+
+
+def grid_cells(
+    df: DataFrame, fold: str, y: str, pred: str, grid: ThresholdGrid, rows: list | None = None
+) -> DataFrame:
+    """Confusion cells of every tuple and fold: `(combo, t.., fold, cells)`.
+
+    The cost of the grid does not depend on the number of rows: it joins the
+    tuples with the per-threshold counts, once for each tuple position.
+    """
+    n = len(grid.axes) + 1
+    rows = _fetched(df, fold, y, pred, grid) if rows is None else rows
+    ge, every = [f"ge_{c}" for c in range(n)], [f"all_{c}" for c in range(n)]
+    schema = f"`{fold}` {df.schema[fold].dataType.simpleString()}, at int"
+    schema += "".join(f", {c} bigint" for c in [*ge, *every])
+    table = _joined(df.sparkSession, fold, grid, schema, ge, rows)
     steps = [
-        [F.col(f"all_{c}"), *[F.col(f"__ge_{i}_{c}") for i in range(len(grid.axes))], F.lit(0)]
-        for c in range(n_classes)
+        [F.col(f"all_{c}"), *[F.col(f"ge_{c}_{i}") for i in range(n - 1)], F.lit(0)]
+        for c in range(n)
     ]
     return table.select(
         "combo",
@@ -193,17 +230,59 @@ def grid_cells(
         fold,
         *[
             (steps[c][p] - steps[c][p + 1]).alias(CELLS.format(c, p))
-            for c in range(n_classes)
-            for p in range(n_classes)
+            for c in range(n)
+            for p in range(n)
         ],
     )
 
 
+def _grid_moments(
+    df: DataFrame, fold: str, grid: ThresholdGrid, rows: list
+) -> DataFrame:
+    """Kappa of every tuple and fold when all classes occur in every fold.
+
+    Then a class is its own position, and with `c` rows and label sum `s` at or
+    above each threshold the moments are sums over the thresholds: `p` of `c`,
+    `p*p` of `(2i+1) c` and `t*p` of `s`.
+    """
+    n = len(grid.axes) + 1
+    lean = []
+    for r in rows:
+        above, every = [r[f"ge_{c}"] for c in range(n)], [r[f"all_{c}"] for c in range(n)]
+        lean.append(
+            (
+                r[fold],
+                r["at"],
+                sum(above),
+                sum(c * k for c, k in enumerate(above)),
+                sum(every),
+                sum(c * k for c, k in enumerate(every)),
+                sum(c * c * k for c, k in enumerate(every)),
+            )
+        )
+    kind = df.schema[fold].dataType.simpleString()
+    schema = f"`{fold}` {kind}, at int, c bigint, s bigint, n bigint, t bigint, tt bigint"
+    table = _joined(df.sparkSession, fold, grid, schema, ["c", "s"], lean)
+    at = range(n - 1)
+    p = reduce(add, [F.col(f"c_{i}") for i in at])
+    pp = reduce(add, [F.col(f"c_{i}") * (2 * i + 1) for i in at])
+    tp = reduce(add, [F.col(f"s_{i}") for i in at])
+    kappa = kappa_from_sums(F.col("n"), F.col("t"), p, F.col("tt"), pp, tp)
+    return table.select("combo", *grid.names, fold, kappa.alias("qwk"))
+
+
 def grid_scores(
     df: DataFrame, fold: str, y: str, pred: str, grid: ThresholdGrid
 ) -> DataFrame:
     """Mean over the folds of each tuple's kappa; null if one fold has none."""
-    scored = kappa_of_cells(grid_cells(df, fold, y, pred, grid), len(grid.axes) + 1)
+    n = len(grid.axes) + 1
+    whole, partial = [], []
+    for r in _fetched(df, fold, y, pred, grid):
+        (whole if all(r[f"all_{c}"] for c in range(n)) else partial).append(r)
+    scored = _grid_moments(df, fold, grid, whole)
+    if partial:
+        rest = kappa_of_cells(grid_cells(df, fold, y, pred, grid, partial), n)
+        scored = scored.unionByName(rest) if whole else rest
     all_defined = F.count("qwk") == F.count(F.lit(1))
     return scored.groupBy("combo", *grid.names).agg(
         F.when(all_defined, F.avg("qwk")).alias("score")

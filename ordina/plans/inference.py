@@ -31,9 +31,10 @@ def search_blend(
     digits: int | None = None,
 ) -> DataFrame:
     """Best threshold tuple of the blended validation scores."""
+    keep = [roles.id_col, roles.target]
     keyed = [
-        models.oof_predict(fitted, gold).select(
-            roles.id_col, "fold", F.col(roles.target).cast("int").alias(roles.target), PRED
+        models.oof_predict(fitted, gold, keep=keep).withColumn(
+            roles.target, F.col(roles.target).cast("int")
         )
         for fitted in members.values()
     ]

@@ -17,7 +17,7 @@ from ordina.operators.series import (
 )
 from ordina.plans.row_features import AGE, row_features
 from ordina.session import written
-from ordina.sources.tables import sink_gold, sink_test
+from ordina.sources.tables import sink_table, sink_test
 
 
 def summarise_series(series: DataFrame, roles: ColumnRoles, **options) -> DataFrame:
@@ -63,8 +63,8 @@ def prepare_training(
     features = written(build_features(subjects, series, roles, True, zero), "features")
     labelled = assign_folds(features.where(F.col(roles.target).isNotNull()), roles, seed)
     unlabelled = features.where(F.col(roles.target).isNull())
-    sink_test(labelled, gold_path)
-    sink_test(unlabelled, unlabelled_path)
+    sink_table(labelled, gold_path, ["fold_info"])
+    sink_table(unlabelled, unlabelled_path)
 
 
 def prepare_test(
@@ -72,12 +72,3 @@ def prepare_test(
 ) -> None:
     sink_test(build_features(subjects, series, roles, False, zero), test_path)
 
-
-__all__ = [
-    "assign_folds",
-    "build_features",
-    "prepare_test",
-    "prepare_training",
-    "sink_gold",
-    "summarise_series",
-]

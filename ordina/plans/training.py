@@ -64,9 +64,8 @@ def fit_round(
         best_iter, base_score = found["best_iter"], found["mean"]
         fitted = models.shrink_to_best(fitted, best_iter)
         tables |= {"curve": curve, "best_iteration": summary}
-    scored = models.oof_predict(fitted, gold).select(
-        roles.id_col, "fold", F.col(roles.target).cast("int").alias(roles.target), PRED
-    )
+    scored = models.oof_predict(fitted, gold, keep=[roles.id_col, roles.target])
+    scored = scored.withColumn(roles.target, F.col(roles.target).cast("int"))
     best = threshold_search(scored, "fold", roles.target, PRED, member.grid)
     if base_score is not None:
         best = threshold_gain(best, base_score)

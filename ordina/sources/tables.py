@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ordina.config import ColumnRoles, series_schema, subject_schema
+from ordina.config import series_schema, subject_schema
 
 
 def scan_subjects(
@@ -50,17 +50,26 @@ def lookup_mapper(spark: SparkSession, path: str, part: str = "main") -> dict[st
     return {c: dict(m) for c, m in json.loads(text)[part].items()}
 
 
-def sink_table(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").parquet(path)
+def sink_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
+    df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
 
 
 def sink_gold(df: DataFrame, target: str, gold_path: str, unlabelled_path: str) -> None:
-    """Labelled rows to one table, rows without target (and without folds) to another."""
-    sink_table(df.where(F.col(target).isNotNull()), gold_path)
+    """Labelled rows to one table, rows without target (and without folds) to another.
+
+    The labelled table gets one folder per `fold_info`, so reading the rows of
+    one fold skips the files of the others.
+    """
+    folders = ["fold_info"] if "fold_info" in df.columns else []
+    sink_table(df.where(F.col(target).isNotNull()), gold_path, folders)
     sink_table(df.where(F.col(target).isNull()).drop("fold_info"), unlabelled_path)
 
 
-sink_test = sink_pseudo = sink_table
+sink_test = sink_table
+
+
+def sink_pseudo(df: DataFrame, path: str) -> None:
+    sink_table(df, path, ["fold_info"])
 
 
 def sink_submission(
@@ -84,7 +93,3 @@ def write_series(df: DataFrame, root: str, id_col: str = "id") -> None:
     """
     salt = F.pmod(F.xxhash64(*[c for c in df.columns if c != id_col]), F.lit(16))
     df.repartition(F.col(id_col), salt).write.partitionBy(id_col).parquet(root)
-
-
-def roles_with_maps(label_maps: dict[str, dict[str, int]]) -> ColumnRoles:
-    return ColumnRoles(label_maps=label_maps)
