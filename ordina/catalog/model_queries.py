@@ -74,7 +74,7 @@ def oof_predict_fitted(spark, sf_dir):
 
 def member(name: str) -> training.Member:
     estimators = {"boosted": models.boosted_trees(8, 3, 0.3), "forest": models.forest(8, 4)}
-    return training.Member(name, estimators[name])
+    return training.Member(name, estimators[name], text_categories=name == "forest")
 
 
 def fitted(spark, sf_dir, name: str = "boosted") -> tuple[pseudo.Round, dict]:

@@ -6,7 +6,7 @@ import json
 import math
 import sys
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
 from functools import cached_property, reduce
 from multiprocessing.pool import ThreadPool
 
@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ordina.config import BASE_THRESHOLDS
 from ordina.functions.classes import fold_entry, round_half_even, round_to_class
+from ordina.operators.encode import categories, fill_none_columns
 from ordina.operators.metrics import cell_counts, kappa_of_cells
 from ordina.session import fresh_path
 
@@ -36,25 +37,35 @@ class FeatureSpace:
     A numeric column is filled with its train mean and, if it had missing train
     values, followed by a 0/1 slot that says so. A code keeps its value as a
     nominal slot; a missing code and one above the train maximum become
-    `max + 1`.
+    `max + 1`. A text category becomes its position among the train values, of
+    which `none` for a missing value is one; an unseen value takes the last slot
+    value.
     """
 
     fills: dict[str, float]
     flagged: tuple[str, ...]
     top_codes: dict[str, int]
+    labels: dict[str, tuple[str, ...]] = field(default_factory=dict)
 
     @property
     def features(self) -> list[str]:
-        return [*self.fills, *self.top_codes]
+        return [*self.fills, *self.top_codes, *self.labels]
 
     @property
     def slot_owners(self) -> list[str]:
         """The feature each vector slot belongs to."""
-        return [*self.fills, *self.flagged, *self.top_codes]
+        return [*self.fills, *self.flagged, *self.top_codes, *self.labels]
+
+    @property
+    def cardinalities(self) -> list[int]:
+        """Sizes of the nominal slots, in vector order."""
+        return [top + 2 for top in self.top_codes.values()] + [
+            len(known) + 1 for known in self.labels.values()
+        ]
 
     @property
     def max_cardinality(self) -> int:
-        return max((top + 2 for top in self.top_codes.values()), default=2)
+        return max(self.cardinalities, default=2)
 
     @cached_property
     def slots_sql(self) -> str:
@@ -65,21 +76,28 @@ class FeatureSpace:
             f"CASE WHEN `{c}` BETWEEN 0 AND {top} THEN CAST(`{c}` AS DOUBLE) ELSE {top + 1}D END"
             for c, top in self.top_codes.items()
         ]
+        for c, known in self.labels.items():
+            texts = ", ".join(_text_literal(v) for v in known)
+            value = f"coalesce(CAST(`{c}` AS STRING), 'none')"
+            at = f"nullif(array_position(array({texts}), {value}), 0) - 1"
+            slots.append(f"CAST(coalesce({at}, {len(known)}) AS DOUBLE)")
         return f"array({', '.join(slots)})"
 
     @cached_property
     def attributes(self) -> dict:
         """ML attributes of the vector: which slots are nominal, and their sizes."""
         first = len(self.fills) + len(self.flagged)
-        numeric = [{"idx": i, "name": f"slot_{i}"} for i in range(first)]
-        nominal = [
-            {"idx": first + i, "name": f"slot_{first + i}", "num_vals": top + 2}
-            for i, top in enumerate(self.top_codes.values())
-        ]
+        attrs = {
+            "numeric": [{"idx": i, "name": f"slot_{i}"} for i in range(first)],
+            "nominal": [
+                {"idx": first + i, "name": f"slot_{first + i}", "num_vals": size}
+                for i, size in enumerate(self.cardinalities)
+            ],
+        }
         return {
             "ml_attr": {
-                "attrs": {"numeric": numeric, "nominal": nominal},
-                "num_attrs": first + len(nominal),
+                "attrs": {kind: listed for kind, listed in attrs.items() if listed},
+                "num_attrs": first + len(self.cardinalities),
             }
         }
 
@@ -95,18 +113,38 @@ def _present_sql(column: str) -> str:
     return f"nullif(CAST(`{column}` AS DOUBLE), double('NaN'))"
 
 
+def _text_literal(value: str) -> str:
+    escaped = value.replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{escaped}'"
+
+
 def feature_spaces(
     df: DataFrame,
     numeric: Sequence[str],
     codes: Sequence[str],
     n_fold: int,
     info_col: str = "fold_info",
+    as_text: bool = False,
 ) -> list[FeatureSpace]:
     """The feature space of every fold's train rows, from one pass over the table.
 
     Sums are grouped by `fold_info`, which has a handful of values, and added up
-    per fold from there.
+    per fold from there. With `as_text` the codes are text categories.
     """
+    spaces = _numeric_spaces(df, numeric, () if as_text else codes, n_fold, info_col)
+    if not as_text or not codes:
+        return spaces
+    out = []
+    for k, space in enumerate(spaces):
+        train = fill_none_columns(df.where(fold_entry(info_col, k) == "t"), codes)
+        known = {c: tuple(v) for c, v in categories(train, codes).items()}
+        out.append(replace(space, labels=known))
+    return out
+
+
+def _numeric_spaces(
+    df: DataFrame, numeric: Sequence[str], codes: Sequence[str], n_fold: int, info_col: str
+) -> list[FeatureSpace]:
     parts = (
         df.groupBy(info_col)
         .agg(
@@ -286,12 +324,13 @@ def cv_fit(
     n_fold: int,
     info_col: str = "fold_info",
     parallelism: int = 4,
+    as_text: bool = False,
 ) -> list[FoldModel]:
     """One regressor per fold, fitted on the fold's train rows.
 
     Folds are independent Spark jobs, so a few of them are submitted at once.
     """
-    spaces = feature_spaces(df, numeric, codes, n_fold, info_col)
+    spaces = feature_spaces(df, numeric, codes, n_fold, info_col, as_text)
 
     def fit(k: int) -> FoldModel:
         train = df.where(fold_entry(info_col, k) == "t")

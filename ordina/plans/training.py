@@ -23,12 +23,13 @@ from ordina.sources.tables import scan_gold, sink_pseudo, sink_results
 
 @dataclass
 class Member:
-    """One model of the blend: a name, an estimator and its thresholds."""
+    """One model of the blend: a name, an estimator, its thresholds and how it takes codes."""
 
     name: str
     estimator: Callable
     thresholds: tuple[float, ...] = BASE_THRESHOLDS
     grid: ThresholdGrid = field(default_factory=grid_cross)
+    text_categories: bool = False
 
 
 def feature_roles(df: DataFrame, roles: ColumnRoles) -> tuple[list[str], list[str]]:
@@ -52,7 +53,15 @@ def fit_round(
     quality.check_finite(gold, [*numeric, *codes])
     if not online:
         quality.check_no_leaks(gold, roles.id_col, roles.n_fold)
-    fitted = models.cv_fit(gold, numeric, codes, roles.target, member.estimator, roles.n_fold)
+    fitted = models.cv_fit(
+        gold,
+        numeric,
+        codes,
+        roles.target,
+        member.estimator,
+        roles.n_fold,
+        as_text=member.text_categories,
+    )
     tables = {}
     best_iter = None
     base_score = None
