@@ -44,7 +44,8 @@ def round_to_class(pred: ColumnLike, thresholds: Sequence[float]) -> Column:
 
 
 def round_half_even(pred: ColumnLike) -> Column:
-    return F.bround(_c(pred)).cast("int")
+    """Nearest integer, ties to even; NaN has none and gives null."""
+    return F.bround(_c(pred)).try_cast("int")
 
 
 def ordinal_target(label: ColumnLike, n: int) -> Column:

@@ -22,7 +22,7 @@ from ordina.config import BASE_THRESHOLDS
 from ordina.functions.classes import fold_entry, round_half_even, round_to_class
 from ordina.operators.encode import categories, fill_none_columns
 from ordina.operators.metrics import cell_counts, kappa_of_cells
-from ordina.session import fresh_path
+from ordina.session import fresh_path, shared_dir
 
 PRED = "pred"
 
@@ -331,6 +331,7 @@ def cv_fit(
     Folds are independent Spark jobs, so a few of them are submitted at once.
     """
     spaces = feature_spaces(df, numeric, codes, n_fold, info_col, as_text)
+    shared_dir(df.sparkSession)  # boosting checkpoints its residuals there
 
     def fit(k: int) -> FoldModel:
         train = df.where(fold_entry(info_col, k) == "t")

@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ordina.operators.ranking import running_total
-from ordina.session import COMPACT_BYTES, planned_bytes
+from ordina.session import COMPACT_BYTES, planned_bytes, written
 
-ACCURACY = 10_000
+ACCURACY = 1_000
 SLICES = 1024
+SALTS = 64
 
 
 def exact_quantiles(
@@ -19,6 +20,7 @@ def exact_quantiles(
     keys: Sequence[str],
     columns: Sequence[str],
     probs: Sequence[float] = (0.5,),
+    spread_by: Sequence[str] = (),
     compact_bytes: int = COMPACT_BYTES,
     accuracy: int = ACCURACY,
 ) -> DataFrame:
@@ -29,43 +31,91 @@ def exact_quantiles(
 
     Spark's exact `percentile` keeps every distinct value of a group in one
     task. That is used only while the whole input is small. Otherwise a mergeable
-    sketch brackets each wanted rank, a second pass counts what lies below the
-    bracket and keeps the values inside it, and a running total over those few
-    values picks the exact ones.
+    sketch brackets each wanted rank and `refine` finds the exact values.
     """
     for key in keys:
         df = df.where(F.col(key).isNotNull())
     if planned_bytes(df) <= compact_bytes:
         at = F.array(*[F.lit(float(p)) for p in probs])
         return df.groupBy(*keys).agg(*[F.percentile(c, at).alias(c) for c in columns])
-    return _bracketed(df, list(keys), list(columns), list(probs), accuracy)
+    table = df.groupBy(*keys).agg(*sketches(columns, probs, accuracy))
+    if keys:
+        table = written(table, "sketch")
+    return refine(df, table, keys, columns, probs, spread_by)
 
 
-def _bracketed(
-    df: DataFrame, keys: list[str], columns: list[str], probs: list[float], accuracy: int
-) -> DataFrame:
-    # The sketch may miss a rank by 1/accuracy of the group; stay twice as far away.
+def sketches(
+    columns: Sequence[str], probs: Sequence[float] = (0.5,), accuracy: int = ACCURACY
+) -> list[Column]:
+    """Aggregates that bracket every wanted rank, one struct `__sketch_<i>` per column."""
+    # A sketch may miss a rank by 1/accuracy of the group; stay twice as far away.
     margin = 2.0 / accuracy
     cuts = [c for p in probs for c in (max(0.0, p - margin), min(1.0, p + margin))]
-    sketch = df.groupBy(*keys).agg(
-        *[
-            F.struct(
-                F.count(c).alias("n"), F.percentile_approx(c, cuts, accuracy).alias("cuts")
-            ).alias(f"__sketch_{i}")
-            for i, c in enumerate(columns)
-        ]
-    )
+    return [
+        F.struct(
+            F.count(c).alias("n"),
+            F.percentile_approx(F.col(c).cast("double"), cuts, accuracy).alias("cuts"),
+        ).alias(f"__sketch_{i}")
+        for i, c in enumerate(columns)
+    ]
+
+
+def _with_bounds(
+    df: DataFrame,
+    table: DataFrame,
+    keys: Sequence[str],
+    columns: Sequence[str],
+    spread_by: Sequence[str],
+) -> DataFrame:
+    """Rows next to the sketches of their group.
+
+    A sketch table below the session's broadcast limit is broadcast. A larger one
+    is joined on the key and a salt, so a group with a large share of all rows
+    is spread over many tasks. The salt is a hash of the row's own values, so a
+    task that runs again puts each row where it was.
+    """
+    names = [f"__sketch_{i}" for i in range(len(columns))]
+    table = table.select(*keys, *names)
+    limit = _broadcast_limit(df)
+    if 0 < planned_bytes(table) <= limit:
+        return df.select(*keys, *columns).join(F.broadcast(table), list(keys))
+    salt = F.pmod(F.xxhash64(*dict.fromkeys([*columns, *spread_by])), F.lit(SALTS)).cast("int")
+    rows = df.select(*keys, *columns, salt.alias("__salt"))
+    copies = table.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.join(copies, [*keys, "__salt"])
+
+
+def _broadcast_limit(df: DataFrame) -> int:
+    """The session's broadcast threshold in bytes; negative when it is off."""
+    return int(df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold())
+
+
+def refine(
+    df: DataFrame,
+    table: DataFrame,
+    keys: Sequence[str],
+    columns: Sequence[str],
+    probs: Sequence[float] = (0.5,),
+    spread_by: Sequence[str] = (),
+) -> DataFrame:
+    """Exact quantiles from the rows and the table of their groups' sketches.
+
+    One pass counts what lies below each bracket and keeps the values inside it;
+    a running total over those few values picks the wanted ones.
+    """
+    keys, columns, probs = list(keys), list(columns), list(probs)
     if keys:
-        rows = df.select(*keys, *columns).join(sketch, keys)
+        rows = _with_bounds(df, table, keys, columns, spread_by)
         bounds = [F.col(f"__sketch_{i}") for i in range(len(columns))]
     else:
         # One row of a few numbers: carried as literals instead of a join.
-        only = sketch.first()
+        only = table.first()
         rows = df.select(*columns)
+        empty = [None] * (2 * len(probs))
         bounds = [
             F.struct(
                 F.lit(only[i]["n"]).alias("n"),
-                F.lit(only[i]["cuts"] or [None] * len(cuts)).cast("array<double>").alias("cuts"),
+                F.lit(only[i]["cuts"] or empty).cast("array<double>").alias("cuts"),
             )
             for i in range(len(columns))
         ]
@@ -94,6 +144,7 @@ def _bracketed(
             )
     cell = [*keys, "column", "prob", "size"]
     # All values below a bracket fall into one row (slice -1, null value) of this table.
+    # It is small and used twice, so it is written rather than computed twice.
     counted = (
         rows.select(*keys, F.explode(F.array(*candidates)).alias("c"))
         .where(F.col("c").isNotNull())
@@ -101,6 +152,7 @@ def _bracketed(
         .groupBy(*cell, "slice", "value")
         .agg(F.count(F.lit(1)).alias("n"))
     )
+    counted = written(counted, "ranks")
     ranked = running_total(counted, cell, ["slice"], ["value"], F.col("n"), "upto")
     position = F.element_at(F.array(*[F.lit(float(p)) for p in probs]), F.col("prob") + 1) * (
         F.col("size") - 1
@@ -122,7 +174,7 @@ def _bracketed(
     result = wide.groupBy(*keys).agg(*arrays)
     if not keys:
         return result
-    return sketch.select(*keys).join(result, keys, "left")
+    return table.select(*keys).join(result, keys, "left")
 
 
 def _array_of(column: int, n_probs: int) -> Column:

@@ -17,8 +17,8 @@ from ordina.config import (
     SIGNALS,
 )
 from ordina.functions.features import feat_norm2d
-from ordina.operators.quantiles import exact_quantiles
-from ordina.session import COMPACT_BYTES, planned_bytes
+from ordina.operators.quantiles import refine, sketches
+from ordina.session import COMPACT_BYTES, planned_bytes, written
 
 
 def filter_near_anchor(
@@ -49,10 +49,11 @@ def series_summary(
 ) -> DataFrame:
     """min, max, mean, std, median of the worn samples plus wear and coverage.
 
-    A small input is summarised in one pass. A large one in three aggregates
-    that all shuffle partial results only: the algebraic part, the days per
-    subject (grouped by day first, so no task holds a set of days) and the exact
-    medians. All three are hashed on the id, so joining them moves nothing.
+    A small input is summarised in one pass. A large one in three passes that
+    shuffle partial results only, so an id with any share of the rows is no
+    problem: the algebraic part with the median sketches (written to the shared
+    folder), the days per id (grouped by day first, so no task holds a set of
+    days) and the exact medians.
     """
     df = df.where(F.col(id_col).isNotNull())
     worn = F.col(flag_col) == 0
@@ -62,6 +63,7 @@ def series_summary(
         flag_col,
         day_col,
         *mean_cols,
+        *[c for c in ("time_of_day",) if c in df.columns],
         *[F.when(worn, F.col(s)).cast("double").alias(m) for s, m in zip(signals, medians)],
     )
     is_worn = F.coalesce(worn.cast("int"), F.lit(0))
@@ -97,14 +99,17 @@ def series_summary(
             n_days(is_worn == 1).alias("__worn_days"),
         )
     else:
-        base = samples.groupBy(id_col).agg(*stats, *plain)
+        base = written(
+            samples.groupBy(id_col).agg(*stats, *plain, *sketches(medians)), "series-base"
+        )
         days = (
             samples.groupBy(id_col, day_col)
             .agg(F.max(is_worn).alias("worn"))
             .groupBy(id_col)
             .agg(F.count(F.lit(1)).alias("__days"), F.sum("worn").alias("__worn_days"))
         )
-        middle = exact_quantiles(samples, [id_col], medians, compact_bytes=compact_bytes)
+        spread_by = [day_col, *[c for c in ("time_of_day",) if c in samples.columns]]
+        middle = refine(samples, base, [id_col], medians, spread_by=spread_by)
         middle = middle.select(id_col, *[F.get(m, F.lit(0)).alias(m) for m in medians])
         grouped = base.join(days, id_col).join(middle, id_col)
 

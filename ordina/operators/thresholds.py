@@ -118,7 +118,8 @@ def pred_ge_threshold(
     """
     values = sorted(set(values))
     inner = "__interval"
-    score = F.coalesce(F.col(pred).cast("double"), F.lit(float("nan")))
+    # Adding zero turns -0.0, which the interval search puts below 0.0, into 0.0.
+    score = F.coalesce(F.col(pred).cast("double") + F.lit(0.0), F.lit(float("nan")))
     scored = df.select(fold, F.col(y).cast("int").alias("__y"), score.alias("__score"))
     intervals = Bucketizer(
         splits=[float("-inf"), *values, float("inf")],
