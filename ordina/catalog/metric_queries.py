@@ -134,28 +134,53 @@ def grid_sql(grid: thresholds.ThresholdGrid) -> str:
     return f"({text})"
 
 
+def _joined_sql(parts) -> str:
+    return " + ".join(parts)
+
+
 def scores_sql(grid: thresholds.ThresholdGrid, source: str) -> str:
     """Mean kappa of every tuple, from per-threshold counts per fold and label.
 
-    All four labels take part in every fold, so positions are the classes.
+    A label that is on neither side takes no position, as in `kappa_sql`.
     """
+    four = range(4)
+    at_least = ", ".join(
+        f"count(*) FILTER (WHERE pred >= t AND y = {i}) AS g{i}" for i in four
+    )
+    total = ", ".join(f"count(*) FILTER (WHERE y = {i}) AS a{i}" for i in four)
+    steps = {i: [f"base.a{i}", f"a.g{i}", f"b.g{i}", f"d.g{i}", "0"] for i in four}
+    cells = ", ".join(
+        f"{steps[i][j]} - {steps[i][j + 1]} AS c{i}{j}" for i in four for j in four
+    )
+    rows = ", ".join(f"{_joined_sql(f'c{i}{j}' for j in four)} AS r{i}" for i in four)
+    cols = ", ".join(f"{_joined_sql(f'c{i}{j}' for i in four)} AS q{j}" for j in four)
+    present = [f"CAST(r{i} + q{i} > 0 AS INT)" for i in four]
+    places = ", ".join(f"{_joined_sql(['0', *present[:i]])} AS p{i}" for i in four)
+    moments = {
+        "n": _joined_sql(f"r{i}" for i in four),
+        "t": _joined_sql(f"p{i} * r{i}" for i in four),
+        "p": _joined_sql(f"p{i} * q{i}" for i in four),
+        "squares": _joined_sql(f"p{i} * p{i} * (r{i} + q{i})" for i in four),
+        "tp": _joined_sql(f"p{i} * p{j} * c{i}{j}" for i in four for j in four),
+    }
+    sums = ", ".join(f"CAST({e} AS DOUBLE) AS {m}" for m, e in moments.items())
+    kappa = "1 - (squares - 2 * tp) / nullif(squares - 2 * t * p / n, 0)"
     return f"""(
       WITH rows AS (SELECT fold, y, pred FROM {source} r),
       grid AS {grid_sql(grid)},
       cuts AS (SELECT DISTINCT t FROM (SELECT t1 AS t FROM grid UNION ALL SELECT t2 FROM grid
                                        UNION ALL SELECT t3 FROM grid) u),
-      counts AS (SELECT fold, t, count(*) FILTER (WHERE pred >= t) AS c,
-                        coalesce(sum(y) FILTER (WHERE pred >= t), 0) AS s
-                 FROM rows, cuts GROUP BY fold, t),
-      base AS (SELECT fold, count(*) AS n, sum(y) AS t, sum(y * y) AS tt FROM rows GROUP BY fold),
-      sums AS (SELECT combo, t1, t2, t3, base.fold, CAST(n AS DOUBLE) AS n, base.t, tt,
-                      a.c + b.c + d.c AS p, a.c + 3 * b.c + 5 * d.c AS pp, a.s + b.s + d.s AS tp
-               FROM grid JOIN counts a ON a.t = t1
-               JOIN counts b ON b.t = t2 AND b.fold = a.fold
-               JOIN counts d ON d.t = t3 AND d.fold = a.fold
-               JOIN base ON base.fold = a.fold)
-      SELECT combo, t1, t2, t3,
-             avg(1 - (tt + pp - 2 * tp) / nullif(tt + pp - 2 * t * p / n, 0)) AS score
+      counts AS (SELECT fold, t, {at_least} FROM rows, cuts GROUP BY fold, t),
+      base AS (SELECT fold, {total} FROM rows GROUP BY fold),
+      cells AS (SELECT combo, t1, t2, t3, {cells}
+                FROM grid JOIN counts a ON a.t = t1
+                JOIN counts b ON b.t = t2 AND b.fold = a.fold
+                JOIN counts d ON d.t = t3 AND d.fold = a.fold
+                JOIN base ON base.fold = a.fold),
+      margins AS (SELECT *, {rows}, {cols} FROM cells),
+      placed AS (SELECT *, {places} FROM margins),
+      sums AS (SELECT combo, t1, t2, t3, {sums} FROM placed)
+      SELECT combo, t1, t2, t3, CASE WHEN count({kappa}) = count(*) THEN avg({kappa}) END AS score
       FROM sums GROUP BY combo, t1, t2, t3
     )"""
 
