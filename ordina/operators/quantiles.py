@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ordina.operators.ranking import running_total
 from ordina.session import COMPACT_BYTES, planned_bytes, written
 
 ACCURACY = 1_000
@@ -100,8 +101,9 @@ def refine(
 ) -> DataFrame:
     """Exact quantiles from the rows and the table of their groups' sketches.
 
-    One pass counts what lies below each bracket and keeps the values inside it;
-    a running total over those few values picks the wanted ones.
+    The values below each bracket are counted; those inside are counted by value
+    and by even slices of the bracket. The slice that holds a wanted rank follows
+    from the slice counts, and only the values of that slice are ranked.
     """
     keys, columns, probs = list(keys), list(columns), list(probs)
     if keys:
@@ -120,58 +122,90 @@ def refine(
             for i in range(len(columns))
         ]
 
-    candidates = []
-    for i, c in enumerate(columns):
-        for q in range(len(probs)):
-            value = F.col(c).cast("double")
-            low = bounds[i]["cuts"].getItem(2 * q).cast("double")
-            high = bounds[i]["cuts"].getItem(2 * q + 1).cast("double")
-            inside = value >= low
-            slice_ = F.when(high > low, F.floor((value - low) / (high - low) * F.lit(SLICES)))
-            candidates.append(
-                F.when(
-                    value <= high,
-                    F.struct(
-                        F.lit(i).alias("column"),
-                        F.lit(q).alias("prob"),
-                        bounds[i]["n"].alias("size"),
-                        F.when(inside, F.coalesce(slice_, F.lit(0)))
-                        .otherwise(F.lit(-1))
-                        .alias("slice"),
-                        F.when(inside, value).alias("value"),
-                    ),
-                )
-            )
-    cell = [*keys, "column", "prob", "size"]
-    # All values below a bracket fall into one row (slice -1, null value) of this table.
-    # It is small and used twice, so it is written rather than computed twice.
+    wanted = [(i, q) for i in range(len(columns)) for q in range(len(probs))]
+    below, inside, candidates = [], [], []
+    for i, q in wanted:
+        value = F.col(columns[i]).cast("double")
+        low = bounds[i]["cuts"].getItem(2 * q).cast("double")
+        high = bounds[i]["cuts"].getItem(2 * q + 1).cast("double")
+        slice_ = F.when(high > low, F.floor((value - low) / (high - low) * F.lit(SLICES)))
+        below.append(F.count_if(value < low).alias(f"__below_{i}_{q}"))
+        inside.append(F.coalesce((value >= low) & (value <= high), F.lit(False)))
+        entry = F.struct(
+            F.lit(i).alias("column"),
+            F.lit(q).alias("prob"),
+            F.coalesce(slice_, F.lit(0)).alias("slice"),
+            value.alias("value"),
+        )
+        candidates.append(F.when(inside[-1], entry))
+
+    cell = [*keys, "column", "prob"]
     counted = (
-        rows.select(*keys, F.explode(F.array(*candidates)).alias("c"))
+        rows.where(reduce(or_, inside))
+        .select(*keys, F.explode(F.array(*candidates)).alias("c"))
         .where(F.col("c").isNotNull())
         .select(*keys, "c.*")
         .groupBy(*cell, "slice", "value")
         .agg(F.count(F.lit(1)).alias("n"))
     )
+    # Small next to the input and read twice, so it is written, not computed twice.
     counted = written(counted, "ranks")
-    ranked = running_total(counted, cell, ["slice"], ["value"], F.col("n"), "upto")
-    position = F.element_at(F.array(*[F.lit(float(p)) for p in probs]), F.col("prob") + 1) * (
-        F.col("size") - 1
+
+    sizes = rows.groupBy(*keys).agg(
+        *below, *[F.max(b["n"]).alias(f"__size_{i}") for i, b in enumerate(bounds)]
+    )
+    marks = sizes.select(
+        *keys,
+        F.explode(
+            F.array(
+                *[
+                    F.struct(
+                        F.lit(i).alias("column"),
+                        F.lit(q).alias("prob"),
+                        (F.lit(float(probs[q])) * (F.col(f"__size_{i}") - 1)).alias("at"),
+                        F.col(f"__below_{i}_{q}").alias("below"),
+                        F.col(f"__size_{i}").alias("size"),
+                    )
+                    for i, q in wanted
+                ]
+            )
+        ).alias("m"),
+    ).select(*keys, "m.*")
+    marks = marks.where(F.col("size") > 0).select(
+        *cell,
+        "at",
+        (F.floor("at") + 1 - F.col("below")).alias("first"),
+        (F.ceil("at") + 1 - F.col("below")).alias("last"),
+    )
+
+    before = Window.partitionBy(*cell).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    slices = counted.groupBy(*cell, "slice").agg(F.sum("n").alias("m"))
+    starts = slices.withColumn("start", F.coalesce(F.sum("m").over(before), F.lit(0)))
+    holds = [
+        (F.col("start") < F.col(r)) & (F.col(r) <= F.col("start") + F.col("m"))
+        for r in ("first", "last")
+    ]
+    targets = starts.join(marks, cell).where(holds[0] | holds[1]).drop("m", "at")
+    upto = (
+        Window.partitionBy(*cell, "slice")
+        .orderBy("value")
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    ranked = counted.join(targets, [*cell, "slice"]).withColumn(
+        "upto", F.col("start") + F.sum("n").over(upto)
     )
-    first, last = F.floor(position) + 1, F.ceil(position) + 1
     picked = ranked.groupBy(*cell).agg(
-        F.min(F.when(F.col("upto") >= first, F.col("value"))).alias("low"),
-        F.min(F.when(F.col("upto") >= last, F.col("value"))).alias("high"),
-        F.coalesce(F.max(F.when(F.col("slice") < 0, F.col("n"))), F.lit(0)).alias("below"),
-        F.max("upto").alias("seen"),
+        F.min(F.when(F.col("upto") >= F.col("first"), F.col("value"))).alias("low"),
+        F.min(F.when(F.col("upto") >= F.col("last"), F.col("value"))).alias("high"),
     )
-    reached = (F.col("below") < first) & (F.col("seen") >= last)
-    exact = F.col("low") + (F.col("high") - F.col("low")) * (position - F.floor(position))
-    value = F.when(reached, exact).otherwise(
-        F.raise_error(F.lit("a quantile lies outside its sketch bracket")).cast("double")
+    exact = F.col("low") + (F.col("high") - F.col("low")) * (F.col("at") - F.floor("at"))
+    found = (F.col("first") >= 1) & F.col("low").isNotNull() & F.col("high").isNotNull()
+    outside = F.raise_error(F.lit("a quantile lies outside its sketch bracket")).cast("double")
+    values = marks.join(picked, cell, "left").select(
+        *cell, F.when(found, exact).otherwise(outside).alias("value")
     )
-    wide = picked.select(*keys, "column", "prob", value.alias("value"))
     arrays = [_array_of(i, len(probs)).alias(c) for i, c in enumerate(columns)]
-    result = wide.groupBy(*keys).agg(*arrays)
+    result = values.groupBy(*keys).agg(*arrays)
     if not keys:
         return result
     return table.select(*keys).join(result, keys, "left")
