@@ -22,7 +22,6 @@ from ordina.config import (
     SERIES_PREFIX,
     SIGNALS,
     TARGET,
-    subject_schema,
 )
 from ordina.functions import classes as fc
 from ordina.functions import features as ff
@@ -230,13 +229,11 @@ def small_gold_sql() -> str:
 # --- sources and sinks -------------------------------------------------------
 
 
-def subject_select(df: DataFrame) -> DataFrame:
-    return rounded(df, EXACT)
-
-
 @query("scan_subjects", rounded_sql(I.subject_columns(), I.subjects_sql()))
 def scan_subjects(spark, sf_dir):
-    return subject_select(tables.scan_subjects(spark, subject_file(spark, sf_dir)))
+    found = tables.scan_subjects(spark, subject_file(spark, sf_dir))
+    whole = {c: F.col(c).cast("int") for c in (*CODES, TARGET)}
+    return rounded(found.withColumns(whole), EXACT)
 
 
 SERIES_COLUMNS = list(I.SERIES_FORMULAS)

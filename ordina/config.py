@@ -82,15 +82,15 @@ class ColumnRoles:
 
 
 def subject_schema(roles: ColumnRoles = ColumnRoles(), with_target: bool = True) -> T.StructType:
-    """CSV schema of the subject table (codes read as integers, seasons as text)."""
+    """Types of the subject table: seasons are text, codes are written `1` or `1.0`."""
     fields = [T.StructField(roles.id_col, T.StringType())]
     fields += [T.StructField(c, T.DoubleType()) for c in roles.numeric]
     fields += [T.StructField(c, T.StringType()) for c in roles.seasons]
-    fields += [T.StructField(c, T.IntegerType()) for c in roles.codes]
+    fields += [T.StructField(c, T.DoubleType()) for c in roles.codes]
     if with_target:
         fields.append(T.StructField(TARGET_SEASON, T.StringType()))
         fields += [T.StructField(c, T.DoubleType()) for c in TARGET_ITEMS]
-        fields.append(T.StructField(roles.target, T.IntegerType()))
+        fields.append(T.StructField(roles.target, T.DoubleType()))
     return T.StructType(fields)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,8 +41,7 @@ def column_max_plus_one(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.agg(*[(F.max(c) + F.lit(1)).alias(c) for c in columns])
 
 
-def _fill(df: DataFrame, stats: DataFrame, columns: Sequence[str]) -> DataFrame:
-    only = stats.first()
+def _fill(df: DataFrame, stats: DataFrame, only: Row, columns: Sequence[str]) -> DataFrame:
     return df.withColumns(
         {
             c: F.coalesce(F.col(c), F.lit(only[c]).cast(stats.schema[c].dataType))
@@ -56,10 +55,9 @@ def impute_train_mean(
     train: DataFrame, others: Sequence[DataFrame], columns: Sequence[str]
 ) -> list[DataFrame]:
     """Nulls become the train mean, in the train rows and in all others."""
-    means = column_means(train, columns).cache()
-    out = [_fill(df, means, columns) for df in (train, *others)]
-    means.unpersist()
-    return out
+    means = column_means(train, columns)
+    only = means.first()
+    return [_fill(df, means, only, columns) for df in (train, *others)]
 
 
 def impute_max_plus_one(
@@ -69,11 +67,14 @@ def impute_max_plus_one(
     per_split: bool = True,
 ) -> list[DataFrame]:
     """Missing codes become `max + 1` of each split, or of the train rows for all."""
-    frames = [train, *others]
-    return [
-        _fill(df, column_max_plus_one(df if per_split else train, columns), columns)
-        for df in frames
-    ]
+    out = []
+    tops = only = None
+    for df in (train, *others):
+        if only is None or per_split:
+            tops = column_max_plus_one(df, columns)
+            only = tops.first()
+        out.append(_fill(df, tops, only, columns))
+    return out
 
 
 def categories(

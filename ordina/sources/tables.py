@@ -15,8 +15,17 @@ from ordina.config import series_schema, subject_schema
 def scan_subjects(
     spark: SparkSession, path: str, schema: T.StructType | None = None
 ) -> DataFrame:
-    """Subject CSV with a header. With an explicit schema no inference pass runs."""
-    return spark.read.schema(schema or subject_schema()).option("header", True).csv(path)
+    """Subject CSV with a header, typed by column name.
+
+    The file may order its columns as it likes; columns the schema does not know
+    are text. Only the header is read for this, no inference pass runs. A value
+    that does not fit its type fails the query.
+    """
+    known = {f.name: f for f in (schema or subject_schema()).fields}
+    header = spark.read.option("header", True).csv(path).columns
+    fields = [known.get(c, T.StructField(c, T.StringType())) for c in header]
+    reader = spark.read.schema(T.StructType(fields)).option("header", True)
+    return reader.option("mode", "FAILFAST").csv(path)
 
 
 def scan_series(

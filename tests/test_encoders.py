@@ -123,3 +123,19 @@ def test_type_check(spark):
     quality.check_numeric(df, ["x", "s"], allow_text=True)
     with pytest.raises(TypeError, match="s"):
         quality.check_numeric(df, ["x", "s"])
+
+
+def test_subject_file_is_read_by_name(spark, tmp_path):
+    path = tmp_path / "train.csv"
+    path.write_text(
+        "sii,extra,Physical-BMI,id,Basic_Demos-Sex,CGAS-Season\n"
+        "2,a,16.5,0012,1.0,Fall\n,b,,0013,0,\n"
+    )
+    df = tables.scan_subjects(spark, str(path))
+    assert values(df) == [
+        (2.0, "a", 16.5, "0012", 1.0, "Fall"),
+        (None, "b", None, "0013", 0.0, None),
+    ]
+    path.write_text("id,Physical-BMI\nx,heavy\n")
+    with pytest.raises(Exception, match="MALFORMED"):
+        tables.scan_subjects(spark, str(path)).collect()
