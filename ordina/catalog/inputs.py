@@ -48,9 +48,12 @@ def sql_r6(x: str) -> str:
 
 def rounded(df: DataFrame, keep: list[str]) -> DataFrame:
     """All columns but `keep` as doubles with six decimals."""
-    return df.select(
+    exact = set(keep)
+    return df.selectExpr(
         *[
-            F.col(f"`{c}`") if c in keep else r6(F.col(f"`{c}`").cast("double")).alias(c)
+            f"`{c}`"
+            if c in exact
+            else f"floor(CAST(`{c}` AS DOUBLE) * 1e6D + 0.53D) / 1e6D AS `{c}`"
             for c in df.columns
         ]
     )

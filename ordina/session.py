@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 # Below this many input bytes a whole table fits one task, so no group in it can
 # be too large and one-pass plans are safe.
-COMPACT_BYTES = 64 * 1024 * 1024
+COMPACT_BYTES = 16 * 1024 * 1024
 
 
 def shared_dir(spark: SparkSession) -> str:
