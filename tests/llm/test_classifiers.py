@@ -12,6 +12,7 @@ from ordina.llm import toxicity as tox
 SF_DIR = "/root/testdata/sf0.01"
 EDGE = [(1, None, "en", 5, 5), (2, "", None, 5, 5), (3, "12 !!", "en", 5, 5), (None, "the dog", "en", 5, 5), (4, "Ünd " * 100_000, None, 5, 5), (1, None, "en", 5, 5)]
 SCHEMA = "doc_id long, text string, lang string, score int, cells int"
+TRAIN = [i for i in range(5, 40) if zlib.crc32(str(i).encode()) % 4 != 2][:2]
 
 
 def is_held(i):
@@ -51,12 +52,12 @@ def test_language_edge_cases(spark):
     docs = spark.createDataFrame(EDGE, SCHEMA)
     got = lid.identify(docs).collect()
     assert len(got) == len(EDGE) and {r.lang_pred for r in got} == {"und"}
-    docs = docs.union(spark.createDataFrame([(5, "the dog", "en", 1, 1), (8, "le chat", "fr", 1, 1)], SCHEMA))
+    docs = docs.union(spark.createDataFrame([(TRAIN[0], "the dog", "en", 1, 1), (TRAIN[1], "le chat", "fr", 1, 1)], SCHEMA))
     by_id = {r.doc_id: r for r in lid.identify(docs).collect()}
     assert by_id[1].lang_pred == by_id[2].lang_pred == by_id[3].lang_pred == "und" and by_id[3].score == 0
     assert by_id[None].lang_pred == "en" and not by_id[None].held_out
     kept = lid.keep_identified(docs)
-    assert kept.schema == docs.schema and {r.doc_id for r in kept.collect()} >= {5, 8}
+    assert kept.schema == docs.schema and {r.doc_id for r in kept.collect()} >= set(TRAIN)
     assert lid.identify(docs.limit(0)).count() == 0
 
 
