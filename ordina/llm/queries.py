@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ordina.llm import decontamination, jaccard_join, language_id, packing, toxicity
+from ordina.llm import decontamination, jaccard_join, language_id, packing, quality_rules, toxicity
 from ordina.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,3 +46,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_toxicity")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+@query("op3_quality_rules", quality_rules.ORACLE)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.apply_policy(quality_rules.ledger(read_table(spark, sf_dir, "documents")))
