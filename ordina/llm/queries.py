@@ -5,8 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-
-from ordina.llm import decontamination, jaccard_join, language_id, packing, quality_rules, toxicity
+from pyspark.sql import functions as F
+
+from ordina.llm import (
+    decontamination,
+    jaccard_join,
+    language_id,
+    license_scan,
+    packing,
+    quality_rules,
+    quotations,
+    toxicity,
+    url_rules,
+    warc,
+)
 from ordina.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,3 +63,26 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_quality_rules", quality_rules.ORACLE)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_policy(quality_rules.ledger(read_table(spark, sf_dir, "documents")))
+
+
+@query("op4_url_rules")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels name pages by id; a page is bad if it is toxic or of low quality."""
+    labels = read_table(spark, sf_dir, "labels")
+    bad = F.coalesce(F.col("toxic") == 1, F.lit(False)) | F.coalesce(F.col("quality") == 0, F.lit(False))
+    return url_rules.judge(read_table(spark, sf_dir, "pages"), labels.select(F.col("doc_id").alias("page_id"), bad.alias("bad")))
+
+
+@query("op5_warc")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(read_table(spark, sf_dir, "pages")).drop("archive")
+
+
+@query("op9_license_scan")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(read_table(spark, sf_dir, "documents"))
+
+
+@query("op10_quotations")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotations.link(read_table(spark, sf_dir, "conversations"))
