@@ -466,9 +466,9 @@ def series_summary(spark, sf_dir):
 
 @query("series_summary_bracketed", rounded_sql(["id", *SUMMARY], summary_sql()))
 def series_summary_bracketed(spark, sf_dir):
-    """The same summary by the plan for inputs of any size."""
-    summary = preprocess.summarise_series(I.series(spark, sf_dir), ROLES, compact_bytes=0)
-    return rounded(summary, EXACT)
+    """The same summary of samples that lie in many partitions."""
+    series = I.series(spark, sf_dir).repartition(64)
+    return rounded(preprocess.summarise_series(series, ROLES), EXACT)
 
 
 @query("join_series", rounded_sql(["id", *SUMMARY], wide_sql()))
@@ -566,8 +566,8 @@ def inf_count(spark, sf_dir):
 
 # --- statistics and imputers -------------------------------------------------
 
-IMPUTED = list(NUMERIC[:6])
-CODED = list(CODES[:4])
+IMPUTED = list(NUMERIC)
+CODED = list(CODES)
 
 
 @query("column_means", f"SELECT {', '.join(f'{sql_r6(f'avg({q(c)})')} AS {q(c)}' for c in NUMERIC)} FROM {I.subjects_sql()} s")
@@ -644,9 +644,9 @@ def robust_stats(spark, sf_dir):
 
 @query("robust_stats_bracketed", rounded_sql(ROBUST_NAMES, f"({_robust_sql()})"))
 def robust_stats_bracketed(spark, sf_dir):
-    """The same statistics by the plan for inputs of any size."""
+    """The same statistics from coarse sketches, with more values left to rank."""
     lineitem = I.table(spark, sf_dir, "lineitem")
-    return rounded(encode.robust_stats(lineitem, MEASURED, compact_bytes=0), [])
+    return rounded(encode.robust_stats(lineitem, MEASURED, accuracy=25), [])
 
 
 def _clip_sql() -> str:

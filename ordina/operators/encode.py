@@ -10,9 +10,7 @@ from pyspark.sql import types as T
 
 from ordina.config import ColumnRoles
 from ordina.functions.classes import encode_label, fill_none
-from ordina.operators.quantiles import exact_quantiles
-
-MAX_CATEGORIES = 1_000
+from ordina.operators.quantiles import refine, sketches
 
 
 def encode_categories(df: DataFrame, roles: ColumnRoles, with_target: bool = True) -> DataFrame:
@@ -31,9 +29,14 @@ def fill_none_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.withColumns({c: fill_none(c) for c in columns})
 
 
+def _no_nan(df: DataFrame, column: str) -> Column:
+    floating = isinstance(df.schema[column].dataType, (T.DoubleType, T.FloatType))
+    return F.nanvl(column, F.lit(None)) if floating else F.col(column)
+
+
 def column_means(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """One row with the mean of each column, from one aggregate."""
-    return df.agg(*[F.avg(c).alias(c) for c in columns])
+    """One row with the mean of each column, from one aggregate; NaN counts as missing."""
+    return df.agg(*[F.avg(_no_nan(df, c)).alias(c) for c in columns])
 
 
 def column_max_plus_one(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -44,7 +47,7 @@ def column_max_plus_one(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def _fill(df: DataFrame, stats: DataFrame, only: Row, columns: Sequence[str]) -> DataFrame:
     return df.withColumns(
         {
-            c: F.coalesce(F.col(c), F.lit(only[c]).cast(stats.schema[c].dataType))
+            c: F.coalesce(_no_nan(df, c), F.lit(only[c]).cast(stats.schema[c].dataType))
             for c in columns
             if only[c] is not None
         }
@@ -54,7 +57,7 @@ def _fill(df: DataFrame, stats: DataFrame, only: Row, columns: Sequence[str]) ->
 def impute_train_mean(
     train: DataFrame, others: Sequence[DataFrame], columns: Sequence[str]
 ) -> list[DataFrame]:
-    """Nulls become the train mean, in the train rows and in all others."""
+    """Nulls and NaN become the train mean, in the train rows and in all others."""
     means = column_means(train, columns)
     only = means.first()
     return [_fill(df, means, only, columns) for df in (train, *others)]
@@ -77,38 +80,31 @@ def impute_max_plus_one(
     return out
 
 
-def categories(
-    df: DataFrame, columns: Sequence[str], limit: int = MAX_CATEGORIES
-) -> dict[str, list]:
-    """Sorted distinct non-null values per column.
-
-    They become columns, so more than `limit` of them in one column is an error.
-    """
+def category_rows(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """Distinct `(*by, column, value)` of the non-null values, from one pass over `df`."""
     entries = F.explode(
         F.array(
             *[
-                F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"))
+                F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value"))
                 for c in columns
             ]
         )
     )
-    rows = (
-        df.select(entries.alias("e"))
-        .select("e.*")
-        .where(F.col("value").isNotNull())
-        .distinct()
-        .limit(limit * len(columns) + 1)
-        .collect()
-    )
+    rows = df.select(*by, entries.alias("e")).select(*by, "e.*")
+    return rows.where(F.col("value").isNotNull()).distinct()
+
+
+def sorted_labels(df: DataFrame, column: str, labels: Sequence[str]) -> list[str]:
+    numeric = isinstance(df.schema[column].dataType, T.NumericType)
+    return sorted(labels, key=float if numeric else None)
+
+
+def categories(df: DataFrame, columns: Sequence[str]) -> dict[str, list]:
+    """Sorted distinct non-null values per column; each becomes a column or a slot."""
     found: dict[str, list] = {c: [] for c in columns}
-    for row in rows:
+    for row in category_rows(df, columns).collect() if columns else ():
         found[row["column"]].append(row["value"])
-    for c, values in found.items():
-        if len(values) > limit:
-            raise ValueError(f"{c} has more than {limit} categories")
-        numeric = isinstance(df.schema[c].dataType, T.NumericType)
-        values.sort(key=float if numeric else None)
-    return found
+    return {c: sorted_labels(df, c, values) for c, values in found.items()}
 
 
 def one_hot_columns(column: str, values: Sequence[str]) -> dict[str, Column]:
@@ -140,18 +136,23 @@ def one_hot_missing_zero(
 
 
 def robust_stats(df: DataFrame, columns: Sequence[str], **options) -> DataFrame:
-    """One row with `[q25, median, q75]`, min and max of each column."""
-    quantiles = exact_quantiles(df, [], columns, (0.25, 0.5, 0.75), **options)
-    edges = df.agg(
-        *[F.min(c).cast("double").alias(f"{c}_min") for c in columns],
-        *[F.max(c).cast("double").alias(f"{c}_max") for c in columns],
-    )
-    q, e = quantiles.first(), edges.first()
+    """One row with `[q25, median, q75]`, min and max of each column.
+
+    The edges come from the pass that makes the sketches; one more pass finds the
+    exact quantiles. NaN ranks above all numbers.
+    """
+    probs = (0.25, 0.5, 0.75)
+    first = df.agg(
+        *sketches(columns, probs, **options),
+        *[F.min(c).cast("double").alias(f"__min_{i}") for i, c in enumerate(columns)],
+        *[F.max(c).cast("double").alias(f"__max_{i}") for i, c in enumerate(columns)],
+    ).first()
+    q = refine(df, first, [], columns, probs).first() or [None] * len(columns)
     fields = ("q25", "median", "q75", "min", "max")
     values = [
         v
-        for i, c in enumerate(columns)
-        for v in (*(q[i] or [None] * 3), e[f"{c}_min"], e[f"{c}_max"])
+        for i in range(len(columns))
+        for v in (*(q[i] or [None] * 3), first[f"__min_{i}"], first[f"__max_{i}"])
     ]
     schema = T.StructType(
         [T.StructField(f"{c}_{f}", T.DoubleType()) for c in columns for f in fields]

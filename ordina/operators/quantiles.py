@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Sequence
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from ordina.session import COMPACT_BYTES, planned_bytes, written
+from ordina.session import written
 
 ACCURACY = 1_000
 SLICES = 1024
-SALTS = 64
+# A group gets one more cell for each so many rows, and all groups together at most
+# MAX_CELLS of them.
+ROWS_PER_CELL = 1_000_000
+MAX_CELLS = 4_096
 
 
 def exact_quantiles(
@@ -22,45 +26,80 @@ def exact_quantiles(
     columns: Sequence[str],
     probs: Sequence[float] = (0.5,),
     spread_by: Sequence[str] = (),
-    compact_bytes: int = COMPACT_BYTES,
     accuracy: int = ACCURACY,
 ) -> DataFrame:
     """Per group one array of linearly interpolated quantiles for each column.
 
-    Nulls are ignored; a column without values gives null. Groups whose key is
-    null are left out.
+    Nulls are ignored; NaN ranks above all numbers; a column without values gives
+    null. Groups whose key is null are left out.
 
-    Spark's exact `percentile` keeps every distinct value of a group in one
-    task. That is used only while the whole input is small. Otherwise a mergeable
-    sketch brackets each wanted rank and `refine` finds the exact values.
+    A mergeable sketch brackets each wanted rank and `refine` finds the exact values,
+    whatever the size of the input.
     """
     for key in keys:
         df = df.where(F.col(key).isNotNull())
-    if planned_bytes(df) <= compact_bytes:
-        at = F.array(*[F.lit(float(p)) for p in probs])
-        return df.groupBy(*keys).agg(*[F.percentile(c, at).alias(c) for c in columns])
     table = df.groupBy(*keys).agg(*sketches(columns, probs, accuracy))
     if keys:
         table = written(table, "sketch")
     return refine(df, table, keys, columns, probs, spread_by)
 
 
+def _finite(value: Column) -> Column:
+    """The value, with infinities and NaN moved to the ends of the finite range.
+
+    No two values change their order. Sketches and slices cannot deal with NaN and
+    infinities; they only need values in the right order.
+    """
+    top = F.lit(sys.float_info.max)
+    return F.when(value.isNotNull(), F.greatest(F.least(value, top), -top))
+
+
+def _margins(accuracy: int) -> list[float]:
+    """Half widths of brackets, as shares of a group: twice the sketch's error, doubled up to all."""
+    margins = [2.0 / accuracy]
+    while margins[-1] < 1.0:
+        margins.append(min(1.0, 2 * margins[-1]))
+    return margins
+
+
 def sketches(
     columns: Sequence[str], probs: Sequence[float] = (0.5,), accuracy: int = ACCURACY
 ) -> list[Column]:
-    """Aggregates that bracket every wanted rank, one struct `__sketch_<i>` per column."""
-    # A sketch may miss a rank by 1/accuracy of the group; stay twice as far away.
-    margin = 2.0 / accuracy
-    cuts = [c for p in probs for c in (max(0.0, p - margin), min(1.0, p + margin))]
+    """Aggregates that bracket every wanted rank, one struct `__sketch_<i>` per column.
+
+    `cuts` has for each probability the lower and upper cut of every margin, of which
+    `_bracket` takes the narrowest that is at least a rank wide in a group of that size.
+    """
+    cuts = [
+        c
+        for p in probs
+        for margin in _margins(accuracy)
+        for c in (max(0.0, p - margin), min(1.0, p + margin))
+    ]
     return [
         F.struct(
             F.count(c).alias("n"),
-            F.percentile_approx(F.col(c).cast("double"), cuts, accuracy).alias("cuts"),
+            F.lit(accuracy).alias("accuracy"),
+            F.percentile_approx(_finite(F.col(c).cast("double")), cuts, accuracy).alias("cuts"),
         ).alias(f"__sketch_{i}")
         for i, c in enumerate(columns)
     ]
 
 
+def _bracket(sketch: Column, q: int, n_cuts: Column) -> tuple[Column, Column]:
+    """Lower and upper cut around probability number `q`.
+
+    A margin holds the rank if it exceeds the sketch's error by 1 / n, since ranks count
+    from 0 to n - 1 here and from 1 to n in the sketch.
+    """
+    n, accuracy, levels = sketch["n"], sketch["accuracy"], n_cuts / 2
+    # margin_j = 2 ** (j + 1) / accuracy >= 1 / accuracy + 1 / n
+    needed = F.ceil(F.log2((F.lit(1.0) + accuracy / F.greatest(n, F.lit(1))) / 2))
+    at = F.lit(q) * n_cuts + F.lit(2) * F.greatest(F.lit(0), F.least(levels - 1, needed))
+    at = at.cast("int")
+    return F.get(sketch["cuts"], at), F.get(sketch["cuts"], at + 1)
+
+
 def _with_bounds(
     df: DataFrame,
     table: DataFrame,
@@ -70,30 +109,29 @@ def _with_bounds(
 ) -> DataFrame:
     """Rows next to the sketches of their group.
 
-    A sketch table below the session's broadcast limit is broadcast. A larger one
-    is joined on the key and a salt, so a group with a large share of all rows
-    is spread over many tasks. The salt is a hash of the row's own values, so a
-    task that runs again puts each row where it was.
+    The join is left to the optimizer. Groups above ROWS_PER_CELL rows are cut into
+    cells by a salt, as many as their sketch counts ask for; other groups have one
+    cell. The salt is a hash of the row's own values, so a task that runs again puts
+    each row where it was.
     """
     names = [f"__sketch_{i}" for i in range(len(columns))]
-    table = table.select(*keys, *names)
-    limit = _broadcast_limit(df)
-    if 0 < planned_bytes(table) <= limit:
-        return df.select(*keys, *columns).join(F.broadcast(table), list(keys))
-    salt = F.pmod(F.xxhash64(*dict.fromkeys([*columns, *spread_by])), F.lit(SALTS)).cast("int")
-    rows = df.select(*keys, *columns, salt.alias("__salt"))
-    copies = table.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.join(copies, [*keys, "__salt"])
-
-
-def _broadcast_limit(df: DataFrame) -> int:
-    """The session's broadcast threshold in bytes; negative when it is off."""
-    return int(df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold())
+    size = F.greatest(F.lit(0), *[F.col(n)["n"] for n in names])
+    table = table.select(*keys, *names).withColumn("__rows", size)
+    total = table.agg(F.sum("__rows")).first()[0] or 0
+    per_cell = max(ROWS_PER_CELL, total // MAX_CELLS)
+    cells = (F.ceil(F.col("__rows") / F.lit(per_cell))).cast("int")
+    # At most MAX_CELLS groups have more than `per_cell` rows.
+    hot = table.where(F.col("__rows") > per_cell).select(*keys, cells.alias("__cells"))
+    rows = df.select(*keys, *columns, *[c for c in spread_by if c not in (*keys, *columns)])
+    salt = F.pmod(F.xxhash64(*dict.fromkeys([*columns, *spread_by])), F.coalesce("__cells", F.lit(1)))
+    rows = rows.join(F.broadcast(hot), list(keys), "left").withColumn("__salt", salt.cast("int"))
+    copies = table.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(1), cells) - 1)))
+    return rows.select(*keys, *columns, "__salt").join(copies.drop("__rows"), [*keys, "__salt"])
 
 
 def refine(
     df: DataFrame,
-    table: DataFrame,
+    table: DataFrame | Row,
     keys: Sequence[str],
     columns: Sequence[str],
     probs: Sequence[float] = (0.5,),
@@ -101,6 +139,8 @@ def refine(
 ) -> DataFrame:
     """Exact quantiles from the rows and the table of their groups' sketches.
 
+    Without keys the table may be its one row.
+
     The values below each bracket are counted; those inside are counted by value
     and by even slices of the bracket. The slice that holds a wanted rank follows
     from the slice counts, and only the values of that slice are ranked.
@@ -111,26 +151,29 @@ def refine(
         bounds = [F.col(f"__sketch_{i}") for i in range(len(columns))]
     else:
         # One row of a few numbers: carried as literals instead of a join.
-        only = table.first()
+        only = table.first() if isinstance(table, DataFrame) else table
         rows = df.select(*columns)
-        empty = [None] * (2 * len(probs))
+        names = [f"__sketch_{i}" for i in range(len(columns))]
         bounds = [
             F.struct(
-                F.lit(only[i]["n"]).alias("n"),
-                F.lit(only[i]["cuts"] or empty).cast("array<double>").alias("cuts"),
+                F.lit(only[name]["n"]).alias("n"),
+                F.lit(only[name]["accuracy"]).alias("accuracy"),
+                F.lit(only[name]["cuts"] or []).cast("array<double>").alias("cuts"),
             )
-            for i in range(len(columns))
+            for name in names
         ]
 
     wanted = [(i, q) for i in range(len(columns)) for q in range(len(probs))]
     below, inside, candidates = [], [], []
     for i, q in wanted:
         value = F.col(columns[i]).cast("double")
-        low = bounds[i]["cuts"].getItem(2 * q).cast("double")
-        high = bounds[i]["cuts"].getItem(2 * q + 1).cast("double")
-        slice_ = F.when(high > low, F.floor((value - low) / (high - low) * F.lit(SLICES)))
-        below.append(F.count_if(value < low).alias(f"__below_{i}_{q}"))
-        inside.append(F.coalesce((value >= low) & (value <= high), F.lit(False)))
+        place = _finite(value)
+        low, high = _bracket(bounds[i], q, F.size(bounds[i]["cuts"]) / F.lit(len(probs)))
+        # Halves, since the whole range may be wider than a double.
+        width = high / 2 - low / 2
+        slice_ = F.when(width > 0, F.floor((place / 2 - low / 2) / width * F.lit(SLICES)))
+        below.append(F.count_if(place < low).alias(f"__below_{i}_{q}"))
+        inside.append(F.coalesce((place >= low) & (place <= high), F.lit(False)))
         entry = F.struct(
             F.lit(i).alias("column"),
             F.lit(q).alias("prob"),
@@ -198,7 +241,13 @@ def refine(
         F.min(F.when(F.col("upto") >= F.col("first"), F.col("value"))).alias("low"),
         F.min(F.when(F.col("upto") >= F.col("last"), F.col("value"))).alias("high"),
     )
-    exact = F.col("low") + (F.col("high") - F.col("low")) * (F.col("at") - F.floor("at"))
+    part = F.col("at") - F.floor("at")
+    gap = F.col("high") - F.col("low")
+    exact = (
+        F.when(F.col("low") == F.col("high"), F.col("low"))
+        .when(_finite(gap) == gap, F.col("low") + gap * part)
+        .otherwise(F.col("low") * (1 - part) + F.col("high") * part)
+    )
     found = (F.col("first") >= 1) & F.col("low").isNotNull() & F.col("high").isNotNull()
     outside = F.raise_error(F.lit("a quantile lies outside its sketch bracket")).cast("double")
     values = marks.join(picked, cell, "left").select(

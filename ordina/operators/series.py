@@ -18,7 +18,7 @@ from ordina.config import (
 )
 from ordina.functions.features import feat_norm2d
 from ordina.operators.quantiles import refine, sketches
-from ordina.session import COMPACT_BYTES, planned_bytes, written
+from ordina.session import written
 
 
 def filter_near_anchor(
@@ -45,15 +45,13 @@ def series_summary(
     mean_cols: Sequence[str] = ("weekday", "quarter"),
     per_day: int = SAMPLES_PER_DAY,
     prefix: str = SERIES_PREFIX,
-    compact_bytes: int = COMPACT_BYTES,
 ) -> DataFrame:
     """min, max, mean, std, median of the worn samples plus wear and coverage.
 
-    A small input is summarised in one pass. A large one in three passes that
-    shuffle partial results only, so an id with any share of the rows is no
-    problem: the algebraic part with the median sketches (written to the shared
+    Three passes shuffle partial results only, so an id with any share of the rows
+    is no problem: the algebraic part with the median sketches (written to the shared
     folder), the days per id (grouped by day first, so no task holds a set of
-    days) and the exact medians.
+    days) and the exact medians. NaN ranks above all numbers; a null day is a day.
     """
     df = df.where(F.col(id_col).isNotNull())
     worn = F.col(flag_col) == 0
@@ -83,35 +81,17 @@ def series_summary(
         F.count(flag_col).alias("__flags"),
         *[F.avg(F.col(c).cast("double")).alias(f"{prefix}{c}_mean") for c in mean_cols],
     ]
-    if planned_bytes(samples) <= compact_bytes:
-        day = F.col(day_col)
-
-        def n_days(seen):  # a null day counts as one more day
-            return F.size(F.collect_set(F.when(seen, day))) + F.max(
-                (seen & day.isNull()).cast("int")
-            )
-
-        grouped = samples.groupBy(id_col).agg(
-            *stats,
-            *plain,
-            *[F.median(m).alias(m) for m in medians],
-            n_days(F.lit(True)).alias("__days"),
-            n_days(is_worn == 1).alias("__worn_days"),
-        )
-    else:
-        base = written(
-            samples.groupBy(id_col).agg(*stats, *plain, *sketches(medians)), "series-base"
-        )
-        days = (
-            samples.groupBy(id_col, day_col)
-            .agg(F.max(is_worn).alias("worn"))
-            .groupBy(id_col)
-            .agg(F.count(F.lit(1)).alias("__days"), F.sum("worn").alias("__worn_days"))
-        )
-        spread_by = [day_col, *[c for c in ("time_of_day",) if c in samples.columns]]
-        middle = refine(samples, base, [id_col], medians, spread_by=spread_by)
-        middle = middle.select(id_col, *[F.get(m, F.lit(0)).alias(m) for m in medians])
-        grouped = base.join(days, id_col).join(middle, id_col)
+    base = written(samples.groupBy(id_col).agg(*stats, *plain, *sketches(medians)), "series-base")
+    days = (
+        samples.groupBy(id_col, day_col)
+        .agg(F.max(is_worn).alias("worn"))
+        .groupBy(id_col)
+        .agg(F.count(F.lit(1)).alias("__days"), F.sum("worn").alias("__worn_days"))
+    )
+    spread_by = [day_col, *[c for c in ("time_of_day",) if c in samples.columns]]
+    middle = refine(samples, base, [id_col], medians, spread_by=spread_by)
+    middle = middle.select(id_col, *[F.get(m, F.lit(0)).alias(m) for m in medians])
+    grouped = base.join(days, id_col).join(middle, id_col)
 
     ordered = [
         F.col(f"{prefix}{s}_{name}") for name in ("min", "max", "mean", "std") for s in signals

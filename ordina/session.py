@@ -1,4 +1,4 @@
-"""Session helpers: the shared folder and the size the optimizer expects."""
+"""Session helpers: the shared folder and tables written there."""
 
 from __future__ import annotations
 
@@ -7,10 +7,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Below this many input bytes a whole table fits one task, so no group in it can
-# be too large and one-pass plans are safe.
-COMPACT_BYTES = 16 * 1024 * 1024
-
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach, as the cluster names it.
@@ -38,8 +34,3 @@ def written(df: DataFrame, label: str, partition_by: Sequence[str] = ()) -> Data
     path = fresh_path(spark, label)
     df.write.partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path).select(*[f"`{c}`" for c in df.columns])
-
-
-def planned_bytes(df: DataFrame) -> int:
-    """Catalyst's own size estimate of `df`; starts no job."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

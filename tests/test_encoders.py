@@ -68,8 +68,19 @@ def test_one_hot(spark):
     assert first.columns == ["many=a", "many=b", "many=c", "two"]
     assert values(first) == [(0, 1, 0, 1), (1, 0, 0, -1), (0, 0, 1, 0)]
     assert values(second) == [(0, 0, 0, 1), (0, 0, 0, 0), (1, 0, 0, -1)]
-    with pytest.raises(ValueError, match="more than 2"):
-        encode.categories(train, ["many"], limit=2)
+
+
+def test_one_hot_of_many_labels(spark):
+    train = spark.range(1500).select(F.concat(F.lit("v"), F.col("id").cast("string")).alias("c"))
+    done, other = encode.one_hot_missing_zero(train, [spark.createDataFrame([(None,)], "c string")], ["c"])
+    assert len(done.columns) == 1500
+    assert sum(other.first()) == 0 and sum(done.where("`c=v7` = 1").first()) == 1
+
+
+def test_nan_counts_as_missing(spark):
+    df = spark.createDataFrame([(1.0,), (float("nan"),), (3.0,), (None,)], "x double")
+    assert encode.column_means(df, ["x"]).first().x == 2.0
+    assert [r.x for r in encode.impute_train_mean(df, [], ["x"])[0].collect()] == [1.0, 2.0, 3.0, 2.0]
 
 
 def test_robust_scaling(spark):

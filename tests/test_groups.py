@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from ordina.functions.classes import bin_age, strata_key
 from ordina.operators import folds, quantiles, ranking
-from ordina.session import planned_bytes
 
 
 def hot_frame(n=3000, seed=1):
@@ -41,7 +40,7 @@ def test_bracketed_quantiles_are_exact(spark, threshold):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     try:
         got = quantiles.exact_quantiles(
-            df, ["key"], ["a", "b", "c"], probs, ["row"], compact_bytes=0, accuracy=25
+            df, ["key"], ["a", "b", "c"], probs, ["row"], accuracy=25
         ).toPandas()
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
@@ -59,22 +58,43 @@ def test_bracketed_quantiles_are_exact(spark, threshold):
 def test_bracketed_quantiles_of_a_whole_table(spark):
     frame = hot_frame(seed=2)
     got = quantiles.exact_quantiles(
-        as_spark(spark, frame), [], ["a", "b"], (0.25, 0.5, 0.75), compact_bytes=0, accuracy=25
+        as_spark(spark, frame), [], ["a", "b"], (0.25, 0.5, 0.75), accuracy=25
     ).first()
     for c in ("a", "b"):
         np.testing.assert_allclose(got[c], np.quantile(frame[c].dropna(), (0.25, 0.5, 0.75)))
 
 
-def test_one_pass_and_bracketed_agree(spark):
-    df = as_spark(spark, hot_frame(seed=3))
-    one = quantiles.exact_quantiles(df, ["key"], ["a"], compact_bytes=2**62).toPandas()
-    two = quantiles.exact_quantiles(df, ["key"], ["a"], compact_bytes=0).toPandas()
-    one, two = (x.set_index("key").a.map(lambda v: v[0]).sort_index() for x in (one, two))
-    np.testing.assert_allclose(one, two)
-
+@pytest.mark.parametrize("parts", [1, 64])
+@pytest.mark.parametrize("accuracy", [20, 1000])
+def test_quantiles_with_nan_and_infinities(spark, parts, accuracy):
+    """NaN ranks above all numbers, as in Spark's own percentile, however the rows are dealt."""
+    rng = np.random.default_rng(4)
+    inf, nan = float("inf"), float("nan")
+    rows = []
+    for i in range(2500):
+        key = "hot" if i % 2 else f"k{i % 23}"
+        x = nan if i % 10 == 0 else inf if i % 97 == 0 else -inf if i % 89 == 0 else float(rng.normal(0, 1e3))
+        rows.append((key, None if i % 13 == 0 else x, i))
+    rows += [("all", nan, -1), ("all", nan, -2), ("big", 1.7e308, -3), ("big", -1.7e308, -4), ("big", inf, -5)]
+    df = spark.createDataFrame(rows, "key string, x double, row long").repartition(parts)
+    probs = (0.0, 0.25, 0.5, 0.95, 1.0)
+    got = {r.key: r.x for r in quantiles.exact_quantiles(df, ["key"], ["x"], probs, ["row"], accuracy=accuracy).collect()}
+    for key in {r[0] for r in rows}:
+        values = np.sort([x for k, x, _ in rows if k == key and x is not None])  # NaN comes last
+        for p, found in zip(probs, got[key]):
+            at = p * (len(values) - 1)
+            low, high = values[int(np.floor(at))], values[int(np.ceil(at))]
+            want = low if low == high or np.isnan(low) else low * (1 - at % 1) + high * (at % 1)
+            np.testing.assert_allclose(found, want, rtol=1e-9, err_msg=f"{key} {p}")
+
+
+def test_hot_groups_get_cells(spark, monkeypatch):
+    monkeypatch.setattr(quantiles, "ROWS_PER_CELL", 100)
+    frame = hot_frame(seed=3)
+    got = quantiles.exact_quantiles(as_spark(spark, frame), ["key"], ["a"], (0.5,), ["row"]).toPandas()
+    for _, row in got.iterrows():
+        np.testing.assert_allclose(row.a[0], frame[frame.key == row.key].a.median())
 
-def test_size_of_an_unknown_frame_is_not_small(spark):
-    assert planned_bytes(spark.range(10**12).toDF("x")) > 2**40
 
 
 def test_running_total(spark):
