@@ -22,7 +22,8 @@ def stratified_folds(
 
     Rows are numbered through all strata, so fold sizes differ by at most one
     inside each stratum and overall. The numbering runs inside hash buckets of a
-    stratum; only bucket counts are summed in one place.
+    stratum, and what lies before a bucket comes from the bucket totals. A row without
+    id gets a fold like any other.
     """
     keyed = (
         df.withColumn("__stratum", F.coalesce(strata.cast("string"), F.lit("null")))

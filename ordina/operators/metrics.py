@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ordina.config import N_CLASSES
 from ordina.functions.classes import ordinal_decode, round_half_even, round_to_class
+from ordina.operators.ranking import prefix_starts
 
 CELLS = "__cell_{}_{}"
 
@@ -108,9 +109,12 @@ def qwk(
     by = list(by)
     pairs = df.groupBy(*by, y.alias("__y"), p.alias("__l")).agg(F.count(F.lit(1)).alias("__n"))
     labels = pairs.select(*by, F.explode(F.array("__y", "__l")).alias("__label")).distinct()
-    ranked = labels.withColumn(
-        "__pos", F.row_number().over(Window.partitionBy(*by).orderBy("__label")) - 1
-    )
+    if by:
+        place = F.row_number().over(Window.partitionBy(*by).orderBy("__label")) - 1
+        ranked = labels.withColumn("__pos", place)
+    else:
+        ranked = prefix_starts(labels.withColumn("__one", F.lit(1)), ["__label"], "__one")
+        ranked = ranked.withColumnRenamed("__start", "__pos")
     at_y = ranked.select(*by, F.col("__label").alias("__y"), F.col("__pos").alias("__t"))
     at_p = ranked.select(*by, F.col("__label").alias("__l"), F.col("__pos").alias("__p"))
     n, t, p_ = F.col("__n"), F.col("__t"), F.col("__p")

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ordina.config import BASE_THRESHOLDS
 from ordina.functions.classes import fold_entry, round_half_even, round_to_class
-from ordina.operators.encode import categories, fill_none_columns
+from ordina.operators.encode import category_rows, fill_none_columns
 from ordina.operators.metrics import cell_counts, kappa_of_cells
 from ordina.session import fresh_path, shared_dir
 
@@ -134,11 +134,14 @@ def feature_spaces(
     spaces = _numeric_spaces(df, numeric, () if as_text else codes, n_fold, info_col)
     if not as_text or not codes:
         return spaces
+    labels = category_rows(fill_none_columns(df, codes), codes, [info_col]).collect()
     out = []
     for k, space in enumerate(spaces):
-        train = fill_none_columns(df.where(fold_entry(info_col, k) == "t"), codes)
-        known = {c: tuple(v) for c, v in categories(train, codes).items()}
-        out.append(replace(space, labels=known))
+        known: dict[str, set] = {c: set() for c in codes}
+        for r in labels:
+            if r[info_col] and r[info_col].split(", ")[k] == "t":
+                known[r["column"]].add(r["value"])
+        out.append(replace(space, labels={c: tuple(sorted(v)) for c, v in known.items()}))
     return out
 
 
@@ -406,16 +409,30 @@ def oof_predict(
     )
 
 
-def predict_folds(models: Sequence, df: DataFrame, id_col: str, model: str) -> DataFrame:
-    """`(id, fold, model, pred)`: every row scored by every fold's model."""
-    return union_all(
-        [
-            m.score(df, PRED, [id_col]).select(
-                id_col, F.lit(m.fold).alias("fold"), F.lit(model).alias("model"), PRED
-            )
-            for m in models
+def score_all(models: Sequence, df: DataFrame, keep: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """The columns `keep` and one score column per model, from one pass over the rows."""
+    names = [f"__pred_{i}" for i in range(len(models))]
+    for name, m in zip(names, models):
+        df = m.score(df, name)
+    return df.select(*[f"`{c}`" for c in keep], *names), names
+
+
+def predict_members(members: dict[str, Sequence], df: DataFrame, id_col: str) -> DataFrame:
+    """`(id, fold, model, pred)`: every row scored by every fold of every member, in one pass."""
+    flat = [(name, m) for name, models in members.items() for m in models]
+    wide, names = score_all([m for _, m in flat], df, [id_col])
+    scores = F.array(
+        *[
+            F.struct(F.lit(m.fold).alias("fold"), F.lit(name).alias("model"), F.col(c).alias(PRED))
+            for (name, m), c in zip(flat, names)
         ]
     )
+    return wide.select(id_col, F.inline(scores))
+
+
+def predict_folds(models: Sequence, df: DataFrame, id_col: str, model: str) -> DataFrame:
+    """`(id, fold, model, pred)`: every row scored by every fold's model, in one pass."""
+    return predict_members({model: models}, df, id_col)
 
 
 def blend_folds(preds: DataFrame, id_col: str, n_fold: int, by: Sequence[str] = ()) -> DataFrame:
@@ -425,11 +442,9 @@ def blend_folds(preds: DataFrame, id_col: str, n_fold: int, by: Sequence[str] =
 
 def blend_score(models: Sequence, df: DataFrame, out: str = PRED) -> DataFrame:
     """The same blend computed row by row, without a shuffle."""
-    names = [f"__pred_{i}" for i in range(len(models))]
-    for name, m in zip(names, models):
-        df = m.score(df, name)
+    wide, names = score_all(models, df, df.columns)
     total = reduce(lambda a, b: a + b, [F.col(n) / F.lit(float(len(models))) for n in names])
-    return df.withColumn(out, total).drop(*names)
+    return wide.withColumn(out, total).drop(*names)
 
 
 def threshold_predict(
@@ -519,10 +534,11 @@ def curve_mean_std(curve: DataFrame) -> DataFrame:
 def argmax_iteration(
     summary: DataFrame, maximize: bool = True, digits: int | None = None
 ) -> DataFrame:
-    """The iteration with the best mean; the first one among equals."""
+    """Each model's iteration with the best mean; the first one among equals."""
     mean = F.col("mean") if digits is None else F.round("mean", digits)
-    order = mean.desc_nulls_last() if maximize else mean.asc_nulls_last()
-    return summary.orderBy(order, "iter").limit(1)
+    worth = F.coalesce(mean if maximize else -mean, F.lit(float("-inf")))
+    best = F.max_by(F.struct(*summary.columns), F.struct(worth, -F.col("iter"))).alias("best")
+    return summary.groupBy("model").agg(best).select("best.*")
 
 
 def best_iteration(
@@ -532,7 +548,7 @@ def best_iteration(
     offset: int = 1,
     digits: int | None = None,
 ) -> DataFrame:
-    """All metrics at the best iteration of one metric.
+    """All metrics at each model's best iteration of one metric.
 
     `best_iter` is the iteration number plus `offset`: for trees the number of
     trees to keep.

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ordina.functions.classes import pseudo_fold_info
-from ordina.operators.models import PRED, union_all
+from ordina.operators.models import score_all, union_all
 
 
 def common_columns(left: Sequence[str], right: Sequence[str]) -> list[str]:
@@ -33,18 +33,24 @@ def union_relaxed(*frames: DataFrame) -> DataFrame:
 
 
 def pseudo_rows(models: Sequence, df: DataFrame, target: str, columns: Sequence[str]) -> DataFrame:
-    """Every row once per fold: the fold's raw score as target, training that fold only."""
-    n_fold = len(models)
+    """Every row once per fold: the fold's raw score as target, training that fold only.
+
+    All folds score in one pass; the rows are then repeated.
+    """
     own = [c for c in columns if c not in (target, "fold_info")]
-    parts = []
-    for m in models:
-        made = {
-            target: F.col(PRED).cast("double").alias(target),
-            "fold_info": F.lit(pseudo_fold_info(m.fold, n_fold)).alias("fold_info"),
-        }
-        scored = m.score(df, PRED, own)
-        parts.append(scored.select(*[made.get(c, F.col(f"`{c}`")) for c in columns]))
-    return union_all(parts)
+    wide, names = score_all(models, df, own)
+    made = F.array(
+        *[
+            F.struct(
+                F.col(name).cast("double").alias("__target"),
+                F.lit(pseudo_fold_info(m.fold, len(models))).alias("__info"),
+            )
+            for m, name in zip(models, names)
+        ]
+    )
+    long = wide.select(*[f"`{c}`" for c in own], F.inline(made))
+    named = {target: F.col("__target").alias(target), "fold_info": F.col("__info").alias("fold_info")}
+    return long.select(*[named.get(c, F.col(f"`{c}`")) for c in columns])
 
 
 def pseudo_label(

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ordina.session import written
+
 HASH_DIGITS = 3
 
 
@@ -23,16 +25,19 @@ def running_total(
     A window over `keys` alone would sort a whole group in one task. Here the
     sort happens inside each `(keys, bucket)` cell, so the work of a large group
     spreads over its buckets; what lies before a bucket is a window over bucket
-    totals only. The caller picks `bucket` so that it does not fall when the
-    order rises and has a bounded number of values per group. Keys must not be
-    null.
+    totals only, or without keys `prefix_starts`. The caller picks `bucket` so that
+    it does not fall when the order rises and has a bounded number of values per
+    group. Keys must not be null.
     """
     cell = [*keys, *bucket]
     totals = df.groupBy(*cell).agg(F.sum(weight).alias("__cell"))
-    before = Window.partitionBy(*keys).orderBy(*bucket).rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select(
-        *cell, F.coalesce(F.sum("__cell").over(before), F.lit(0)).alias("__start")
-    )
+    if keys:
+        before = Window.partitionBy(*keys).orderBy(*bucket)
+        before = before.rowsBetween(Window.unboundedPreceding, -1)
+        start = F.coalesce(F.sum("__cell").over(before), F.lit(0))
+        starts = totals.select(*cell, start.alias("__start"))
+    else:
+        starts = prefix_starts(totals, bucket, "__cell").drop("__cell")
     inside = (
         Window.partitionBy(*cell)
         .orderBy(*order)
@@ -46,10 +51,29 @@ def running_total(
     )
 
 
+def prefix_starts(totals: DataFrame, order: Sequence[str], weight: str) -> DataFrame:
+    """`totals` with `__start`, the sum of `weight` over all rows that come before in `order`.
+
+    Rows are dealt by range and summed up inside their partition; the driver sees one
+    total per partition and no task sees all rows. `order` must not tie.
+    """
+    parts = totals.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
+    parts = written(parts, "ranges")
+    start, offsets = 0, [F.lit(-1), F.lit(0).cast("bigint")]
+    for row in sorted(parts.groupBy("__part").agg(F.sum(weight).alias("n")).collect()):
+        offsets += [F.lit(row["__part"]), F.lit(start).cast("bigint")]
+        start += row["n"]
+    before = Window.partitionBy("__part").orderBy(*order)
+    inside = F.sum(weight).over(before.rowsBetween(Window.unboundedPreceding, -1))
+    ahead = F.element_at(F.create_map(*offsets), F.col("__part"))
+    return parts.withColumn("__start", ahead + F.coalesce(inside, F.lit(0))).drop("__part")
+
+
 def hash_key(seed: int | str, *columns: Column | str) -> Column:
-    """Seeded, engine-independent order key."""
+    """Seeded, engine-independent order key; a null counts as an empty text."""
     parts = [F.col(c) if isinstance(c, str) else c for c in columns]
-    return F.md5(F.concat(F.lit(str(seed)), *[p.cast("string") for p in parts]))
+    texts = [F.coalesce(p.cast("string"), F.lit("")) for p in parts]
+    return F.md5(F.concat(F.lit(str(seed)), *texts))
 
 
 def shuffled_rank(

@@ -15,8 +15,7 @@ from pyspark.sql import functions as F
 from ordina.config import BASE_THRESHOLDS, THRESHOLD_HALF_WIDTH, THRESHOLD_POINTS
 from ordina.functions.features import linspace
 from ordina.operators.metrics import CELLS, kappa_from_sums, kappa_of_cells
-
-MAX_FOLDS = 1_000
+from ordina.session import written
 
 
 @dataclass(frozen=True)
@@ -165,30 +164,24 @@ def pred_ge_threshold(
     )
 
 
-def _fetched(df: DataFrame, fold: str, y: str, pred: str, grid: ThresholdGrid) -> list:
-    """The per-threshold counts: one small row per threshold and fold."""
+def _counted(df: DataFrame, fold: str, y: str, pred: str, grid: ThresholdGrid) -> DataFrame:
+    """The per-threshold counts, one small row per threshold and fold, written once."""
     n_classes = len(grid.axes) + 1
     counts = pred_ge_threshold(df, fold, y, pred, grid.values, n_classes).drop("threshold")
-    most = MAX_FOLDS * len(grid.values)
-    rows = counts.limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"{fold} has more than {MAX_FOLDS} values")
-    return rows
+    return written(counts, "threshold-counts")
 
 
-def _joined(
-    spark: SparkSession, fold: str, grid: ThresholdGrid, schema: str, per_at: Sequence[str], rows
-) -> DataFrame:
+def _joined(fold: str, grid: ThresholdGrid, per_at: Sequence[str], counts: DataFrame) -> DataFrame:
     """Tuples joined with the count rows of each of their thresholds.
 
     The rows are `(fold, at, *per_at, *per_fold)`; `per_at` columns come back
-    once per tuple position as `<name>_<position>`.
+    once per tuple position as `<name>_<position>`. Folds may be many: they are joined
+    on `(fold, at)`, and the optimizer picks the way by the size of the counts.
     """
-    counts = spark.createDataFrame(rows, schema).coalesce(1)
     per_fold = [c for c in counts.columns if c not in (fold, "at", *per_at)]
     # A class needs its own and all lower thresholds passed, so a tuple that is
     # not sorted acts like its running maximum.
-    table = grid._numbered(spark)
+    table = grid._numbered(counts.sparkSession)
     for i in range(len(grid.axes)):
         parts = [F.col(f"__at{j}") for j in range(i + 1)]
         reached = F.greatest(*parts) if i else parts[0]
@@ -200,15 +193,20 @@ def _joined(
         )
         on = reached == F.col(f"__key_{i}")
         if i:
-            on = on & (F.col(fold) == F.col(f"__fold_{i}"))
-        table = table.join(F.broadcast(side), on)
+            on = on & F.col(fold).eqNullSafe(F.col(f"__fold_{i}"))
+        table = table.join(side, on)
     names = [F.col(f"__v{i}").alias(n) for i, n in enumerate(grid.names)]
     made = [f"{c}_{i}" for i in range(len(grid.axes)) for c in per_at]
     return table.select("combo", *names, fold, *made, *per_fold)
 
 
 def grid_cells(
-    df: DataFrame, fold: str, y: str, pred: str, grid: ThresholdGrid, rows: list | None = None
+    df: DataFrame,
+    fold: str,
+    y: str,
+    pred: str,
+    grid: ThresholdGrid,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """Confusion cells of every tuple and fold: `(combo, t.., fold, cells)`.
 
@@ -216,11 +214,8 @@ def grid_cells(
     tuples with the per-threshold counts, once for each tuple position.
     """
     n = len(grid.axes) + 1
-    rows = _fetched(df, fold, y, pred, grid) if rows is None else rows
-    ge, every = [f"ge_{c}" for c in range(n)], [f"all_{c}" for c in range(n)]
-    schema = f"`{fold}` {df.schema[fold].dataType.simpleString()}, at int"
-    schema += "".join(f", {c} bigint" for c in [*ge, *every])
-    table = _joined(df.sparkSession, fold, grid, schema, ge, rows)
+    counts = _counted(df, fold, y, pred, grid) if counts is None else counts
+    table = _joined(fold, grid, [f"ge_{c}" for c in range(n)], counts)
     steps = [
         [F.col(f"all_{c}"), *[F.col(f"ge_{c}_{i}") for i in range(n - 1)], F.lit(0)]
         for c in range(n)
@@ -237,9 +232,7 @@ def grid_cells(
     )
 
 
-def _grid_moments(
-    df: DataFrame, fold: str, grid: ThresholdGrid, rows: list
-) -> DataFrame:
+def _grid_moments(fold: str, grid: ThresholdGrid, counts: DataFrame) -> DataFrame:
     """Kappa of every tuple and fold when all classes occur in every fold.
 
     Then a class is its own position, and with `c` rows and label sum `s` at or
@@ -247,23 +240,20 @@ def _grid_moments(
     `p*p` of `(2i+1) c` and `t*p` of `s`.
     """
     n = len(grid.axes) + 1
-    lean = []
-    for r in rows:
-        above, every = [r[f"ge_{c}"] for c in range(n)], [r[f"all_{c}"] for c in range(n)]
-        lean.append(
-            (
-                r[fold],
-                r["at"],
-                sum(above),
-                sum(c * k for c, k in enumerate(above)),
-                sum(every),
-                sum(c * k for c, k in enumerate(every)),
-                sum(c * c * k for c, k in enumerate(every)),
-            )
-        )
-    kind = df.schema[fold].dataType.simpleString()
-    schema = f"`{fold}` {kind}, at int, c bigint, s bigint, n bigint, t bigint, tt bigint"
-    table = _joined(df.sparkSession, fold, grid, schema, ["c", "s"], lean)
+
+    def total(name, power):
+        return reduce(add, [F.col(f"{name}_{c}") * c**power for c in range(n)])
+
+    lean = counts.select(
+        fold,
+        "at",
+        total("ge", 0).alias("c"),
+        total("ge", 1).alias("s"),
+        total("all", 0).alias("n"),
+        total("all", 1).alias("t"),
+        total("all", 2).alias("tt"),
+    )
+    table = _joined(fold, grid, ["c", "s"], lean)
     at = range(n - 1)
     p = reduce(add, [F.col(f"c_{i}") for i in at])
     pp = reduce(add, [F.col(f"c_{i}") * (2 * i + 1) for i in at])
@@ -277,13 +267,13 @@ def grid_scores(
 ) -> DataFrame:
     """Mean over the folds of each tuple's kappa; null if one fold has none."""
     n = len(grid.axes) + 1
-    whole, partial = [], []
-    for r in _fetched(df, fold, y, pred, grid):
-        (whole if all(r[f"all_{c}"] for c in range(n)) else partial).append(r)
-    scored = _grid_moments(df, fold, grid, whole)
-    if partial:
+    counts = _counted(df, fold, y, pred, grid)
+    full = reduce(and_, [F.col(f"all_{c}") > 0 for c in range(n)])
+    scored = _grid_moments(fold, grid, counts.where(full))
+    partial = counts.where(~full)
+    if not partial.isEmpty():
         rest = kappa_of_cells(grid_cells(df, fold, y, pred, grid, partial), n)
-        scored = scored.unionByName(rest) if whole else rest
+        scored = scored.unionByName(rest)
     all_defined = F.count("qwk") == F.count(F.lit(1))
     return scored.groupBy("combo", *grid.names).agg(
         F.when(all_defined, F.avg("qwk")).alias("score")
