@@ -269,9 +269,12 @@ def _memo(app: str, sf_dir: str, name: str) -> dict:
     return {}
 
 
-def remembered(spark: SparkSession, sf_dir: str, name: str, make):
-    """A value derived once per session and data folder, such as a written table."""
+def input_path(spark: SparkSession, sf_dir: str, name: str, make):
+    """Where input files lie that are written once per session and data folder.
+
+    Only paths are kept, never rows or results.
+    """
     slot = _memo(spark.sparkContext.applicationId, sf_dir, name)
-    if "value" not in slot:
-        slot["value"] = make()
-    return slot["value"]
+    if "path" not in slot:
+        slot["path"] = make()
+    return slot["path"]

@@ -358,18 +358,12 @@ MEMBER_PREDS = " UNION ALL ".join(
 @query("ensemble_predict", f"SELECT doc_id, {sql_r6('pred')} AS pred, CAST({class_sql('pred', ENSEMBLE_CUTS)} AS INT) AS class FROM (SELECT doc_id, sum(pred / 5e0 / 2e0) AS pred FROM ({MEMBER_PREDS}) p GROUP BY doc_id) b")
 def ensemble_predict(spark, sf_dir):
     docs = I.documents(spark, sf_dir)
-    members = [
-        models.predict_folds(
-            [ExpressionModel(k, F.expr(f"{fold_score_sql(k)} + {m}e-1")) for k in range(N_FOLD)],
-            docs,
-            "doc_id",
-            f"m{m}",
-        )
+    members = {
+        f"m{m}": [ExpressionModel(k, F.expr(f"{fold_score_sql(k)} + {m}e-1")) for k in range(N_FOLD)]
         for m in range(2)
-    ]
-    done = ensemble.ensemble_predict(
-        models.union_all(members), 2, N_FOLD, ENSEMBLE_CUTS, "doc_id"
-    )
+    }
+    preds = models.predict_members(members, docs, "doc_id")
+    done = ensemble.ensemble_predict(preds, 2, N_FOLD, ENSEMBLE_CUTS, "doc_id")
     return done.select("doc_id", r6("pred").alias("pred"), "class")
 
 
@@ -447,15 +441,16 @@ def oof_predict(spark, sf_dir):
 
 # One metric value per fold and iteration, from the totals of the orders.
 CURVE_SQL = f"""(
-  SELECT 'main' AS model, CAST(o_orderkey % 5 AS INT) AS fold, CAST(o_orderkey // 5 % 40 AS INT) AS iter,
-         'q_kappa' AS metric, avg(o_totalprice) / 1e6 AS value FROM orders GROUP BY 1, 2, 3
-  UNION ALL
-  SELECT 'main', CAST(o_orderkey % 5 AS INT), CAST(o_orderkey // 5 % 40 AS INT), 'rmse',
-         max(o_totalprice) / 1e6 FROM orders GROUP BY 1, 2, 3
+  SELECT model, CAST(o_orderkey % 5 AS INT) AS fold, CAST(o_orderkey // 5 % 40 AS INT) AS iter,
+         metric, CASE metric WHEN 'q_kappa' THEN avg(o_totalprice) ELSE max(o_totalprice) END / 1e6
+         * CASE model WHEN 'main' THEN 1 ELSE CAST(1 + o_orderkey // 5 % 40 AS DOUBLE) / 40 END AS value
+  FROM orders, (VALUES ('main'), ('other')) m(model), (VALUES ('q_kappa'), ('rmse')) k(metric)
+  GROUP BY 1, 2, 3, 4, o_orderkey // 5 % 40
 )"""
 
 
 def curve(spark, sf_dir) -> DataFrame:
+    """Two models: the second one's values rise with the iteration."""
     grouped = (
         I.table(spark, sf_dir, "orders")
         .groupBy(
@@ -468,7 +463,13 @@ def curve(spark, sf_dir) -> DataFrame:
         )
     )
     long = grouped.unpivot(["fold", "iter"], ["q_kappa", "rmse"], "metric", "value")
-    return long.select(F.lit("main").alias("model"), "fold", "iter", "metric", "value")
+    scale = {"main": F.lit(1.0), "other": (F.col("iter") + 1) / F.lit(40.0)}
+    each = F.array(
+        *[F.struct(F.lit(m).alias("model"), (F.col("value") * x).alias("value")) for m, x in scale.items()]
+    )
+    return long.select("fold", "iter", "metric", F.inline(each)).select(
+        "model", "fold", "iter", "metric", "value"
+    )
 
 
 CURVE_KEYS = ["model", "metric", "iter"]
@@ -480,7 +481,7 @@ def curve_mean_std(spark, sf_dir):
     return rounded(models.curve_mean_std(curve(spark, sf_dir)), CURVE_KEYS)
 
 
-BEST_ITER = f"(SELECT * FROM {MEAN_SQL} m WHERE metric = 'q_kappa' ORDER BY round(mean, 9) DESC, iter LIMIT 1)"
+BEST_ITER = f"(SELECT * FROM {MEAN_SQL} m WHERE metric = 'q_kappa' QUALIFY row_number() OVER (PARTITION BY model ORDER BY round(mean, 9) DESC, iter) = 1)"
 
 
 @query("argmax_iteration", f"SELECT model, metric, iter, {sql_r6('mean')} AS mean, {sql_r6('std')} AS std FROM {BEST_ITER} b")
@@ -490,16 +491,16 @@ def argmax_iteration(spark, sf_dir):
     return rounded(best, CURVE_KEYS)
 
 
-@query("best_iteration", f"SELECT m.model, m.iter + 1 AS best_iter, m.metric, {sql_r6('m.mean')} AS mean, {sql_r6('m.std')} AS std FROM {MEAN_SQL} m JOIN {BEST_ITER} b ON b.iter = m.iter")
+@query("best_iteration", f"SELECT m.model, m.iter + 1 AS best_iter, m.metric, {sql_r6('m.mean')} AS mean, {sql_r6('m.std')} AS std FROM {MEAN_SQL} m JOIN {BEST_ITER} b ON b.iter = m.iter AND b.model = m.model")
 def best_iteration(spark, sf_dir):
     best = models.best_iteration(curve(spark, sf_dir), digits=9)
     return rounded(best, ["model", "best_iter", "metric"])
 
 
-@query("melt_curve", f"SELECT fold, iter, metric, {sql_r6('value')} AS value FROM {CURVE_SQL} c WHERE metric = 'q_kappa'")
+@query("melt_curve", f"SELECT fold, iter, metric, {sql_r6('value')} AS value FROM {CURVE_SQL} c WHERE metric = 'q_kappa' AND model = 'main'")
 def melt_curve(spark, sf_dir):
     """One column per fold turned into rows."""
-    kappa = curve(spark, sf_dir).where(F.col("metric") == "q_kappa")
+    kappa = curve(spark, sf_dir).where("metric = 'q_kappa' AND model = 'main'")
     wide = kappa.groupBy("iter").pivot("fold", list(range(N_FOLD))).agg(F.first("value"))
     wide = wide.select("iter", *[F.col(str(k)).alias(f"fold_{k}") for k in range(N_FOLD)])
     long = models.melt_curve(wide, "q_kappa", N_FOLD).where(F.col("value").isNotNull())

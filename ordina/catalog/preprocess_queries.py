@@ -28,7 +28,7 @@ from ordina.functions import features as ff
 from ordina.operators import encode, folds, pseudo, quality, series
 from ordina.operators.ensemble import union_lists as union_lists_of
 from ordina.plans import preprocess
-from ordina.plans.row_features import HOURS, MISSING, PAQ, ROW_FEATURES, row_features
+from ordina.plans.row_features import FGC, HOURS, MISSING, PAQ, ROW_FEATURES, ZONES, row_features
 from ordina.session import fresh_path
 from ordina.sources import tables
 
@@ -45,7 +45,7 @@ def subject_file(spark: SparkSession, sf_dir: str) -> str:
         I.subjects(spark, sf_dir).write.option("header", True).csv(path)
         return path
 
-    return I.remembered(spark, sf_dir, "subject_file", make)
+    return I.input_path(spark, sf_dir, "subject_file", make)
 
 
 def series_root(spark: SparkSession, sf_dir: str) -> str:
@@ -54,7 +54,7 @@ def series_root(spark: SparkSession, sf_dir: str) -> str:
         tables.write_series(I.series(spark, sf_dir), path)
         return path
 
-    return I.remembered(spark, sf_dir, "series_root", make)
+    return I.input_path(spark, sf_dir, "series_root", make)
 
 
 def gold_paths(spark: SparkSession, sf_dir: str) -> dict[str, str]:
@@ -69,7 +69,7 @@ def gold_paths(spark: SparkSession, sf_dir: str) -> dict[str, str]:
         preprocess.prepare_test(I.subjects(spark, sf_dir, False), raw, ROLES, paths["test"])
         return paths
 
-    return I.remembered(spark, sf_dir, "gold_paths", make)
+    return I.input_path(spark, sf_dir, "gold_paths", make)
 
 
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -256,7 +256,7 @@ def lookup_mapper(spark, sf_dir):
         spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(path)
         return path
 
-    maps = tables.lookup_mapper(spark, I.remembered(spark, sf_dir, "mapper", make))
+    maps = tables.lookup_mapper(spark, I.input_path(spark, sf_dir, "mapper", make))
     return I.subjects(spark, sf_dir).select(
         "id", *[fc.encode_label(c, maps[c]).alias(c) for c in SEASONS]
     )
@@ -268,18 +268,37 @@ def scan_gold(spark, sf_dir):
     return rounded(gold(spark, sf_dir), EXACT)
 
 
-@query("sink_gold", f"SELECT 'gold' AS part, count(*) AS n FROM {encoded_sql()} e WHERE sii IS NOT NULL UNION ALL SELECT 'unlabelled', count(*) FROM {encoded_sql()} e WHERE sii IS NULL")
+@query("prepare_training", f"SELECT 'gold' AS part, id, fold_info FROM {small_gold_sql()} g UNION ALL SELECT 'unlabelled', id, NULL FROM {encoded_sql()} e WHERE sii IS NULL")
+def prepare_training(spark, sf_dir):
+    """Both tables as the plan writes them: ids and folds."""
+    gold_path, rest_path = fresh_path(spark, "prepared-gold"), fresh_path(spark, "prepared-rest")
+    preprocess.prepare_training(
+        I.subjects(spark, sf_dir), I.series(spark, sf_dir), ROLES, gold_path, rest_path, SEED
+    )
+    read = [
+        tables.scan_table(spark, gold_path).select(F.lit("gold").alias("part"), "id", "fold_info"),
+        tables.scan_table(spark, rest_path).select(
+            F.lit("unlabelled").alias("part"), "id", F.lit(None).cast("string").alias("fold_info")
+        ),
+    ]
+    return read[0].unionByName(read[1])
+
+
+SUNK = ["id", *SEASONS, *CODES, TARGET]
+
+
+@query("sink_gold", f"SELECT CASE WHEN sii IS NULL THEN 'unlabelled' ELSE 'gold' END AS part, {', '.join(q(c) for c in SUNK)} FROM {encoded_sql()} e")
 def sink_gold(spark, sf_dir):
-    """Row counts of both tables read back after one `sink_gold`."""
+    """The rows of both tables read back after one `sink_gold`."""
     gold_path, rest_path = fresh_path(spark, "sink-gold"), fresh_path(spark, "sink-rest")
     encoded = encode.encode_categories(I.subjects(spark, sf_dir), ROLES)
     tables.sink_gold(encoded, TARGET, gold_path, rest_path)
     parts = [("gold", gold_path), ("unlabelled", rest_path)]
-    counted = [
-        quality.row_count(spark.read.parquet(p)).select(F.lit(name).alias("part"), "n")
+    read = [
+        spark.read.parquet(p).select(F.lit(name).alias("part"), *[f"`{c}`" for c in SUNK])
         for name, p in parts
     ]
-    return counted[0].unionByName(counted[1])
+    return read[0].unionByName(read[1])
 
 
 @query("scan_unlabelled", rounded_sql(WIDE, wide_sql(), "WHERE sii IS NULL"))
@@ -365,20 +384,20 @@ def drop_cols(spark, sf_dir):
     return rounded(I.subjects(spark, sf_dir).drop(*I.TARGET_COLUMNS), EXACT)
 
 
-@query("series_subset", f"SELECT w.id, {q(DAYS)} FROM {wide_sql()} w WHERE coalesce({', '.join(q(n) for n in SUMMARY)}) IS NOT NULL")
+@query("series_subset", rounded_sql(["id", *SUMMARY], f"(SELECT * FROM {wide_sql()} w WHERE coalesce({', '.join(q(c) for c in SUMMARY)}) IS NOT NULL)"))
 def series_subset(spark, sf_dir):
     wide = series.join_series(
         I.subjects(spark, sf_dir), preprocess.summarise_series(I.series(spark, sf_dir), ROLES)
     )
-    return series.series_subset(wide).select("id", DAYS)
+    return rounded(series.series_subset(wide).select("id", *SUMMARY), EXACT)
 
 
-@query("common_columns", f"SELECT {', '.join(q(c) for c in WIDE_TEST if c in EXACT)} FROM {wide_sql()} w")
+@query("common_columns", rounded_sql(WIDE_TEST, wide_sql()))
 def common_columns(spark, sf_dir):
-    """Train columns cut to those the test table has; the exact ones shown."""
+    """Train columns cut to those the test table has."""
     train = preprocess.build_features(I.subjects(spark, sf_dir), I.series(spark, sf_dir), ROLES)
     keep = pseudo.common_columns(train.columns, test_features(spark, sf_dir).columns)
-    return train.select(*keep).select(*[c for c in keep if c in EXACT])
+    return rounded(train.select(*keep), EXACT)
 
 
 # --- encoders and row features -----------------------------------------------
@@ -404,8 +423,6 @@ def _family(name: str, column, sql: str) -> None:
         return I.subjects(spark, sf_dir).select("id", r6(value).alias("value"))
 
 
-FGC = tuple(f"FGC-FGC_{n}" for n in ("PU", "CU", "GSD", "GSND", "SRL", "SRR", "TL"))
-ZONES = [f"FGC-FGC_{n}_Zone" for n in ("CU", "PU", "SRL", "SRR", "TL")]
 _family("feat_coalesce", lambda: ff.feat_coalesce("PAQ_C-PAQ_C_Total", "PAQ_A-PAQ_A_Total"), 'coalesce("PAQ_C-PAQ_C_Total", "PAQ_A-PAQ_A_Total")')
 _family("feat_null_count", lambda: ff.feat_null_count(*ROLES.inputs), "(" + " + ".join(f"CAST({q(c)} IS NULL AS INT)" for c in ROLES.inputs) + ")")
 _family("feat_product", lambda: ff.feat_product("Physical-BMI", AGE), _feature_sql("product", ("Physical-BMI", AGE)))
@@ -419,7 +436,7 @@ _family("feat_sum", lambda: ff.feat_sum(*FGC), f"({_feature_sql('sum', FGC)})")
 _family("feat_row_mean", lambda: ff.feat_row_mean(*FGC), _feature_sql("row_mean", FGC))
 _family("feat_threshold_sum", lambda: ff.feat_threshold_sum(["FGC-FGC_GSD_Zone", "FGC-FGC_GSND_Zone"], ZONES), f"({_feature_sql('achievements', ('FGC-FGC_GSD_Zone', 'FGC-FGC_GSND_Zone', *ZONES))})")
 _family("sum_horizontal", lambda: ff.sum_ignoring_nulls(*FGC), f"coalesce(list_sum([{', '.join(q(c) for c in FGC)}]), 0)")
-_family("score_to_level", lambda: fc.score_to_level("BIA-BIA_Fat"), 'CASE WHEN "BIA-BIA_Fat" <= 30 THEN 0 WHEN "BIA-BIA_Fat" <= 49 THEN 1 WHEN "BIA-BIA_Fat" <= 79 THEN 2 ELSE 3 END')
+_family("score_to_level", lambda: fc.score_to_level(NUMERIC[3]), f"CASE WHEN {q(NUMERIC[3])} <= 30 THEN 0 WHEN {q(NUMERIC[3])} <= 49 THEN 1 WHEN {q(NUMERIC[3])} <= 79 THEN 2 ELSE 3 END")
 _family("bin_age", lambda: fc.bin_age(AGE), AGE_BIN_SQL)
 
 
@@ -530,6 +547,16 @@ def leak_check(spark, sf_dir):
     return quality.leak_check(*sides, "id")
 
 
+@query("leaks_found", "SELECT " + ", ".join(f"count(DISTINCT user_id) FILTER (WHERE user_id % 5 = {k} AND user_id % 3 = 0) AS fold_{k}" for k in range(5)) + " FROM events")
+def leaks_found(spark, sf_dir):
+    """Ids that every third user has in its validation rows and, once more, in the train rows."""
+    users = I.table(spark, sf_dir, "events").select(F.col("user_id").alias("id")).distinct()
+    fold = (F.col("id") % 5).cast("int")
+    valid = folds.fold_info(users.withColumn("fold", fold), "fold", 5).drop("fold")
+    again = valid.where("id % 3 = 0").withColumn("fold_info", F.lit(", ".join(["t"] * 5)))
+    return quality.leaks_by_fold(valid.unionByName(again), "id", 5)
+
+
 @query("leaks_by_fold", "SELECT " + ", ".join(f"CAST(0 AS BIGINT) AS fold_{k}" for k in range(5)) + f" FROM {small_gold_sql()} g HAVING count(*) > 0")
 def leaks_by_fold(spark, sf_dir):
     """Leaking ids per fold of the gold table; there are none."""
@@ -609,17 +636,23 @@ def fill_none(spark, sf_dir):
 
 
 def _one_hot_sql() -> str:
-    seasons = sorted(I.SEASON_CODES)
-    many = ", ".join(f"CAST(coalesce(\"CGAS-Season\" = '{s}', false) AS DOUBLE) AS {q(f'CGAS-Season={s}')}" for s in seasons)
-    two = f"CASE {q(SEX)} WHEN 0 THEN 1e0 WHEN 1 THEN -1e0 ELSE 0e0 END AS {q(SEX)}"
-    return f"SELECT id, {many}, {two} FROM {I.subjects_sql()} s"
+    labels = {c: sorted(I.SEASON_CODES) for c in SEASONS}
+    labels |= {c: [str(v) for v in range(2 + i % 3)] for i, c in enumerate(CODES)}
+    parts = []
+    for c, values in labels.items():
+        text = f"CAST({q(c)} AS VARCHAR)"
+        if len(values) == 2:
+            parts.append(f"CASE {text} WHEN '{values[0]}' THEN 1e0 WHEN '{values[1]}' THEN -1e0 ELSE 0e0 END AS {q(c)}")
+        else:
+            parts += [f"CAST(coalesce({text} = '{v}', false) AS DOUBLE) AS {q(f'{c}={v}')}" for v in values]
+    return f"SELECT id, {', '.join(parts)} FROM {I.subjects_sql()} s"
 
 
 @query("one_hot_missing_zero", _one_hot_sql())
 def one_hot_missing_zero(spark, sf_dir):
-    """Four categories as four columns, two categories as one signed column."""
-    rows = I.subjects(spark, sf_dir).select("id", "CGAS-Season", SEX)
-    return encode.one_hot_missing_zero(rows, [], ["CGAS-Season", SEX])[0]
+    """Every categorical column: many labels as many columns, two as one signed column."""
+    rows = I.subjects(spark, sf_dir).select("id", *SEASONS, *CODES)
+    return encode.one_hot_missing_zero(rows, [], [*SEASONS, *CODES])[0]
 
 
 MEASURED = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]

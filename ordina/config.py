@@ -41,7 +41,14 @@ CODES = (
     "BIA-BIA_Activity_Level_num", "BIA-BIA_Frame_num", "PreInt_EduHx-computerinternet_hoursday",
 )
 TARGET_SEASON = "PCIAT-Season"
-TARGET_ITEMS = tuple(f"PCIAT-PCIAT_{i:02d}" for i in range(1, 21)) + ("PCIAT-PCIAT_Total",)
+TARGET_ITEMS = (
+    "PCIAT-PCIAT_01", "PCIAT-PCIAT_02", "PCIAT-PCIAT_03", "PCIAT-PCIAT_04",
+    "PCIAT-PCIAT_05", "PCIAT-PCIAT_06", "PCIAT-PCIAT_07", "PCIAT-PCIAT_08",
+    "PCIAT-PCIAT_09", "PCIAT-PCIAT_10", "PCIAT-PCIAT_11", "PCIAT-PCIAT_12",
+    "PCIAT-PCIAT_13", "PCIAT-PCIAT_14", "PCIAT-PCIAT_15", "PCIAT-PCIAT_16",
+    "PCIAT-PCIAT_17", "PCIAT-PCIAT_18", "PCIAT-PCIAT_19", "PCIAT-PCIAT_20",
+    "PCIAT-PCIAT_Total",
+)
 
 SIGNALS = ("X", "Y", "Z", "enmo", "anglez", "light", "battery_voltage")
 PLANAR_NORM = "2d_norm"

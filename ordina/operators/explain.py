@@ -34,25 +34,33 @@ def importance_mean(table: DataFrame, value: str = "importance") -> DataFrame:
 # --- split gain --------------------------------------------------------------
 
 
-def gain_by_fold(spark, models: Sequence[FoldModel]) -> DataFrame:
-    """`(fold, feature, importance)`: total split gain, 0 for a feature never used.
+def gain_by_fold(spark, models: Sequence[FoldModel], kind: str = "total") -> DataFrame:
+    """`(fold, feature, importance)`: split gain, 0 for a feature never used.
 
-    The table has one row per fold and feature, whatever the data size.
+    `total` adds up the gains, weighted by rows, of the trees up to the cut. `mean` is
+    the mean of these gains per split over all trees. The table has one row per fold
+    and feature, whatever the data size.
     """
+    if kind not in ("total", "mean"):
+        raise ValueError(f"unknown kind of gain {kind}")
     rows = []
     for m in models:
         gains = dict.fromkeys(m.space.features, 0.0)
+        splits = dict.fromkeys(m.space.features, 0)
         owners = m.space.slot_owners
-        for tree in m.trees[: m.upto or m.n_trees]:
+        for tree in m.trees[: (m.upto or m.n_trees) if kind == "total" else m.n_trees]:
             for f, g, cover in zip(tree.feature, tree.gain, tree.cover):
                 if f >= 0:
                     gains[owners[f]] += float(g * cover)
+                    splits[owners[f]] += 1
+        if kind == "mean":
+            gains = {f: g / max(1, splits[f]) for f, g in gains.items()}
         rows += [(m.fold, f, g) for f, g in gains.items()]
     return spark.createDataFrame(rows, "fold int, feature string, importance double")
 
 
-def gain_importance(spark, models: Sequence[FoldModel]) -> DataFrame:
-    return importance_mean(gain_by_fold(spark, models))
+def gain_importance(spark, models: Sequence[FoldModel], kind: str = "total") -> DataFrame:
+    return importance_mean(gain_by_fold(spark, models, kind))
 
 
 # --- permutation -------------------------------------------------------------
@@ -134,7 +142,17 @@ def permutation_importance(
     thresholds: Sequence[float] = BASE_THRESHOLDS,
     info_col: str = "fold_info",
 ) -> DataFrame:
-    """`(feature, importance)`: mean fold kappa minus its mean over the shuffles."""
+    """`(feature, importance)`: mean fold kappa minus its mean over the shuffles.
+
+    A feature that no model splits on leaves every score as it is: its importance is 0
+    and its shuffles are not scored.
+    """
+    used = _split_on(models, features)
+    unused = [f for f in features if f not in used]
+    features = [f for f in features if f in used]
+    zeros = df.sparkSession.createDataFrame([(f, 0.0) for f in unused], "feature string, importance double")
+    if not features:
+        return zeros
     valid = union_all(
         [
             m.score(df.where(fold_entry(info_col, m.fold) == "v"), PRED, [target]).withColumn(
@@ -155,12 +173,24 @@ def permutation_importance(
     )
     # One base row per fold; every feature and repeat has all folds once.
     return (
-        shuffled.join(F.broadcast(base), "fold")
+        shuffled.join(base, "fold")
         .groupBy("feature")
         .agg((F.avg("base") - F.avg("qwk")).alias("importance"))
+        .unionByName(zeros)
     )
 
 
+def _split_on(models: Sequence, features: Sequence[str]) -> set[str]:
+    """Features that some model may read; for trees up to the cut, those of their splits."""
+    found: set[str] = set()
+    for m in models:
+        if not getattr(m, "is_ensemble", False):
+            return set(features)
+        for tree in m.trees[: m.upto or m.n_trees]:
+            found.update(m.space.slot_owners[f] for f in tree.feature if f >= 0)
+    return found
+
+
 # --- additive contributions --------------------------------------------------
 
 

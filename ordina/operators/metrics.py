@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -161,3 +162,55 @@ def qwk_round(df: DataFrame, y: str, pred: str, by: Sequence[str] = ()) -> DataF
 def qwk_ordinal(df: DataFrame, y: str, scores: str, by: Sequence[str] = ()) -> DataFrame:
     """Kappa of two ordinal vectors, each decoded to its class."""
     return qwk(df, ordinal_decode(y), ordinal_decode(scores), by)
+
+
+# --- pluggable metrics -------------------------------------------------------
+
+
+@dataclass(frozen=True)
+class Metric:
+    """A metric of target and score that can be grouped.
+
+    `parts` gives the aggregates it needs, `finish` turns the columns of these
+    aggregates into one column and keeps the others.
+    """
+
+    parts: Callable[[Column, Column], list[Column]]
+    finish: Callable[[DataFrame, str], DataFrame]
+
+
+def column_metric(how: Callable[[Column, Column], Column]) -> Metric:
+    """A metric given as one aggregate of (target, score)."""
+    return Metric(
+        lambda y, p: [how(y, p).alias("__metric")],
+        lambda df, out: df.withColumnRenamed("__metric", out),
+    )
+
+
+def squared_error() -> Metric:
+    return column_metric(lambda y, p: F.avg(F.pow(y.cast("double") - p, F.lit(2))))
+
+
+def threshold_kappa(thresholds: Sequence[float]) -> Metric:
+    n = len(thresholds) + 1
+    return Metric(
+        lambda y, p: cell_counts(round_half_even(y), round_to_class(p, thresholds), n),
+        lambda df, out: kappa_of_cells(df, n, out),
+    )
+
+
+def rounded_kappa(low: int = -2, high: int = N_CLASSES + 1) -> Metric:
+    """Kappa of scores rounded half to even; labels outside `low..high` are an error."""
+    n = high - low + 1
+
+    def parts(y: Column, p: Column) -> list[Column]:
+        a, b = round_half_even(y) - low, round_half_even(p) - low
+        known = F.coalesce(a.between(0, n - 1) & b.between(0, n - 1), F.lit(False))
+        return [*cell_counts(a, b, n), F.count_if(~known).alias("__odd")]
+
+    def finish(df: DataFrame, out: str) -> DataFrame:
+        fits = F.when(F.col("__odd") == 0, F.lit(True))
+        fails = F.raise_error(F.lit("a class lies outside the known range")).cast("boolean")
+        return kappa_of_cells(df.where(fits.otherwise(fails)).drop("__odd"), n, out)
+
+    return Metric(parts, finish)

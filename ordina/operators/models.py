@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import math
 import sys
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 from functools import cached_property, reduce
 from multiprocessing.pool import ThreadPool
@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from ordina.config import BASE_THRESHOLDS
 from ordina.functions.classes import fold_entry, round_half_even, round_to_class
 from ordina.operators.encode import category_rows, fill_none_columns
-from ordina.operators.metrics import cell_counts, kappa_of_cells
-from ordina.session import fresh_path, shared_dir
+from ordina.operators.metrics import Metric, cell_counts, kappa_of_cells
+from ordina.session import fresh_path, shared_dir, written
 
 PRED = "pred"
 
@@ -464,12 +464,17 @@ def staged_metric(
     model: str = "main",
     metric: str = "q_kappa",
     info_col: str = "fold_info",
+    metrics: Mapping[str, Metric] | None = None,
 ) -> DataFrame:
-    """`(model, fold, iter, metric, value)`: validation kappa after every tree.
+    """`(model, fold, iter, metric, value)`: validation metrics after every tree.
 
-    Each Arrow batch of rows is reduced at once to counts per iteration, class
-    and label; no per-row curve leaves a task.
+    By default the kappa of `thresholds`, called `metric`: each Arrow batch of rows
+    is reduced at once to counts per iteration, class and label, and no per-row curve
+    leaves a task. `metrics` names others instead; all of them come from one pass, in
+    which the rows' scores after every tree meet the partial aggregates.
     """
+    if metrics is not None:
+        return _staged_metrics(models, df, target, model, info_col, metrics)
     n_classes = len(thresholds) + 1
     counted = []
     for m in models:
@@ -491,6 +496,51 @@ def staged_metric(
     )
 
 
+def _staged_metrics(models, df, target, model, info_col, metrics) -> DataFrame:
+    staged = []
+    for m in models:
+        valid = df.where(fold_entry(info_col, m.fold) == "v")
+        rows = m.leaves(valid, [target]).select("__leaf", F.col(target).cast("double").alias("y"))
+        scores = rows.mapInPandas(
+            _stage_scorer(m.tree_terms(), m.weights, m.averages), "iter int, y double, pred double"
+        )
+        staged.append(scores.withColumn("fold", F.lit(m.fold)))
+    y, p = F.col("y"), F.col("pred")
+    parts = [F.struct(*how.parts(y, p)).alias(f"__of_{i}") for i, how in enumerate(metrics.values())]
+    # One row per fold and iteration, read once for every metric.
+    grouped = written(union_all(staged).groupBy("fold", "iter").agg(*parts), "staged")
+    done = []
+    for i, (name, how) in enumerate(metrics.items()):
+        one = how.finish(grouped.select("fold", "iter", f"__of_{i}.*"), "value")
+        done.append(
+            one.select(F.lit(model).alias("model"), "fold", "iter", F.lit(name).alias("metric"), "value")
+        )
+    return union_all(done)
+
+
+def _stage_scorer(terms, weights, averages):
+    """Per row and tree number: the score after that tree."""
+
+    def score(batches):
+        for batch in batches:
+            for at in range(0, len(batch), 1000):
+                some = batch.iloc[at : at + 1000]
+                leaf = np.stack(some["__leaf"].to_numpy()).astype(np.int64)
+                steps = np.stack([np.asarray(v)[leaf[:, t]] for t, v in enumerate(terms)], axis=1)
+                staged = np.cumsum(steps, axis=1)
+                if averages:
+                    staged /= np.cumsum(weights[: len(terms)])
+                yield pd.DataFrame(
+                    {
+                        "iter": np.tile(np.arange(len(terms), dtype=np.int32), len(some)),
+                        "y": np.repeat(some["y"].to_numpy(), len(terms)),
+                        "pred": staged.ravel(),
+                    }
+                )
+
+    return score
+
+
 def _stage_counter(terms, weights, averages, thresholds):
     """Per batch: counts of (tree number, label, class)."""
     n_classes = len(thresholds) + 1

@@ -18,17 +18,15 @@ PAQ = "PAQ_Total"
 MISSING = "mine_feature_missing"
 
 
-def _fgc(*names: str) -> list[str]:
-    return [f"FGC-FGC_{n}" for n in names]
-
-
-def _bia(name: str) -> str:
-    return f"BIA-BIA_{name}"
-
-
-ZONES = _fgc("CU_Zone", "PU_Zone", "SRL_Zone", "SRR_Zone", "TL_Zone")
-
 # --- fixed values: output name, formula family, inputs -----------------------
+FGC = (
+    "FGC-FGC_PU", "FGC-FGC_CU", "FGC-FGC_GSD", "FGC-FGC_GSND", "FGC-FGC_SRL", "FGC-FGC_SRR",
+    "FGC-FGC_TL",
+)
+ZONES = (
+    "FGC-FGC_CU_Zone", "FGC-FGC_PU_Zone", "FGC-FGC_SRL_Zone", "FGC-FGC_SRR_Zone",
+    "FGC-FGC_TL_Zone",
+)
 ROW_FEATURES: tuple[tuple[str, str, tuple[str, ...]], ...] = (
     ("demo_Age_bmi", "product", (BMI, AGE)),
     ("demo_age_Internet_Hours", "product", (HOURS, AGE)),
@@ -57,32 +55,32 @@ ROW_FEATURES: tuple[tuple[str, str, tuple[str, ...]], ...] = (
         "ratio_plus1",
         ("Fitness_Endurance-Max_Stage", HOURS),
     ),
-    ("fitnessgramchild_SRTotal", "sum", tuple(_fgc("SRR", "SRL"))),
+    ("fitnessgramchild_SRTotal", "sum", ("FGC-FGC_SRR", "FGC-FGC_SRL")),
     (
         "fitnessgramchild_horizontal_mean_FGC",
         "row_mean",
-        tuple(_fgc("PU", "CU", "GSD", "GSND", "SRL", "SRR", "TL")),
+        FGC,
     ),
-    ("fitnessgramchild_Fitness_Level", "code_sum", tuple(ZONES)),
+    ("fitnessgramchild_Fitness_Level", "code_sum", ZONES),
     (
         "fitnessgramchild_Fitness_Achievements",
         "achievements",
-        (*_fgc("GSD_Zone", "GSD_Zone"), *ZONES),
+        ("FGC-FGC_GSD_Zone", "FGC-FGC_GSD_Zone", *ZONES),
     ),
-    ("fitnessgramchild_Overall_Flexibility_Score", "sum", tuple(_fgc("SRR", "SRL", "TL"))),
-    ("bio_BFP_BMI", "ratio_plus1", (_bia("Fat"), _bia("BMI"))),
-    ("bio_FFMI_BFP", "ratio_plus1", (_bia("FFMI"), _bia("Fat"))),
-    ("bio_FMI_BFP", "ratio_plus1", (_bia("FMI"), _bia("Fat"))),
-    ("bio_LST_TBW", "ratio_plus1", (_bia("LST"), _bia("TBW"))),
-    ("bio_BFP_BMR", "product", (_bia("Fat"), _bia("BMR"))),
-    ("bio_BFP_DEE", "product", (_bia("Fat"), _bia("DEE"))),
-    ("bio_Muscle_to_Fat", "guarded_ratio", (_bia("SMM"), _bia("FMI"))),
-    ("bio_ICW_TBW", "ratio_plus1", (_bia("ICW"), _bia("TBW"))),
-    ("bio_Water_Balance_Ratio", "ratio_plus1", (_bia("ECW"), _bia("ICW"))),
-    ("bio_BMR_Weight", "ratio_plus1", (_bia("BMR"), WEIGHT)),
-    ("bio_DEE_Weight", "ratio_plus1", (_bia("DEE"), WEIGHT)),
-    ("bio_SMM_Height", "ratio_plus1", (_bia("SMM"), HEIGHT)),
-    ("bio_Hydration_Status", "ratio_plus1", (_bia("TBW"), WEIGHT)),
+    ("fitnessgramchild_Overall_Flexibility_Score", "sum", ("FGC-FGC_SRR", "FGC-FGC_SRL", "FGC-FGC_TL")),
+    ("bio_BFP_BMI", "ratio_plus1", ("BIA-BIA_Fat", "BIA-BIA_BMI")),
+    ("bio_FFMI_BFP", "ratio_plus1", ("BIA-BIA_FFMI", "BIA-BIA_Fat")),
+    ("bio_FMI_BFP", "ratio_plus1", ("BIA-BIA_FMI", "BIA-BIA_Fat")),
+    ("bio_LST_TBW", "ratio_plus1", ("BIA-BIA_LST", "BIA-BIA_TBW")),
+    ("bio_BFP_BMR", "product", ("BIA-BIA_Fat", "BIA-BIA_BMR")),
+    ("bio_BFP_DEE", "product", ("BIA-BIA_Fat", "BIA-BIA_DEE")),
+    ("bio_Muscle_to_Fat", "guarded_ratio", ("BIA-BIA_SMM", "BIA-BIA_FMI")),
+    ("bio_ICW_TBW", "ratio_plus1", ("BIA-BIA_ICW", "BIA-BIA_TBW")),
+    ("bio_Water_Balance_Ratio", "ratio_plus1", ("BIA-BIA_ECW", "BIA-BIA_ICW")),
+    ("bio_BMR_Weight", "ratio_plus1", ("BIA-BIA_BMR", WEIGHT)),
+    ("bio_DEE_Weight", "ratio_plus1", ("BIA-BIA_DEE", WEIGHT)),
+    ("bio_SMM_Height", "ratio_plus1", ("BIA-BIA_SMM", HEIGHT)),
+    ("bio_Hydration_Status", "ratio_plus1", ("BIA-BIA_TBW", WEIGHT)),
     ("sleep_activit_sleep_interaction_1", "ratio_plus1", (PAQ, SLEEP)),
     ("sleep_activit_sleep_interaction_2", "product", (PAQ, SLEEP)),
     ("internet_sds_1", "product", (HOURS, SLEEP)),

@@ -17,7 +17,7 @@ from ordina.operators.thresholds import (
     threshold_gain,
     threshold_search,
 )
-from ordina.session import fresh_path
+from ordina.session import fresh_path, written
 from ordina.sources.tables import scan_gold, sink_pseudo, sink_results
 
 
@@ -74,7 +74,8 @@ def fit_round(
         fitted = models.shrink_to_best(fitted, best_iter)
         tables |= {"curve": curve, "best_iteration": summary}
     scored = models.oof_predict(fitted, gold, keep=[roles.id_col, roles.target])
-    scored = scored.withColumn(roles.target, F.col(roles.target).cast("int"))
+    # Read by the search and by whoever stores the result.
+    scored = written(scored.withColumn(roles.target, F.col(roles.target).cast("int")), "oof")
     best = threshold_search(scored, "fold", roles.target, PRED, member.grid)
     if base_score is not None:
         best = threshold_gain(best, base_score)

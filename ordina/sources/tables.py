@@ -94,11 +94,17 @@ def sink_results(tables: Mapping[str, DataFrame], root: str) -> None:
         sink_table(df, f"{root}/{name}")
 
 
-def write_series(df: DataFrame, root: str, id_col: str = "id") -> None:
+def write_series(df: DataFrame, root: str, id_col: str = "id", rows_per_file: int = 5_000_000) -> None:
     """Write a series in the folder-per-id layout `scan_series` reads.
 
-    One shuffle on the id and a few salts, so one large id is written by
-    several tasks and becomes several files in its folder.
+    An id gets one file for each `rows_per_file` rows, written by as many tasks. Only
+    ids above that are counted out to the tasks, and there are few of them: at most
+    one in `rows_per_file` rows.
     """
-    salt = F.pmod(F.xxhash64(*[c for c in df.columns if c != id_col]), F.lit(16))
-    df.repartition(F.col(id_col), salt).write.partitionBy(id_col).parquet(root)
+    large = df.groupBy(F.col(id_col).alias("__id")).agg(F.count(F.lit(1)).alias("__n"))
+    files = F.ceil(F.col("__n") / F.lit(rows_per_file)).cast("int")
+    large = large.where(F.col("__n") > rows_per_file).select("__id", files.alias("__files"))
+    spread = F.pmod(F.xxhash64(*[c for c in df.columns if c != id_col]), F.coalesce("__files", F.lit(1)))
+    rows = df.join(large, F.col(id_col) == F.col("__id"), "left").withColumn("__salt", spread)
+    dealt = rows.repartition(id_col, "__salt").select(*[f"`{c}`" for c in df.columns])
+    dealt.write.partitionBy(id_col).parquet(root)

@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from ordina.functions.classes import bin_age, strata_key
-from ordina.operators import folds, quantiles, ranking
+from ordina.operators import explain, folds, quantiles, ranking
 
 
 def hot_frame(n=3000, seed=1):
@@ -156,3 +156,27 @@ def test_fold_flags(spark):
     df = spark.createDataFrame([(0,), (2,), (None,)], "fold int")
     got = [r.fold_info for r in folds.fold_info(df, "fold", 3).collect()]
     assert got == ["v, t, t", "t, t, v", "n, n, n"]
+
+
+def test_null_ids_keep_their_rows(spark):
+    rows = [(None if i % 5 == 0 else f"s{i}", float(i % 3)) for i in range(200)]
+    df = spark.createDataFrame(rows, "id string, y double")
+    dealt = folds.stratified_folds(df, "id", F.col("y"), 5, 1)
+    sizes = {r["fold"]: r["count"] for r in dealt.groupBy("fold").count().collect()}
+    assert sizes == {k: 40 for k in range(5)}
+    pairs = explain.permuted_pairs(dealt, "id", ["y"], 2, 0)
+    assert pairs.count() == 400
+
+
+def test_folds_have_no_single_partition(spark, capsys):
+    df = spark.range(1000).select(F.col("id").cast("string"), (F.col("id") % 3).alias("y"))
+    folds.stratified_folds(df, "id", F.col("y"), 5).explain("formatted")
+    assert "SinglePartition" not in capsys.readouterr().out
+
+
+@given(st.lists(st.integers(-50, 50), min_size=1, max_size=40, unique=True))
+@settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+def test_prefix_starts(spark, keys):
+    df = spark.createDataFrame([(k, abs(k)) for k in keys], "k int, w long")
+    got = {r.k: r["__start"] for r in ranking.prefix_starts(df, ["k"], "w").collect()}
+    assert got == {k: sum(abs(x) for x in keys if x < k) for k in keys}

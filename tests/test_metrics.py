@@ -173,3 +173,17 @@ def test_a_missing_model_leaves_no_blend(spark):
     df = spark.createDataFrame(rows, "id string, fold int, y int, model string, pred double")
     got = {r.id: r.pred for r in ensemble.ensemble_scores(df, 2, ["id"]).collect()}
     assert got == {"x": 1.5, "y": None}
+
+
+def test_search_over_many_folds(spark):
+    """As many folds as there are, each with all classes."""
+    df = spark.range(1500 * 8).select(
+        (F.col("id") % 1500).cast("int").alias("fold"),
+        (F.col("id") / 1500 % 4).cast("int").alias("y"),
+        ((F.col("id") * 7) % 31 / 10).alias("pred"),
+    )
+    grid = thresholds.grid_cross(points=2)
+    best = thresholds.threshold_search(df, "fold", "y", "pred", grid).first()
+    cuts = [best["t1"], best["t2"], best["t3"]]
+    direct = metrics.qwk_threshold(df, "y", "pred", cuts, ["fold"]).agg(F.count("*"), F.avg("qwk")).first()
+    assert direct[0] == 1500 and best["score"] == pytest.approx(direct[1])

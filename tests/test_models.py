@@ -9,9 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from ordina.config import ColumnRoles
-from ordina.operators import explain, models, pseudo
+from ordina.operators import explain, metrics, models, pseudo
 from ordina.operators.metrics import qwk_threshold
-from ordina.plans import inference, training
+from ordina.plans import inference, store, training
 
 CUTS = (0.5, 1.5, 2.5)
 N_FOLD = 3
@@ -39,6 +39,11 @@ def gold(spark):
     return df.withColumn("c", F.when(F.col("id") == "s7", None).otherwise(F.col("c"))).cache()
 
 
+@pytest.fixture
+def unused_path(tmp_path):
+    return str(tmp_path / "rows")
+
+
 @pytest.fixture(scope="module")
 def boosted(gold):
     return models.cv_fit(gold, ["a", "b"], ["c"], "sii", models.boosted_trees(5, 3, 0.5), N_FOLD)
@@ -246,3 +251,81 @@ def test_train_member_writes_its_results(spark, gold, tmp_path):
     assert best.name == "main" and scores.count() == 1
     found = spark.read.parquet(str(tmp_path / "boosted" / "main" / "thresholds")).first()
     assert found["score"] == best.best["score"] and "gain" in found.asDict()
+
+
+def test_gain_kinds(spark, boosted):
+    total = {(r.fold, r.feature): r.importance for r in explain.gain_by_fold(spark, boosted).collect()}
+    mean = {(r.fold, r.feature): r.importance for r in explain.gain_by_fold(spark, boosted, "mean").collect()}
+    for m in boosted:
+        for f in m.space.features:
+            splits = sum(m.space.slot_owners[s] == f for t in m.trees for s in t.feature if s >= 0)
+            assert mean[m.fold, f] == pytest.approx(total[m.fold, f] / splits if splits else 0.0)
+    with pytest.raises(ValueError):
+        explain.gain_by_fold(spark, boosted, "other")
+
+
+@pytest.mark.parametrize("kind", ["boosted", "forests"])
+def test_members_come_back(request, spark, gold, tmp_path, kind):
+    fitted = models.shrink_to_best(request.getfixturevalue(kind), 3)
+    done = pseudo.Round("main", fitted, {"t1": 0.5, "score": 0.25}, 3)
+    store.save_member(done, str(tmp_path / kind))
+    back = store.load_member(spark, str(tmp_path / kind))
+    assert (back.name, back.best, back.best_iter) == (done.name, done.best, done.best_iter)
+    for m, b in zip(fitted, back.models):
+        assert b.space == m.space and b.upto == 3 and b.averages == m.averages
+        want = m.score(gold, "x", ["id"]).toPandas().set_index("id").x
+        got = b.score(gold, "x", ["id"]).toPandas().set_index("id").x
+        np.testing.assert_allclose(got.loc[want.index], want, atol=1e-12)
+
+
+def test_several_metrics_of_the_curve(gold, boosted):
+    named = {
+        "kappa": metrics.threshold_kappa(CUTS),
+        "rounded": metrics.rounded_kappa(),
+        "mse": metrics.squared_error(),
+        "bias": metrics.column_metric(lambda y, p: F.avg(p - y)),
+    }
+    curve = models.staged_metric(boosted, gold, "sii", metrics=named).toPandas()
+    assert len(curve) == N_FOLD * 5 * 4
+    plain = models.staged_metric(boosted, gold, "sii", CUTS).toPandas().set_index(["fold", "iter"]).value
+    kappa = curve[curve.metric == "kappa"].set_index(["fold", "iter"]).value
+    np.testing.assert_allclose(kappa.loc[plain.index], plain)
+    scored = models.oof_predict(models.shrink_to_best(boosted, 2), gold, keep=["sii"]).toPandas()
+    for name, want in (("mse", ((scored.sii - scored.pred) ** 2)), ("bias", scored.pred - scored.sii)):
+        got = curve[(curve.metric == name) & (curve.iter == 1)].set_index("fold").value
+        np.testing.assert_allclose(got.sort_index(), want.groupby(scored.fold).mean().sort_index())
+
+
+def test_all_folds_score_in_one_pass(gold, boosted, unused_path, capsys):
+    gold.write.parquet(unused_path)
+    rows = gold.sparkSession.read.parquet(unused_path)
+    for df in (
+        models.predict_folds(boosted, rows, "id", "m"),
+        pseudo.pseudo_rows(boosted, rows, "sii", rows.columns),
+        models.predict_members({"a": boosted, "b": boosted}, rows, "id"),
+    ):
+        df.explain("formatted")
+        assert capsys.readouterr().out.split("\n\n")[0].count("Scan parquet") == 1
+
+
+def test_unused_features_have_no_importance(gold, boosted):
+    wide = gold.withColumn("noise", F.lit(1.0))
+    fitted = models.cv_fit(wide, ["a", "b", "noise"], ["c"], "sii", models.boosted_trees(2, 2, 0.5), N_FOLD)
+    table = explain.permutation_importance(fitted, wide, "id", "sii", ["a", "noise"], 1)
+    got = {r.feature: r.importance for r in table.collect()}
+    assert got["noise"] == 0.0 and got["a"] > 0
+
+
+def test_many_text_labels(spark):
+    rows = [(f"s{i}", float(i % 4), f"v{i}", "t, v" if i % 2 else "v, t") for i in range(3000)]
+    df = spark.createDataFrame(rows, "id string, sii double, c string, fold_info string")
+    spaces = models.feature_spaces(df, [], ["c"], 2, as_text=True)
+    assert [len(s.labels["c"]) for s in spaces] == [1500, 1500]
+    assert spaces[0].labels["c"][0] == "v1" and spaces[1].labels["c"][0] == "v0"
+
+
+def test_best_iteration_of_every_model(spark):
+    rows = [(m, k, i, "q_kappa", float(i if m == "a" else -i)) for m in "ab" for k in (0, 1) for i in range(4)]
+    curve = spark.createDataFrame(rows, "model string, fold int, iter int, metric string, value double")
+    got = {r.model: (r.best_iter, r["mean"]) for r in models.best_iteration(curve).collect()}
+    assert got == {"a": (4, 3.0), "b": (1, 0.0)}
