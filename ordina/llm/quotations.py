@@ -122,23 +122,31 @@ def _heads(tree: DataFrame) -> DataFrame:
     """(conv_id, turn, branch, depth): first turn of the branch and number of messages before it there."""
     first = tree.where("parent IS NOT NULL").groupBy("conv_id", "parent").agg(F.min("turn").alias("turn"))
     first = first.select("conv_id", "turn", F.lit(True).alias("goes_on"))
+    goes_on = F.coalesce("goes_on", F.lit(False))
     rows = tree.join(first, ["conv_id", "turn"], "left").select(
         "conv_id",
         "turn",
-        F.when(F.col("goes_on"), F.col("parent")).otherwise(F.col("turn")).alias("branch"),
-        F.when(F.col("goes_on"), F.lit(1)).otherwise(F.lit(0)).cast("long").alias("depth"),
+        F.when(goes_on, F.col("parent")).otherwise(F.col("turn")).alias("branch"),
+        goes_on.cast("long").alias("depth"),
+        (~goes_on).alias("done"),
     )
-    rows, total = written(rows, "branches"), -1
+    rows = written(rows, "branches")
     while True:
-        now = rows.agg(F.sum("depth")).first()[0] or 0
-        if now == total:
-            return rows
-        total = now
-        ahead = rows.select("conv_id", F.col("turn").alias("branch"), F.col("branch").alias("head"), F.col("depth").alias("more"))
-        rows = rows.join(ahead, ["conv_id", "branch"]).select(
-            "conv_id", "turn", F.col("head").alias("branch"), (F.col("depth") + F.col("more")).alias("depth")
+        # Only rows that have not reached their head take another step.
+        active = rows.where("NOT done")
+        if active.isEmpty():
+            return rows.drop("done")
+        ahead = rows.select(
+            "conv_id",
+            F.col("turn").alias("branch"),
+            F.col("branch").alias("head"),
+            F.col("depth").alias("more"),
+            F.col("done").alias("ends"),
         )
-        rows = written(rows, "branches")
+        moved = active.join(ahead, ["conv_id", "branch"]).select(
+            "conv_id", "turn", F.col("head").alias("branch"), (F.col("depth") + F.col("more")).alias("depth"), F.col("ends").alias("done")
+        )
+        rows = written(rows.where("done").unionByName(moved), "branches")
 
 
 def link(messages: DataFrame) -> DataFrame:
