@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -80,3 +82,29 @@ def utf8(column: pa.Array) -> Iterator[bytes | None]:
 def signed(values: np.ndarray) -> np.ndarray:
     """Unsigned 64-bit values as Spark longs."""
     return values.astype(np.uint64, copy=False).view(np.int64)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """The task function `run`, after which the process gives freed memory back.
+
+    Python workers outlive their tasks; what one has freed would stay with it while
+    other workers and the JVM need it.
+    """
+
+    @functools.wraps(run)
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):
+            pass  # another C library; nothing to trim
+
+    return whole
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1_000) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most `rows`, so that results do not pile up."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)

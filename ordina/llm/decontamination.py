@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ordina.llm.common import WordTable, mix64, signed, utf8
+from ordina.llm.common import WordTable, mix64, signed, slices, tidy, utf8
 from ordina.session import written
 
 WINDOW = 8
@@ -129,7 +129,7 @@ def _document_windows(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap, lengths = shared.value
         table = WordTable(word_code)
-        for batch in batches:
+        for batch in slices(batches):
             row, position, hashes, slots = [], [], [], []
             for i, text in enumerate(utf8(batch.column("text"))):
                 t = Template(text, table)
@@ -176,7 +176,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     rows = rows.mapInArrow(
-        _document_windows(shared), f"doc_id {kind}, text_hash long, at long, hash long, values array<string>"
+        tidy(_document_windows(shared)), f"doc_id {kind}, text_hash long, at long, hash long, values array<string>"
     )
     rows = written(rows, "windows")
     hits = rows.join(items.select("hash", "item", "position", "slots"), "hash").withColumn("gap", F.col("at") - F.col("position"))

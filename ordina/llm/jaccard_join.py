@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ordina.llm.common import hashes_of, lowered_words, mix64, signed, utf8, word_hashes
+from ordina.llm.common import hashes_of, lowered_words, mix64, signed, slices, tidy, utf8, word_hashes
 from ordina.llm.components import components
 from ordina.session import written
 
@@ -208,7 +208,7 @@ def _common_shingles(texts: DataFrame) -> np.ndarray:
                     yield pa.RecordBatch.from_arrays([pa.array(signed(s))], ["s"])
 
     chosen = texts.where(F.pmod(F.col("text_hash"), F.lit(1 << 40)) < int(rate * (1 << 40)))
-    found = chosen.select("text").mapInArrow(shingles, "s long").groupBy("s").count()
+    found = chosen.select("text").mapInArrow(tidy(shingles), "s long").groupBy("s").count()
     least = max(8, int(COMMON_SHARE * SAMPLE_SETS))
     rows = found.where(F.col("count") >= least).select("s").toPandas()
     return np.sort(rows["s"].to_numpy(np.int64).view(np.uint64))
@@ -217,7 +217,7 @@ def _common_shingles(texts: DataFrame) -> np.ndarray:
 def _sets(common: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, seen = word_hashes(), set()
-        for batch in batches:
+        for batch in slices(batches):
             sizes, nodes, maps, keys = [], [], [], []
             for text in utf8(batch.column("text")):
                 s = shingle_hashes(lowered_words(text), table)
@@ -338,7 +338,7 @@ def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
     rows = pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
-    return written(rows.mapInArrow(_verified, "a long, b long"), "links")
+    return written(rows.mapInArrow(tidy(_verified), "a long, b long"), "links")
 
 
 def jaccard_classes(docs: DataFrame) -> DataFrame:
@@ -355,13 +355,13 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     common = _common_shingles(texts)
     sets = written(
         texts.mapInArrow(
-            _sets(common), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_hash long, n long,"
+            tidy(_sets(common)), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_hash long, n long,"
             " node long, bitmap binary, keys array<long>"
         ),
         "sets",
     )
     rows = sets.select("node", F.explode("keys").alias("key")).repartition("key")
-    shared = written(rows.sortWithinPartitions("key", "node").mapInArrow(_shared_keys, "key long, node long, hub long"), "shared")
+    shared = written(rows.sortWithinPartitions("key", "node").mapInArrow(tidy(_shared_keys), "key long, node long, hub long"), "shared")
 
     # One text of each set that shares a key.
     some = F.min(F.struct("doc_id", "text_hash", "n", "bitmap")).alias("row")
@@ -383,7 +383,7 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
         open_rows.select("key", "node", "component", "n", "bitmap")
         .repartition("key")
         .sortWithinPartitions("key", "component", "node")
-        .mapInArrow(_across_components, "a long, b long")
+        .mapInArrow(tidy(_across_components), "a long, b long")
         .distinct()
         .join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     )

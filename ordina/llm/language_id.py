@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ordina.llm.common import held_out, trainable
+from ordina.llm.common import held_out, tidy, trainable
 
 CELLS = 1 << 15
 ORDERS = (1, 2, 3)
@@ -120,7 +120,7 @@ class Model:
 def train(docs: DataFrame) -> Model:
     """Fit on all rows of `docs` (doc_id, text, lang) that may be learned from."""
     rows = docs.where(F.col("lang").isNotNull() & trainable(F.col("doc_id"))).select("text", F.col("lang").cast("string").alias("lang"))
-    found = rows.mapInArrow(_counted, "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n")).toPandas()
+    found = rows.mapInArrow(tidy(_counted), "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n")).toPandas()
     names = sorted(found["lang"].unique())
     counts, texts = np.zeros((len(names), CELLS), np.int64), np.zeros(len(names))
     row = np.searchsorted(names, found["lang"].to_numpy(str)) if names else np.zeros(0, int)
@@ -161,7 +161,7 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
-    return rows.mapInArrow(_predicted(shared), f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(tidy(_predicted(shared)), f"doc_id {kind}, held_out boolean, lang_pred string, score double")
 
 
 def _judged(shared, least: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -181,4 +181,4 @@ def _judged(shared, least: float) -> Callable[[Iterator[pa.RecordBatch]], Iterat
 def keep_identified(docs: DataFrame, least: float = MIN_SCORE) -> DataFrame:
     """The rows of `docs` whose language is found with a score of at least `least`, all columns as they are."""
     shared = docs.sparkSession.sparkContext.broadcast(train(docs))
-    return docs.mapInArrow(_judged(shared, least), docs.schema)
+    return docs.mapInArrow(tidy(_judged(shared, least)), docs.schema)

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from ordina.llm.common import tidy
 from ordina.session import written
 
 WINDOW = 4096
@@ -303,7 +304,7 @@ def pack(docs: DataFrame, vocabulary: str = VOCABULARY, weights: dict[str | None
     path = public_tokenizers.path(vocabulary)
     tokens = written(
         docs.select("doc_id", "text", F.col("source").cast("string").alias("source")).mapInArrow(
-            _tokenised(path), f"doc_id {kind}, source string, part int, before long, tokens long, ids binary"
+            tidy(_tokenised(path)), f"doc_id {kind}, source string, part int, before long, tokens long, ids binary"
         ),
         "tokens",
     )
@@ -321,6 +322,6 @@ def pack(docs: DataFrame, vocabulary: str = VOCABULARY, weights: dict[str | None
     rounds = Rounds(count, share / share.sum(), window)
     placed = tokens.join(bases, (F.col("part") == F.col("of_part")) & F.col("source").eqNullSafe(F.col("queue")))
     return placed.select("doc_id", "source", "base", "before", "tokens", "ids").mapInArrow(
-        _packed(rounds, {r.queue: i for i, r in enumerate(totals)}),
+        tidy(_packed(rounds, {r.queue: i for i, r in enumerate(totals)})),
         f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string",
     )

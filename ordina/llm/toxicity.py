@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ordina.llm.common import WordTable, held_out, trainable
+from ordina.llm.common import WordTable, held_out, tidy, trainable
 
 CELLS = 1 << 20
 BEGINNINGS = (4, 5, 6, 7)
@@ -172,7 +172,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     rows = learn.select("doc_id", "text", other.alias("unlabelled")).join(some, F.col("doc_id") == F.col("id"), "left")
     rows = rows.withColumn("positive", F.coalesce("positive", F.lit(False))).where("positive OR unlabelled")
     found = rows.select("positive", "unlabelled", "text").mapInArrow(
-        _featured, "positive boolean, unlabelled boolean, cells array<int>"
+        tidy(_featured), "positive boolean, unlabelled boolean, cells array<int>"
     )
     table = pa.Table.from_pandas(found.toPandas()) if spark.version < "4" else found.toArrow()
     cells = table.column("cells").combine_chunks()
@@ -215,10 +215,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
-    return rows.mapInArrow(_scored(shared, False), f"doc_id {kind}, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(tidy(_scored(shared, False)), f"doc_id {kind}, held_out boolean, score double, predicted int")
 
 
 def keep_harmless(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of `docs` that are not predicted toxic, all columns as they are."""
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
-    return docs.mapInArrow(_scored(shared, True), docs.schema)
+    return docs.mapInArrow(tidy(_scored(shared, True)), docs.schema)
