@@ -23,6 +23,11 @@ first each key's smallest set against the others; then, after the links so found
 have been joined to components, every pair of a key that still lies in different
 components, sifted by size and by a parity bitmap of the sets (a lower bound of
 their difference). Candidates are verified on the texts' own shingles.
+
+That finds the classes without all links. Every link lies inside a class, so
+`jaccard_links` counts them there: the sets of a class are dealt into cells of at most
+about two blocks, every pair of a class meets in one cell only, and cells of sizes that
+cannot be linked are not laid out. A cell returns a number for each set, not its pairs.
 """
 
 from __future__ import annotations
@@ -45,6 +50,10 @@ BITS = 2048
 WEAK_PRICE = 6.0
 SAMPLE_SETS = 8_000
 COMMON_SHARE = 0.003
+SIZE_STEP = 1.3  # over DEN / NUM, so that linked sets lie in neighbouring bands
+BLOCK = 512  # sets in a block of a large class
+TILE = 256
+FEW = 8
 
 _SPREAD = np.array(
     [0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F], np.uint64
@@ -341,15 +350,10 @@ def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return written(rows.mapInArrow(tidy(_verified), "a long, b long"), "links")
 
 
-def jaccard_classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each row of `docs` (doc_id, text).
+def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The sets of all rows, (node, alone, component, component_id) of all nodes, (node, text) of those that share a key.
 
-    Words lie between ASCII spaces, with A-Z lower-cased; a set holds the distinct
-    5-word shingles, or all words as one shingle if there are fewer. Sets with
-    Jaccard >= 0.8 are linked; component_id is the smallest doc_id reachable. Null,
-    empty and blank texts have no shingle and are linked with nothing. Rows with equal
-    ids stay single rows; a null id takes part in links and is named only if its whole
-    component has no id. Other columns are ignored; an empty table gives no rows.
+    `alone` says that the class has no other node; a node may have several equal rows of text.
     """
     texts = docs.select("doc_id", "text").withColumn("text_hash", F.xxhash64("text"))
     common = _common_shingles(texts)
@@ -391,15 +395,175 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
 
     named = components(links)
     placed = sets.select("node", "doc_id").where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"))
-    placed = placed.join(named, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed = placed.join(named, "node", "left").withColumn("alone", F.col("component").isNull())
+    placed = placed.withColumn("component", F.coalesce("component", "node"))
     least = placed.groupBy("component").agg(F.min("least").alias("component_id"))
-    of_node = written(placed.join(least, "component").select("node", "component_id"), "named")
-    out = sets.select("doc_id", "n", "node").join(of_node, "node", "left")
-    return out.select(
-        "doc_id",
-        F.col("n").alias("n_shingles"),
-        F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+    of_node = written(placed.join(least, "component").select("node", "alone", "component", "component_id"), "named")
+    return sets, of_node, near
+
+
+def _rows(sets: DataFrame, of_node: DataFrame) -> DataFrame:
+    out = sets.select("doc_id", F.col("n").alias("n_shingles"), "node").join(of_node, "node", "left")
+    return out.withColumn("component_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
+
+
+def jaccard_classes(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for each row of `docs` (doc_id, text).
+
+    Words lie between ASCII spaces, with A-Z lower-cased; a set holds the distinct
+    5-word shingles, or all words as one shingle if there are fewer. Sets with
+    Jaccard >= 0.8 are linked; component_id is the smallest doc_id reachable. Null,
+    empty and blank texts have no shingle and are linked with nothing. Rows with equal
+    ids stay single rows; a null id takes part in links and is named only if its whole
+    component has no id. Other columns are ignored; an empty table gives no rows.
+    """
+    sets, of_node, _ = _classes(docs)
+    return _rows(sets, of_node).select("doc_id", "n_shingles", "component_id")
+
+
+def _cells(sets: DataFrame, of_node: DataFrame) -> DataFrame:
+    """(key, side, node): the cells that each node of a class with other nodes stands in.
+
+    A small class is one cell. A large one is cut by size, so that linked sets lie in
+    the same band or in neighbouring ones, and a band into blocks: each block meets
+    itself (side 2: all pairs), the other blocks and those of the next band (side 0
+    against side 1). A node has a row for each block that it meets, not for each node.
+    """
+    sizes = sets.where("node IS NOT NULL").groupBy("node").agg(F.min("n").alias("n"))
+    band = F.floor(F.log("n") / F.log(F.lit(SIZE_STEP))).cast("int")
+    rows = written(of_node.where("NOT alone").join(sizes, "node").select("node", "component", band.alias("band")), "bands")
+    # At most one class for BLOCK nodes is large.
+    large = rows.groupBy("component").agg(F.count(F.lit(1)).alias("held")).where(F.col("held") > BLOCK).select("component")
+    banded = rows.join(F.broadcast(large), "component")
+    counts = banded.groupBy("component", "band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("k"))
+    blocks = counts.groupBy("component").agg(F.map_from_entries(F.collect_list(F.struct("band", "k"))).alias("blocks"))
+    rows = rows.join(F.broadcast(blocks), "component", "left")
+    rows = rows.withColumn("own", F.coalesce(F.col("blocks")[F.col("band")], F.lit(1)))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("node", F.lit(5)), F.col("own")).cast("int"))
+    others = {step: F.coalesce(F.col("blocks")[F.col("band") + step], F.lit(0)) for step in (-1, 1)}
+
+    def numbers(count):
+        return F.filter(F.sequence(F.lit(0), F.greatest(count, F.lit(1)) - 1), lambda j: j < count)
+
+    def cell(low, kind, i, j, side):
+        return F.struct(low.alias("low"), F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), side.cast("int").alias("side"))
+
+    block, band = F.col("block"), F.col("band")
+    inside = F.transform(
+        numbers(F.col("own")),
+        lambda j: cell(band, 0, F.least(block, j), F.greatest(block, j), F.when(block == j, 2).otherwise((block > j).cast("int"))),
+    )
+    above = F.transform(numbers(others[1]), lambda j: cell(band, 1, block, j, F.lit(0)))
+    below = F.transform(numbers(others[-1]), lambda j: cell(band - 1, 1, j, block, F.lit(1)))
+    whole = F.array(cell(F.lit(0), 2, F.lit(0), F.lit(0), F.lit(2)))
+    spread = F.when(F.col("blocks").isNull(), whole).otherwise(F.concat(inside, above, below))
+    rows = rows.select("node", "component", F.explode(spread).alias("c"))
+    return rows.select(F.xxhash64("component", "c.low", "c.kind", "c.i", "c.j").alias("key"), F.col("c.side").alias("side"), "node")
+
+
+def _tile_links(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Whether set i of `left` is linked with set j of `right`; sets are sorted distinct numbers."""
+    n, m = (np.array([len(s) for s in side], np.int64) for side in (left, right))
+    possible = DEN * np.minimum(n[:, None], m) >= NUM * np.maximum(n[:, None], m)
+    if possible.any():
+        maps = [
+            np.stack([np.packbits(np.bincount(s & (BITS - 1), minlength=BITS).astype(np.uint8) & 1).view(np.uint64) for s in side])
+            for side in (left, right)
+        ]
+        for i in np.flatnonzero(possible.any(axis=1)):
+            apart = np.bitwise_count(maps[0][i] ^ maps[1]).sum(axis=1, dtype=np.int64)
+            possible[i] &= (NUM + DEN) * apart <= (DEN - NUM) * (n[i] + m)
+    at, to = np.nonzero(possible)
+    if len(at) <= TILE:
+        both = np.array([len(np.intersect1d(left[i], right[j], assume_unique=True)) for i, j in zip(at, to)], np.int64)
+        possible[at, to] = DEN * both >= NUM * (n[at] + m[to] - both)
+        return possible
+    rows = [np.repeat(np.arange(len(side)), [len(s) for s in side]) for side in (left, right)]
+    flat = [np.concatenate(side) for side in (left, right)]
+    shared = np.intersect1d(*flat)
+    both = np.zeros((len(left), len(right)), np.float64)
+    for start in range(0, len(shared), 4096):
+        some = shared[start : start + 4096]
+        held = []
+        for side, row, of in zip((left, right), rows, flat):
+            column = np.minimum(np.searchsorted(some, of), len(some) - 1)
+            on = some[column] == of
+            part = np.zeros((len(side), len(some)), np.float32)
+            part[row[on], column[on]] = 1
+            held.append(part)
+        both += held[0] @ held[1].T  # whole numbers up to 4096 are exact
+    return possible & (DEN * both >= NUM * (n[:, None] + m - both))
+
+
+def _cell_links(texts: list[bytes], side: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """For each text of a cell, the weight of those that it is linked with there."""
+    found = np.zeros(len(texts), np.int64)
+    sets = [shingle_set(lowered_words(t)) for t in texts]
+    pairs_within = side == 2
+    if len(sets) <= FEW:
+        for i in range(len(sets)):
+            for j in range(i):
+                small, large = sorted((len(sets[i]), len(sets[j])))
+                if (side[i] == 2 or side[i] != side[j]) and DEN * small >= NUM * large:
+                    both = len(sets[i] & sets[j])
+                    if DEN * both >= NUM * (small + large - both):
+                        found[i] += weight[j]
+                        found[j] += weight[i]
+        return found
+    ids: dict[bytes, int] = {}
+    for k, s in enumerate(sets):
+        sets[k] = np.sort(np.fromiter((ids.setdefault(x, len(ids)) for x in s), np.int64, len(s)))
+    del ids
+    all_pairs = bool(pairs_within.any())
+    left = np.flatnonzero(pairs_within if all_pairs else side == 0)
+    right = left if all_pairs else np.flatnonzero(side == 1)
+    for x in range(0, len(left), TILE):
+        for y in range(x if all_pairs else 0, len(right), TILE):
+            a, b = left[x : x + TILE], right[y : y + TILE]
+            linked = _tile_links([sets[i] for i in a], [sets[i] for i in b])
+            if all_pairs and x == y:
+                np.fill_diagonal(linked, False)
+                found[a] += linked @ weight[a]
+                continue
+            found[a] += linked @ weight[b]
+            found[b] += linked.T @ weight[a]
+    return found
+
+
+def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by key: (node, weight of its linked nodes) by cell."""
+    for table in _whole_keys(slices(batches)):
+        key, side, node, weight = (table.column(c).to_numpy() for c in ("key", "side", "node", "weight"))
+        if not len(key):
+            continue
+        texts = list(utf8(table.column("text").combine_chunks()))
+        edges = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
+        found = np.concatenate([_cell_links(texts[a:b], side[a:b], weight[a:b]) for a, b in zip(edges[:-1], edges[1:])])
+        some = found > 0
+        if some.any():
+            yield pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(found[some])], ["node", "linked"])
+
+
+def jaccard_links(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id, n_links) for each row of `docs` (doc_id, text).
+
+    The first three are those of `jaccard_classes`. n_links is the number of other
+    distinct texts whose sets have Jaccard >= 0.8 with the row's, every one of them
+    checked on the shingles; copies of the row's own text do not count, other texts with
+    equal sets do. Texts without shingle have no link.
+    """
+    sets, of_node, near = _classes(docs)
+    weights = sets.where("node IS NOT NULL").select("node", "text_hash").distinct()
+    weights = written(weights.groupBy("node").agg(F.count(F.lit(1)).alias("weight")), "weights")
+    held = near.dropDuplicates(["node"]).join(weights, "node")
+    cells = _cells(sets, of_node).join(held, "node")
+    rows = cells.select("key", "side", "node", "weight", "text").repartition("key").sortWithinPartitions("key")
+    linked = rows.mapInArrow(tidy(_linked), "node long, linked long").groupBy("node").agg(F.sum("linked").alias("linked"))
+    n_links = weights.join(linked, "node", "left").select(
+        "node", (F.col("weight") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links")
     )
+    of_node = written(of_node.join(n_links, "node"), "linked")
+    return _rows(sets, of_node).select("doc_id", "n_shingles", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:

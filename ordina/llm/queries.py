@@ -55,6 +55,11 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_classes(read_table(spark, sf_dir, "documents"))
 
 
+@query("op7_jaccard_links")
+def op7_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_links(read_table(spark, sf_dir, "documents"))
+
+
 @query("op8_toxicity")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
