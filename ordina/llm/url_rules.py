@@ -4,6 +4,9 @@ A stated rule names a host suffix and the beginning of a path; the longest one t
 fits decides. Every other url is judged by token combinations: Spark's FP-growth mines
 labelled urls for sets of tokens that go with a bad label, rules below the least
 support and confidence are pruned, and a url is blocked if it holds all tokens of one.
+Nothing else is pruned but rules of more than LONGEST tokens that hold all tokens of
+another rule: whatever they block, that one blocks. In particular the lift counts for
+nothing, so rules are found however large the share of bad labels is.
 
 Rules are found through an inverted index on their rarest token: urls send only tokens
 that index a rule, so that frequent ones ("https", "com") meet no rule by themselves.
@@ -15,6 +18,8 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ordina.session import written
+
 # Fixed values: (verdict, host, beginning of the path).
 STATED = (
     ("allow", "com", "/"),
@@ -26,8 +31,9 @@ STATED = (
 BAD = "label=bad"
 LEAST_SUPPORT = 0.002
 LEAST_CONFIDENCE = 0.8
-LEAST_LIFT = 2.0
-LONGEST = 4
+LEAST_LIFT = 2.0  # no rule is held to it; tests name it
+SALTS = 32
+LONGEST = 4  # tokens of rules that stay even if a shorter one says the same
 
 
 def host_of(url: Column) -> Column:
@@ -77,15 +83,22 @@ def mine(pages: DataFrame, labels: DataFrame) -> DataFrame:
     """(rule_id, tokens, support, confidence): token sets that go with a bad label.
 
     `labels` (page_id, bad) covers some pages; repeated ids count as bad if any row does.
+    Sets have at least LEAST_SUPPORT of the labelled pages and LEAST_CONFIDENCE; one of
+    more than LONGEST tokens is left out only if another set is a part of it.
     """
     known = labels.where(F.col("bad").isNotNull()).groupBy("page_id").agg(F.max("bad").alias("bad"))
     rows = pages.select("page_id", tokens_of(F.col("url")).alias("tokens")).join(known, "page_id")
     items = F.when(F.col("bad"), F.array_union("tokens", F.array(F.lit(BAD)))).otherwise(F.col("tokens"))
     model = FPGrowth(itemsCol="items", minSupport=LEAST_SUPPORT, minConfidence=LEAST_CONFIDENCE).fit(rows.select(items.alias("items")))
     rules = model.associationRules.where((F.size("consequent") == 1) & (F.col("consequent")[0] == BAD))
-    rules = rules.where((F.col("lift") >= LEAST_LIFT) & (F.size("antecedent") <= LONGEST))
     rules = rules.select(F.array_sort("antecedent").alias("tokens"), "support", "confidence")
-    return rules.withColumn("rule_id", F.xxhash64(F.concat_ws(" ", "tokens")))
+    rules = written(rules.withColumn("rule_id", F.xxhash64(F.concat_ws(" ", "tokens"))), "rules")
+    long = F.size("tokens") > LONGEST
+    # A part of a long rule that is itself long and left out has a part that stays.
+    index = rules.select(F.col("tokens").alias("part"), F.col("tokens")[0].alias("token"))
+    entry = rules.where(long).select("rule_id", "tokens", F.explode("tokens").alias("token")).join(index, "token")
+    implied = entry.where((F.size("part") < F.size("tokens")) & (F.size(F.array_except("part", "tokens")) == 0))
+    return rules.join(implied.select("rule_id").distinct(), "rule_id", "left_anti").select("tokens", "support", "confidence", "rule_id")
 
 
 def matches(pages: DataFrame, rules: DataFrame) -> DataFrame:
@@ -121,7 +134,12 @@ def judge(pages: DataFrame, labels: DataFrame) -> DataFrame:
     shapes = rows.where("tokens IS NOT NULL").select("tokens").withColumn("page_key", F.xxhash64("tokens"))
     shapes = shapes.groupBy("page_key").agg(F.first("tokens").alias("tokens"))
     hits = matches(shapes, rules).join(rules.select("rule_id", F.concat_ws(" ", "tokens").alias("mined")), "rule_id")
-    out = rows.withColumn("page_key", F.when(F.col("tokens").isNotNull(), F.xxhash64("tokens"))).join(hits, "page_key", "left")
+    # Many urls have one shape, and all with a stated rule have none: both are dealt out.
+    hits = hits.select("page_key", "mined", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    rows = rows.withColumn("page_key", F.when(F.col("tokens").isNotNull(), F.xxhash64("tokens")))
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
+    rows = rows.withColumn("page_key", F.coalesce("page_key", F.xxhash64("page_id", "url", F.lit("none"))))
+    out = rows.join(hits, ["page_key", "salt"], "left")
     return out.select(
         "page_id",
         "host",
