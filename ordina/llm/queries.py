@@ -12,6 +12,7 @@ from ordina.llm import (
     jaccard_join,
     language_id,
     license_scan,
+    merkle,
     packing,
     quality_rules,
     quotations,
@@ -91,3 +92,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_quotations")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotations.link(read_table(spark, sf_dir, "conversations"))
+
+
+@query("op11_merkle_manifest", merkle.ORACLE)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audit(read_table(spark, sf_dir, "documents"))
