@@ -14,6 +14,7 @@ from ordina.llm import (
     license_scan,
     merkle,
     packing,
+    periodic_runs,
     quality_rules,
     quotations,
     toxicity,
@@ -97,3 +98,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_merkle_manifest", merkle.ORACLE)
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.audit(read_table(spark, sf_dir, "documents"))
+
+
+@query("op12_periodic_runs", periodic_runs.ORACLE)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digest(read_table(spark, sf_dir, "documents"))
