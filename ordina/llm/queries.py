@@ -17,6 +17,7 @@ from ordina.llm import (
     periodic_runs,
     quality_rules,
     quotations,
+    slack_packing,
     toxicity,
     url_rules,
     warc,
@@ -103,3 +104,8 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_periodic_runs", periodic_runs.ORACLE)
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.digest(read_table(spark, sf_dir, "documents"))
+
+
+@query("op13_slack_packing")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return slack_packing.pack(read_table(spark, sf_dir, "documents"))
