@@ -16,10 +16,8 @@ need no padding.
 
 from __future__ import annotations
 
-import os
 import zlib
 from collections.abc import Callable, Iterator
-from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -27,108 +25,22 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
 
 from ordina.llm.common import tidy
+from ordina.llm.tokens import encoder_of
 from ordina.session import written
 
 WINDOW = 4096
 END_ID = 2
 VOCABULARY = "word_bpe_49k.json"
-CACHED_WORDS = 800_000
-MARKS = ",.!?;:"
 
 
 # --- tokens ------------------------------------------------------------------
 
 
-class Encoder:
-    """Ids of whole texts; the ids of words met before are looked up.
-
-    The vocabulary's pieces never reach over a space or line feed, so a text's ids are
-    those of its words between them, one after another.
-    """
-
-    def __init__(self, path: str, cached: int = CACHED_WORDS):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.cached = cached
-        self.clear()
-
-    def clear(self) -> None:
-        self.number: dict[str, int] = {"": 0}
-        self.flat = np.empty(1 << 20, np.uint32)
-        self.start = [0, 0]
-
-    def _gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of known words, one after another, and how many each has."""
-        start = np.array(self.start)
-        lengths = start[at + 1] - start[at]
-        shift = np.repeat(start[at] - (np.cumsum(lengths) - lengths), lengths)
-        return self.flat[shift + np.arange(len(shift))], lengths
-
-    def _add(self, words: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
-        end = self.start[-1] + len(ids)
-        while end > len(self.flat):
-            self.flat = np.concatenate((self.flat, np.empty_like(self.flat)))
-        self.flat[self.start[-1] : end] = ids
-        first = len(self.start) - 1
-        self.number.update(zip(words, range(first, first + len(words))))
-        self.start.extend((self.start[-1] + np.cumsum(lengths)).tolist())
-
-    def _learn(self, words: list[str]) -> None:
-        """Letters before closing marks are pieces of their own, and small letters after lower-casing."""
-        whole, apart = set(), []
-        for word in words:
-            core = word.rstrip(MARKS)
-            if core.isalpha():
-                bare = core.lower() if core.isascii() else core
-                if bare != word:
-                    apart.append((word, bare, word[len(core) :]))
-                    whole.add(bare)
-                    whole.add(word[len(core) :])
-                    continue
-            whole.add(word)
-        new = list(whole.difference(self.number))
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-        self._add(new, np.fromiter(chain.from_iterable(found), np.uint32), np.array([len(x) for x in found], np.int64))
-        if apart:
-            at = [self.number[part] for _, bare, marks in apart for part in (bare, marks)]
-            ids, lengths = self._gather(np.array(at))
-            self._add([word for word, _, _ in apart], ids, lengths[::2] + lengths[1::2])
-
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        """Ids of each text, each closed by END_ID."""
-        if len(self.number) > self.cached:
-            self.clear()
-        split = [x.replace("\n", " ").split(" ") if x else [] for x in texts]
-        new = set(chain.from_iterable(split)).difference(self.number)
-        if new:
-            self._learn(list(new))
-        out = []
-        at = np.fromiter(map(self.number.__getitem__, chain.from_iterable(split)), np.int64)
-        ids, lengths = self._gather(at)
-        words = np.cumsum([0, *map(len, split)])
-        ends = np.concatenate(([0], np.cumsum(lengths)))[words]
-        for a, b in zip(ends[:-1], ends[1:]):
-            out.append(np.append(ids[a:b], np.uint32(END_ID)))
-        return out
-
-
-_ENCODERS: dict[str, Encoder] = {}
-
-
-def encoder_of(path: str) -> Encoder:
-    """The encoder of this process; later tasks of a worker find the words of earlier ones."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
-
-
 def _tokenised(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, given = encoder_of(path), TaskContext.get().partitionId(), {}
+        encoder, part, given = encoder_of(path, END_ID), TaskContext.get().partitionId(), {}
         narrow = encoder.tokenizer.get_vocab_size() <= 1 << 16
         for batch in batches:
             at = 0
