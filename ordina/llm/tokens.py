@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import json
 import os
+import string
 import unicodedata
-from itertools import chain
 
 import numpy as np
 from tokenizers import Tokenizer
 
 CACHED_WORDS = 800_000
-MARKS = ",.!?;:"
+WORDS_AT_ONCE = 200
+MARKS = string.punctuation.replace("'", "")  # closing ones; the splitter has rules for the apostrophe
 
 # The normaliser and splitter under which a text's ids are those of its words.
 NORMALISER = {
@@ -50,77 +51,79 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         made = json.loads(self.tokenizer.to_str())
         self.by_words = made["normalizer"] == NORMALISER and made["pre_tokenizer"] == SPLITTER
-        self.end, self.cached = np.uint32(end), cached
-        self.clear()
-
-    def clear(self) -> None:
-        self.number: dict[str, int] = {"": 0}
-        self.flat = np.empty(1 << 20, np.uint32)
-        self.start = [0, 0]
-
-    def _gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of known words, one after another, and how many each has."""
-        start = np.array(self.start)
-        lengths = start[at + 1] - start[at]
-        shift = np.repeat(start[at] - (np.cumsum(lengths) - lengths), lengths)
-        return self.flat[shift + np.arange(len(shift))], lengths
-
-    def _add(self, words: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
-        end = self.start[-1] + len(ids)
-        while end > len(self.flat):
-            self.flat = np.concatenate((self.flat, np.empty_like(self.flat)))
-        self.flat[self.start[-1] : end] = ids
-        first = len(self.start) - 1
-        self.number.update(zip(words, range(first, first + len(words))))
-        self.start.extend((self.start[-1] + np.cumsum(lengths)).tolist())
-
-    def _ids(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, words: list[str]) -> None:
+        # Small ASCII letters need no normaliser, and no splitter but the space between words.
+        bare = {**made, "normalizer": None, "pre_tokenizer": {"type": "CharDelimiterSplit", "delimiter": " "}}
+        self.small = Tokenizer.from_str(json.dumps(bare))
+        suffix = made["model"].get("end_of_word_suffix")
+        self.closes = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
+        if suffix:
+            self.closes[[i for piece, i in self.tokenizer.get_vocab().items() if piece.endswith(suffix)]] = True
+        self.end, self.cached = np.array([end], "<u4").tobytes(), cached
+        self.known: dict[str, bytes] = {"": b""}
+
+    def _ids(self, texts: list[str], tokenizer: Tokenizer | None = None) -> list[bytes]:
+        found = (tokenizer or self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(e.ids, "<u4").tobytes() for e in found]
+
+    def _ids_of_letters(self, words: list[str], tokenizer: Tokenizer) -> list[bytes]:
+        """Ids of words that are one piece each, some of them in one call.
+
+        A piece ends where an id closes a word.
+        """
+        out, texts = [], [" ".join(words[i : i + WORDS_AT_ONCE]) for i in range(0, len(words), WORDS_AT_ONCE)]
+        for k, joined in enumerate(self._ids(texts, tokenizer)):
+            some = words[k * WORDS_AT_ONCE : (k + 1) * WORDS_AT_ONCE]
+            ends = (4 * np.flatnonzero(self.closes[np.frombuffer(joined, "<u4")]) + 4).tolist()
+            if len(ends) == len(some):
+                out += [joined[a:b] for a, b in zip([0, *ends], ends)]
+            else:
+                out += self._ids(some)
+        return out
+
+    def _learn(self, words: set[str]) -> None:
         """Letters before closing marks are pieces of their own, and small letters after lower-casing.
 
         Letters whose composed small form is more than letters, such as a dotted capital I,
         stay with the marks: the splitter may join what is left over with them.
         """
-        whole, apart = set(), []
+        plain, letters, whole, apart = set(), set(), set(), []
         for word in words:
             core = word.rstrip(MARKS)
             bare = core.lower() if core.isascii() else unicodedata.normalize("NFC", core).lower()
-            if bare.isalpha():
-                if not bare.isascii():
-                    bare = core
-                if bare != word:
-                    apart.append((word, bare, word[len(core) :]))
-                    whole.add(bare)
-                    whole.add(word[len(core) :])
-                    continue
-            whole.add(word)
-        new = list(whole.difference(self.number))
-        found = self._ids(new)
-        self._add(new, np.fromiter(chain.from_iterable(found), np.uint32), np.array([len(x) for x in found], np.int64))
-        if apart:
-            at = [self.number[part] for _, bare, marks in apart for part in (bare, marks)]
-            ids, lengths = self._gather(np.array(at))
-            self._add([word for word, _, _ in apart], ids, lengths[::2] + lengths[1::2])
+            if not bare.isalpha():
+                whole.add(word)
+                continue
+            if bare.isascii():
+                plain.add(bare)
+            else:
+                bare = core
+                letters.add(bare)
+            if bare != word:
+                apart.append((word, bare, word[len(core) :]))
+                whole.add(word[len(core) :])
+        known = self.known
+        plain, letters, whole = (list(new.difference(known)) for new in (plain, letters, whole))
+        known.update(zip(plain, self._ids_of_letters(plain, self.small)))
+        known.update(zip(letters, self._ids_of_letters(letters, self.tokenizer)))
+        known.update(zip(whole, self._ids(whole)))
+        known.update((word, known[bare] + known[marks]) for word, bare, marks in apart)
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         if not self.by_words:
-            return [np.append(np.array(x, np.uint32), self.end) for x in self._ids([x or "" for x in texts])]
-        if len(self.number) > self.cached:
-            self.clear()
+            return [np.frombuffer(x + self.end, "<u4") for x in self._ids([x or "" for x in texts])]
+        if len(self.known) > self.cached:
+            self.known = {"": b""}
         split = [x.replace("\n", " ").split(" ") if x else [] for x in texts]
-        new = set(chain.from_iterable(split)).difference(self.number)
-        if new:
-            self._learn(list(new))
-        out = []
-        at = np.fromiter(map(self.number.__getitem__, chain.from_iterable(split)), np.int64)
-        ids, lengths = self._gather(at)
-        words = np.cumsum([0, *map(len, split)])
-        ends = np.concatenate(([0], np.cumsum(lengths)))[words]
-        for a, b in zip(ends[:-1], ends[1:]):
-            out.append(np.append(ids[a:b], self.end))
-        return out
+        # Each word is looked up once; those that were not there are filled in afterwards.
+        found = [list(map(self.known.get, words)) for words in split]
+        gaps = [(k, [i for i, x in enumerate(ids) if x is None]) for k, ids in enumerate(found) if None in ids]
+        if gaps:
+            self._learn({split[k][i] for k, at in gaps for i in at})
+            for k, at in gaps:
+                words, ids = split[k], found[k]
+                for i in at:
+                    ids[i] = self.known[words[i]]
+        return [np.frombuffer(b"".join(ids) + self.end, "<u4") for ids in found]
 
 
 _ENCODERS: dict[tuple[str, int], Encoder] = {}
