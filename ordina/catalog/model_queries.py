@@ -132,17 +132,11 @@ FOLDS_AND_TREES = f"{GOLD_IDS} g, range(5) f(fold), range(8) i(iter)"
 
 @query("staged_metric", f"SELECT CAST(fold AS INT) AS fold, CAST(iter AS INT) AS iter, 0e0 AS gap FROM {FOLDS_AND_TREES} GROUP BY 1, 2")
 def staged_metric(spark, sf_dir):
-    """The validation curve against the kappa of scores cut at every tree."""
+    """The validation curve against the kappa of the rows' scores after every tree."""
     fold_models, rows = uncut(fitted(spark, sf_dir).models), gold(spark, sf_dir)
     curve = models.staged_metric(fold_models, rows, TARGET)
-    cuts = models.union_all(
-        [
-            models.oof_predict(models.shrink_to_best(fold_models, i + 1), rows, keep=[TARGET])
-            .withColumn("iter", F.lit(i))
-            for i in range(8)
-        ]
-    )
-    direct = qwk_threshold(cuts, TARGET, PRED, BASE_THRESHOLDS, ["fold", "iter"])
+    scores = models.staged_scores(fold_models, rows, [TARGET])
+    direct = qwk_threshold(scores, TARGET, PRED, BASE_THRESHOLDS, ["fold", "iter"])
     gap = F.abs(F.col("value") - F.col("qwk"))
     return curve.join(direct, ["fold", "iter"], "full").select(
         "fold", "iter", r6(F.coalesce(gap, F.lit(9.0))).alias("gap")

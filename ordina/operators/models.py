@@ -11,15 +11,15 @@ from functools import cached_property, reduce
 from multiprocessing.pool import ThreadPool
 
 import numpy as np
-import pandas as pd
 from pyspark import cloudpickle, inheritable_thread_target
 from pyspark.ml.base import Estimator, Model
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ordina.config import BASE_THRESHOLDS
 from ordina.functions.classes import fold_entry, round_half_even, round_to_class
+from ordina.operators import trees
 from ordina.operators.encode import category_rows, fill_none_columns
 from ordina.operators.metrics import Metric, cell_counts, kappa_of_cells
 from ordina.session import fresh_path, shared_dir, written
@@ -68,8 +68,8 @@ class FeatureSpace:
         return max(self.cardinalities, default=2)
 
     @cached_property
-    def slots_sql(self) -> str:
-        """All slots as one array expression, parsed in a single step."""
+    def slot_exprs(self) -> list[str]:
+        """SQL of every slot."""
         slots = [f"coalesce({_present_sql(c)}, {float(m)!r}D)" for c, m in self.fills.items()]
         slots += [f"CAST({_present_sql(c)} IS NULL AS DOUBLE)" for c in self.flagged]
         slots += [
@@ -81,7 +81,12 @@ class FeatureSpace:
             value = f"coalesce(CAST(`{c}` AS STRING), 'none')"
             at = f"nullif(array_position(array({texts}), {value}), 0) - 1"
             slots.append(f"CAST(coalesce({at}, {len(known)}) AS DOUBLE)")
-        return f"array({', '.join(slots)})"
+        return slots
+
+    @cached_property
+    def slots_sql(self) -> str:
+        """All slots as one array expression, parsed in a single step."""
+        return f"array({', '.join(self.slot_exprs)})"
 
     @cached_property
     def attributes(self) -> dict:
@@ -318,6 +323,36 @@ class ExpressionModel:
         return df.select(*kept, self.expression.alias(out))
 
 
+@dataclass
+class StatedTrees:
+    """A fold model given as trees, for ensembles that do not come from a fit here."""
+
+    fold: int
+    space: FeatureSpace
+    trees: list[TreeNodes]
+    weights: list[float]
+    averages: bool = False
+    upto: int | None = None
+    is_ensemble = True
+
+    @property
+    def n_trees(self) -> int:
+        return len(self.trees)
+
+    def cut(self, upto: int) -> StatedTrees:
+        return replace(self, upto=upto)
+
+    def score(self, df: DataFrame, out: str = PRED, keep: Sequence[str] | None = None) -> DataFrame:
+        kept = [f"`{c}`" for c in (df.columns if keep is None else keep) if c != out]
+        slots = ", ".join(self.space.slot_exprs[i] for i in trees.used_slots(self)) or "0D"
+        values = {"f": F.get(trees.by_fold([self], trees.forest_entry, trees.FOREST), F.lit(self.fold)), "x": F.expr(f"array({slots})")}
+        total = trees.bound(
+            values,
+            lambda b: trees.summed(trees.leaf_values(b["f"], b["x"])) / F.element_at(b["f"]["divisors"], -1),
+        )
+        return df.select(*kept, total.alias(out))
+
+
 def cv_fit(
     df: DataFrame,
     numeric: Sequence[str],
@@ -457,7 +492,7 @@ def threshold_predict(
 
 
 def staged_metric(
-    models: Sequence[FoldModel],
+    models: Sequence,
     df: DataFrame,
     target: str,
     thresholds: Sequence[float] = BASE_THRESHOLDS,
@@ -468,47 +503,89 @@ def staged_metric(
 ) -> DataFrame:
     """`(model, fold, iter, metric, value)`: validation metrics after every tree.
 
-    By default the kappa of `thresholds`, called `metric`: each Arrow batch of rows
-    is reduced at once to counts per iteration, class and label, and no per-row curve
-    leaves a task. `metrics` names others instead; all of them come from one pass, in
-    which the rows' scores after every tree meet the partial aggregates.
+    By default the kappa of `thresholds`, called `metric`. A row only tells where its class
+    changes: (iteration, class before, class after). The changes are counted by fold and
+    label, and a running sum over the iterations turns them into every confusion matrix.
+    `metrics` names others instead; all of them come from one pass, in which the rows'
+    scores after every tree meet the partial aggregates.
     """
     if metrics is not None:
         return _staged_metrics(models, df, target, model, info_col, metrics)
     n_classes = len(thresholds) + 1
-    counted = []
-    for m in models:
-        valid = df.where(fold_entry(info_col, m.fold) == "v")
-        leaves = m.leaves(valid, [target])
-        counted.append(
-            leaves.select("__leaf", round_half_even(target).alias("y")).mapInPandas(
-                _stage_counter(m.tree_terms(), m.weights, m.averages, tuple(thresholds)),
-                "iter int, y int, p int, n bigint",
-            ).withColumn("fold", F.lit(m.fold))
-        )
-    cells = (
-        union_all(counted)
-        .groupBy("fold", "iter")
-        .agg(*cell_counts(F.col("y"), F.col("p"), n_classes, F.col("n")))
+    events = union_all([_class_changes(g, df, target, thresholds, info_col) for g in trees.node_groups(models)])
+    counted = events.groupBy("fold", "y", "iter", "before", "after").agg(F.count(F.lit(1)).alias("n"))
+    moves = F.array(
+        F.struct(F.col("after").alias("p"), F.col("n").alias("d")),
+        F.struct(F.col("before").alias("p"), (-F.col("n")).alias("d")),
+    )
+    steps = counted.select("fold", "y", "iter", F.inline(moves)).groupBy("fold", "iter")
+    steps = steps.agg(*cell_counts(F.col("y"), F.col("p"), n_classes, F.col("d")))
+    # One row per fold and tree.
+    sizes = df.sparkSession.createDataFrame([(m.fold, m.upto or m.n_trees) for m in models], "fold int, n int")
+    grid = sizes.select("fold", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("iter"))
+    upto = Window.partitionBy("fold").orderBy("iter").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cells = [c for c in steps.columns if c not in ("fold", "iter")]
+    running = grid.join(steps, ["fold", "iter"], "left").select(
+        "fold", "iter", *[F.coalesce(F.sum(c).over(upto), F.lit(0)).alias(c) for c in cells]
     )
-    return kappa_of_cells(cells, n_classes, "value").select(
+    # A fold without validation rows has no curve.
+    seen = reduce(lambda a, b: a + b, [F.col(c) for c in cells])
+    return kappa_of_cells(running.where(seen > 0), n_classes, "value").select(
         F.lit(model).alias("model"), "fold", "iter", F.lit(metric).alias("metric"), "value"
     )
 
 
+def _class_changes(models, df, target, thresholds, info_col) -> DataFrame:
+    """(fold, y, iter, before, after) wherever a row's class changes; before the first tree it is -1."""
+    n_classes = len(thresholds) + 1
+    y = round_half_even(target)
+    known = F.raise_error(F.lit("a class lies outside the known range")).cast("int")
+    rows = trees.validation_slots(models, df, [target], info_col)
+    no_event = F.array().cast("array<struct<iter:int,before:int,after:int>>")
+    start = F.struct(F.lit(0).alias("i"), F.lit(0.0).alias("s"), F.lit(-1).alias("p"), no_event.alias("e"))
+
+    def events(b: Column) -> Column:
+        def add(acc: Column, value: Column) -> Column:
+            score = acc["s"] + value
+            now = round_to_class(score / F.get(b["f"]["divisors"], acc["i"]), thresholds)
+            event = F.struct(acc["i"].alias("iter"), acc["p"].alias("before"), now.alias("after"))
+            told = F.when(now == acc["p"], acc["e"]).otherwise(F.concat(acc["e"], F.array(event)))
+            return F.struct((acc["i"] + 1).alias("i"), score.alias("s"), now.alias("p"), told.alias("e"))
+
+        return F.aggregate(trees.leaf_values(b["f"], b["x"]), start, add, lambda acc: acc["e"])
+
+    forests = trees.by_fold(models, trees.forest_entry, trees.FOREST)
+    told = trees.bound({"f": F.get(forests, F.col("fold")), "x": F.col("__x")}, events)
+    label = F.when(y.between(0, n_classes - 1), y).otherwise(known)
+    return rows.select("fold", label.alias("y"), F.inline(told))
+
+
+def staged_scores(models: Sequence, df: DataFrame, keep: Sequence[str], info_col: str = "fold_info") -> DataFrame:
+    """`keep`, `fold`, `iter` and the score after that tree, for every validation row."""
+    out = []
+    for group in trees.node_groups(models):
+        forests = trees.by_fold(group, trees.forest_entry, trees.FOREST)
+
+        def scores(b: Column) -> Column:
+            def add(acc: Column, value: Column) -> Column:
+                before = F.when(F.size(acc) == 0, F.lit(0.0)).otherwise(F.get(acc, F.size(acc) - 1))
+                return F.concat(acc, F.array(before + value))
+
+            sums = F.aggregate(trees.leaf_values(b["f"], b["x"]), F.array().cast("array<double>"), add)
+            return F.zip_with(sums, b["f"]["divisors"], lambda s, d: s / d)
+
+        rows = trees.validation_slots(group, df, keep, info_col)
+        each = trees.bound({"f": F.get(forests, F.col("fold")), "x": F.col("__x")}, scores)
+        out.append(rows.select(*[f"`{c}`" for c in keep], "fold", F.posexplode(each).alias("iter", PRED)))
+    return union_all(out)
+
+
 def _staged_metrics(models, df, target, model, info_col, metrics) -> DataFrame:
-    staged = []
-    for m in models:
-        valid = df.where(fold_entry(info_col, m.fold) == "v")
-        rows = m.leaves(valid, [target]).select("__leaf", F.col(target).cast("double").alias("y"))
-        scores = rows.mapInPandas(
-            _stage_scorer(m.tree_terms(), m.weights, m.averages), "iter int, y double, pred double"
-        )
-        staged.append(scores.withColumn("fold", F.lit(m.fold)))
-    y, p = F.col("y"), F.col("pred")
+    y, p = F.col(target).cast("double"), F.col(PRED)
     parts = [F.struct(*how.parts(y, p)).alias(f"__of_{i}") for i, how in enumerate(metrics.values())]
     # One row per fold and iteration, read once for every metric.
-    grouped = written(union_all(staged).groupBy("fold", "iter").agg(*parts), "staged")
+    staged = staged_scores(models, df, [target], info_col)
+    grouped = written(staged.groupBy("fold", "iter").agg(*parts), "staged")
     done = []
     for i, (name, how) in enumerate(metrics.items()):
         one = how.finish(grouped.select("fold", "iter", f"__of_{i}.*"), "value")
@@ -518,62 +595,6 @@ def _staged_metrics(models, df, target, model, info_col, metrics) -> DataFrame:
     return union_all(done)
 
 
-def _stage_scorer(terms, weights, averages):
-    """Per row and tree number: the score after that tree."""
-
-    def score(batches):
-        for batch in batches:
-            for at in range(0, len(batch), 1000):
-                some = batch.iloc[at : at + 1000]
-                leaf = np.stack(some["__leaf"].to_numpy()).astype(np.int64)
-                steps = np.stack([np.asarray(v)[leaf[:, t]] for t, v in enumerate(terms)], axis=1)
-                staged = np.cumsum(steps, axis=1)
-                if averages:
-                    staged /= np.cumsum(weights[: len(terms)])
-                yield pd.DataFrame(
-                    {
-                        "iter": np.tile(np.arange(len(terms), dtype=np.int32), len(some)),
-                        "y": np.repeat(some["y"].to_numpy(), len(terms)),
-                        "pred": staged.ravel(),
-                    }
-                )
-
-    return score
-
-
-def _stage_counter(terms, weights, averages, thresholds):
-    """Per batch: counts of (tree number, label, class)."""
-    n_classes = len(thresholds) + 1
-
-    def count(batches):
-        for batch in batches:
-            if not len(batch):
-                continue
-            leaf = np.stack(batch["__leaf"].to_numpy()).astype(np.int64)
-            steps = np.stack([np.asarray(v)[leaf[:, t]] for t, v in enumerate(terms)], axis=1)
-            staged = np.cumsum(steps, axis=1)
-            if averages:
-                staged /= np.cumsum(weights[: len(terms)])
-            p = np.searchsorted(thresholds, staged, side="right")
-            y = batch["y"].to_numpy()[:, None].astype(np.int64)
-            if y.min() < 0 or y.max() >= n_classes:
-                raise ValueError("a class lies outside the known range")
-            t = np.arange(len(terms))[None, :]
-            code = ((t * n_classes + y) * n_classes + p).ravel()
-            n = np.bincount(code, minlength=len(terms) * n_classes * n_classes)
-            at = np.nonzero(n)[0]
-            yield pd.DataFrame(
-                {
-                    "iter": (at // (n_classes * n_classes)).astype(np.int32),
-                    "y": (at // n_classes % n_classes).astype(np.int32),
-                    "p": (at % n_classes).astype(np.int32),
-                    "n": n[at].astype(np.int64),
-                }
-            )
-
-    return count
-
-
 def curve_mean_std(curve: DataFrame) -> DataFrame:
     """Mean and population std over the folds for each iteration and metric."""
     return curve.groupBy("model", "metric", "iter").agg(
