@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ordina.llm.common import WordTable, mix64, signed, slices, tidy, utf8
+from ordina.llm.common import free_name, mix64, signed, slices, tidy, utf8, WordTable
 from ordina.session import written
 
 WINDOW = 8
@@ -224,6 +224,7 @@ def judge(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of `docs` without a benchmark item, all columns as they are."""
-    bad = leaks(docs, benchmark).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
-    on = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
+    of, text = free_name(docs, "_id"), free_name(docs, "_hash")
+    bad = leaks(docs, benchmark).select(F.col("doc_id").alias(of), F.col("text_hash").alias(text))
+    on = F.col("doc_id").eqNullSafe(F.col(of)) & (F.xxhash64("text") == F.col(text))
     return docs.join(bad, on, "left_anti")

@@ -8,7 +8,8 @@ the step goes the other way, which keeps the estimate from overfitting below zer
 The classifier is a logistic model over hashed words and word beginnings: whether a text
 has one, whether it has it again and again (twice, three times or more, for its length).
 It is fitted in numpy on a bounded sample: about MAX_POSITIVE positives and MAX_UNLABELLED
-other texts, picked by a hash of the id. Every whole text is scored.
+other texts, picked by a hash of the id. All hashed features take part whose share differs
+between both kinds by more than SURE standard errors. Every whole text is scored.
 """
 
 from __future__ import annotations
@@ -22,13 +23,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ordina.llm.common import WordTable, held_out, tidy, trainable
+from ordina.llm.common import WordTable, give_back, held_out, tidy, trainable
+from ordina.session import written
 
 CELLS = 1 << 20
 BEGINNINGS = (4, 5, 6, 7)
 MAX_POSITIVE = 4_000
 MAX_UNLABELLED = 10_000
-KEPT_CELLS = 400
+LEAST_TEXTS = 5  # of the sample, for a cell to be tested
+SURE = 4.0  # standard errors
 LEVELS = ((1, 0), (2, 250), (3, 120))  # at least so many, and one among so many words
 CUT = 0.3
 
@@ -91,65 +94,102 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
-def _chosen(rows: list[np.ndarray], positive: np.ndarray, unlabelled: np.ndarray) -> np.ndarray:
-    """The cells whose share among positives differs most surely from that among unlabelled texts."""
-    p = np.zeros(CELLS * len(LEVELS))
-    u = np.zeros(CELLS * len(LEVELS))
-    for cells, is_p, is_u in zip(rows, positive, unlabelled):
-        if is_p:
-            p[cells] += 1
-        if is_u:
-            u[cells] += 1
-    n_p, n_u = max(1, positive.sum()), max(1, unlabelled.sum())
-    share = (p + u) / (n_p + n_u)
-    gap = (p / n_p - u / n_u) / np.sqrt(share * (1 - share) * (1 / n_p + 1 / n_u) + 1e-12)
-    gap[p + u < 5] = 0
-    best = np.argsort(-np.abs(gap), kind="stable")[:KEPT_CELLS]
-    return np.sort(best[np.abs(gap[best]) > 2.5])
+class SparseRows:
+    """Texts as the places of their cells among the chosen ones."""
+
+    def __init__(self, rows: list[np.ndarray]):
+        self.length = np.array([len(r) for r in rows], np.int64)
+        self.start = np.cumsum(self.length) - self.length
+        self.flat = np.concatenate([*rows, np.empty(0, np.int32)]).astype(np.int64)
+
+    def batch(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row of the batch, place) of all cells of the texts `at`."""
+        n = self.length[at]
+        row = np.repeat(np.arange(len(at)), n)
+        return row, self.flat[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.start[at], n)]
 
 
-def fit(rows: list[np.ndarray], positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int = 7) -> Model:
-    """Minimise the non-negative risk over texts given as cells; Adam on batches of both kinds."""
+def fit(
+    rows: list[np.ndarray], positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int = 7
+) -> Model:
+    """Minimise the non-negative risk over texts given as distinct cells; Adam on batches of both kinds.
+
+    Cells that `chosen_cells` would not choose among these texts have no part in it.
+    """
     if not positive.any() or not unlabelled.any():
         return Model({}, -40.0)
-    cells = _chosen(rows, positive, unlabelled)
-    x = np.zeros((len(rows), len(cells) + 1), np.float32)
-    x[:, -1] = 1
-    for i, r in enumerate(rows):
-        at = np.searchsorted(cells, r)
-        at = at[(at < len(cells)) & (cells[np.minimum(at, max(0, len(cells) - 1))] == r)] if len(cells) else at[:0]
-        x[i, at] = 1
-    x_p, x_u = x[positive], x[unlabelled]
+    cells = _sure_cells(rows, positive, unlabelled)
+    x = SparseRows([np.searchsorted(cells, np.intersect1d(r, cells)) for r in rows])
+    x_p, x_u = np.flatnonzero(positive), np.flatnonzero(unlabelled)
     rng = np.random.default_rng(seed)
-    w = np.zeros(x.shape[1], np.float32)
+    w = np.zeros(len(cells) + 1)
     w[-1] = np.log(prior / (1 - prior))
     m, v = np.zeros_like(w), np.zeros_like(w)
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
     steps = 800
+
+    def scores(at: np.ndarray) -> tuple[np.ndarray, Callable[[np.ndarray], np.ndarray]]:
+        """Scores of a batch, and the gradient for given slopes of its rows."""
+        row, place = x.batch(at)
+        z = np.bincount(row, w[place], len(at)) + w[-1]
+
+        def gradient(slope: np.ndarray) -> np.ndarray:
+            return np.append(np.bincount(place, slope[row], len(cells)), slope.sum()) / len(at)
+
+        return z, gradient
+
     for step in range(1, steps + 1):
-        a = x_p[rng.integers(0, len(x_p), 512)]
-        b = x_u[rng.integers(0, len(x_u), 1536)]
-        z_p, z_u = a @ w, b @ w
+        z_p, of_p = scores(x_p[rng.integers(0, len(x_p), 512)])
+        z_u, of_u = scores(x_u[rng.integers(0, len(x_u), 1536)])
         s_p, s_u = sigmoid(z_p), sigmoid(z_u)
         # Logistic loss: l(z, +) = log(1 + e^-z), l(z, -) = log(1 + e^z).
         as_negative = np.logaddexp(0, z_u).mean() - prior * np.logaddexp(0, z_p).mean()
-        negative = b.T @ s_u / len(b) - prior * (a.T @ s_p) / len(a)
-        if as_negative >= 0:
-            grad = prior * (a.T @ (s_p - 1)) / len(a) + negative
-        else:
-            grad = -negative
+        negative = of_u(s_u) - prior * of_p(s_p)
+        grad = prior * of_p(s_p - 1) + negative if as_negative >= 0 else -negative
         penalty = 2e-4 * w
         penalty[-1] = 0
         grad = grad + penalty
         m = 0.9 * m + 0.1 * grad
         v = 0.999 * v + 0.001 * grad * grad
         rate = 0.05 * (1 - step / (steps + 1)) + 0.002
-        w = (w - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
+        w = w - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     return Model({int(c): float(k) for c, k in zip(cells, w) if k}, float(w[-1]))
 
 
+def _sure_cells(rows: list[np.ndarray], positive: np.ndarray, unlabelled: np.ndarray) -> np.ndarray:
+    """`chosen_cells` of texts that are here already."""
+    n_p, n_u = max(1, positive.sum()), max(1, unlabelled.sum())
+    cells, at = np.unique(np.concatenate([*rows, np.empty(0, np.int32)]), return_inverse=True)
+    of = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    p, u = (np.bincount(at, kind[of], len(cells)) for kind in (positive, unlabelled))
+    share = (p + u) / (n_p + n_u)
+    error = np.sqrt(share * (1 - share) * (1 / n_p + 1 / n_u) + 1e-12)
+    return cells[(p + u >= LEAST_TEXTS) & (np.abs(p / n_p - u / n_u) / error > SURE)]
+
+
+def chosen_cells(sample: DataFrame) -> DataFrame:
+    """(cell) whose share among positives differs surely from that among unlabelled texts.
+
+    All cells that stand in `LEAST_TEXTS` texts of the sample are tested, and all whose
+    difference is more than `SURE` standard errors are kept.
+    """
+    totals = sample.agg(*[F.sum(F.col(c).cast("long")).alias(f"n_{c[0]}") for c in ("positive", "unlabelled")]).first()
+    n_p, n_u = (max(1, totals[f"n_{c}"] or 0) for c in "pu")
+    seen = sample.select("positive", "unlabelled", F.explode("cells").alias("cell")).groupBy("cell")
+    seen = seen.agg(F.sum(F.col("positive").cast("long")).alias("p"), F.sum(F.col("unlabelled").cast("long")).alias("u"))
+    p, u = F.col("p"), F.col("u")
+    share = (p + u) / F.lit(n_p + n_u)
+    error = F.sqrt(share * (1 - share) * F.lit(1 / n_p + 1 / n_u) + F.lit(1e-12))
+    gap = F.abs(p / F.lit(n_p) - u / F.lit(n_u)) / error
+    return seen.where((p + u >= LEAST_TEXTS) & (gap > SURE)).select("cell")
+
+
 def train(docs: DataFrame, labels: DataFrame) -> Model:
-    """Fit on rows that may be learned from. `labels` (doc_id, toxic) may repeat ids: the largest label counts."""
+    """Fit on rows that may be learned from. `labels` (doc_id, toxic) may repeat ids: the largest label counts.
+
+    The sample's cells are counted and chosen by Spark; the driver gets the chosen cells
+    of each text of the sample, not its words.
+    """
     spark = docs.sparkSession
     known = labels.where(F.col("toxic").isNotNull() & trainable(F.col("doc_id")))
     known = known.groupBy(F.col("doc_id").alias("id")).agg((F.max("toxic") == 1).alias("toxic"))
@@ -165,23 +205,40 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         return int(min(1.0, bound / n) * parts)
 
     place = F.pmod(F.xxhash64(F.col("id"), F.lit(1)), F.lit(parts))
-    # At most 2 * MAX_POSITIVE ids of 8 bytes.
+    # Picked by hash alone: about MAX_POSITIVE ids of 8 bytes.
     some = known.where("toxic").where(place < rate(MAX_POSITIVE, counts.toxic)).select("id", F.lit(True).alias("positive"))
-    some = F.broadcast(some.limit(2 * MAX_POSITIVE))
     other = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(2)), F.lit(parts)) < rate(MAX_UNLABELLED, n_docs)
-    rows = learn.select("doc_id", "text", other.alias("unlabelled")).join(some, F.col("doc_id") == F.col("id"), "left")
+    rows = learn.select("doc_id", "text", other.alias("unlabelled")).join(F.broadcast(some), F.col("doc_id") == F.col("id"), "left")
     rows = rows.withColumn("positive", F.coalesce("positive", F.lit(False))).where("positive OR unlabelled")
     found = rows.select("positive", "unlabelled", "text").mapInArrow(
         tidy(_featured), "positive boolean, unlabelled boolean, cells array<int>"
     )
-    table = pa.Table.from_pandas(found.toPandas()) if spark.version < "4" else found.toArrow()
-    cells = table.column("cells").combine_chunks()
-    flat, at = cells.flatten().to_numpy(), np.concatenate(([0], np.cumsum(cells.value_lengths().to_numpy())))
-    order = [flat[at[i] : at[i + 1]] for i in range(len(cells))]
-    positive, unlabelled = (np.array(table.column(c).to_pylist(), bool) for c in ("positive", "unlabelled"))
+    sample = written(found, "toxicity-sample")
+    cells = np.sort(np.array([r.cell for r in chosen_cells(sample).collect()], np.int32))
+    kept = sample.mapInArrow(tidy(_kept(cells)), "positive boolean, unlabelled boolean, cells binary").collect()
     # The order of rows must not matter.
-    sort = sorted(range(len(order)), key=lambda i: (len(order[i]), positive[i], np.sort(order[i]).tobytes()))
-    return fit([order[i] for i in sort], positive[sort], unlabelled[sort], prior)
+    kept.sort(key=lambda r: (len(r.cells), r.positive, r.unlabelled, bytes(r.cells)))
+    model = fit(
+        [np.frombuffer(r.cells, "<i4") for r in kept],
+        np.array([r.positive for r in kept], bool),
+        np.array([r.unlabelled for r in kept], bool),
+        prior,
+    )
+    del kept
+    give_back()
+    return model
+
+
+def _kept(cells: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [np.intersect1d(r.values.to_numpy(), cells).astype("<i4").tobytes() for r in batch.column("cells")]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("positive"), batch.column("unlabelled"), pa.array(rows, pa.binary())],
+                ["positive", "unlabelled", "cells"],
+            )
+
+    return run
 
 
 def _scored(shared, keep_text: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

@@ -63,3 +63,10 @@ def test_given_documents(spark):
     want = {r.doc_id: bool(windows(r.text) & bench) for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").collect()}
     assert sum(want.values()) > 0
     assert {r.doc_id: r.contaminated for r in rows} == want
+
+
+def test_names_of_its_own_may_be_taken(spark):
+    docs = spark.createDataFrame([(1, ITEM, 5, 6), (2, "clean", 5, 6)], "doc_id long, text string, _id long, _HASH long")
+    bench = spark.createDataFrame([(1, ITEM)], "item_id int, text string")
+    kept = dc.keep_clean(docs, bench)
+    assert kept.columns == docs.columns and [tuple(r) for r in kept.collect()] == [(2, "clean", 5, 6)]
