@@ -18,11 +18,13 @@ price for weak ones. Shingles that a large share of a sample of sets holds get n
 segment at all; a set that consists mostly of these is indexed a second time by all
 its shingles. Any such choice keeps the join exact.
 
-Keys held by one set only go at once. The rest gives candidates in two rounds:
-first each key's smallest set against the others; then, after the links so found
-have been joined to components, every pair of a key that still lies in different
-components, sifted by size and by a parity bitmap of the sets (a lower bound of
-their difference). Candidates are verified on the texts' own shingles.
+Keys held by one set only go at once. The rest gives candidates in three rounds, and
+links found in one are joined to components before the next: first each set against the
+smallest of all sets that are the smallest one of some key of its own; then each key's
+smallest set against the others that lie in different components; then every pair of a
+key that still does, sifted by size and by a parity bitmap of the sets (a lower bound of
+their difference). Candidates are verified on the texts' own shingles. So a class of
+copies of any number gives about one link a set, not one for each pair of them.
 
 That finds the classes without all links. Every link lies inside a class, so
 `jaccard_links` counts them there: the sets of a class are dealt into cells of at most
@@ -40,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ordina.llm.common import hashes_of, lowered_words, mix64, signed, slices, tidy, utf8, word_hashes
+from ordina.llm.common import free_name, hashes_of, lowered_words, mix64, signed, slices, tidy, utf8, word_hashes
 from ordina.llm.components import components
 from ordina.session import written
 
@@ -350,6 +352,33 @@ def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return written(rows.mapInArrow(tidy(_verified), "a long, b long"), "links")
 
 
+def _placed(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    """Pairs (a, b) with the components of both ends, `of_a` and `of_b`; a node without one is its own."""
+    for end in ("a", "b"):
+        of = groups.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}"))
+        pairs = pairs.join(of, end, "left").withColumn(f"of_{end}", F.coalesce(f"of_{end}", end))
+    return pairs
+
+
+def _apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    return _placed(pairs, groups).where("of_a <> of_b").select("a", "b")
+
+
+def _merged(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, component) after `links` (a, b) have joined components of `groups`.
+
+    Links between the same two components count once, so there are no more edges than
+    pairs of components, and a component is still named by its smallest node.
+    """
+    ends = _placed(links, groups).where("of_a <> of_b").select(F.least("of_a", "of_b").alias("a"), F.greatest("of_a", "of_b").alias("b"))
+    edges = written(ends.distinct(), "edges")
+    above = components(edges).select(F.col("node").alias("component"), F.col("component").alias("named"))
+    alone = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(groups.select("node"), "node", "left_anti")
+    nodes = groups.select("node", "component").union(alone.select("node", F.col("node").alias("component")))
+    merged = nodes.join(above, "component", "left").select("node", F.coalesce("named", "component").alias("component"))
+    return written(merged, "groups")
+
+
 def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The sets of all rows, (node, alone, component, component_id) of all nodes, (node, text) of those that share a key.
 
@@ -377,8 +406,12 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     near = written(near.select("node", "text"), "texts")
 
     first = shared.where("hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    links = _links(first, near)
-    groups = written(components(links), "groups")
+    # Each node's first hub joins most of a class with one link a node; what then still
+    # lies across components is tried before texts are fetched for it.
+    nearest = written(first.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "nearest")
+    groups = written(components(_links(nearest, near)), "groups")
+    rest = _apart(first.join(nearest, ["a", "b"], "left_anti"), groups)
+    groups = _merged(groups, _links(rest, near))
     # Round two: keys that lie across components.
     placed = shared.select("key", "node").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     across = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
@@ -391,9 +424,7 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         .distinct()
         .join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     )
-    links = links.union(_links(pairs, near))
-
-    named = components(links)
+    named = _merged(groups, _links(pairs, near))
     placed = sets.select("node", "doc_id").where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"))
     placed = placed.join(named, "node", "left").withColumn("alone", F.col("component").isNull())
     placed = placed.withColumn("component", F.coalesce("component", "node"))
@@ -573,6 +604,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     in their component has an id.
     """
     classes = jaccard_classes(docs)
-    keep = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    rows = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    return rows.withColumn("_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "_hash"]).drop("_hash")
+    kept, text = free_name(docs, "_kept"), free_name(docs, "_hash")
+    keep = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(kept)).distinct()
+    rows = docs.join(keep, F.col("doc_id").eqNullSafe(F.col(kept)), "left_semi")
+    return rows.withColumn(text, F.xxhash64("text")).dropDuplicates(["doc_id", text]).drop(text)

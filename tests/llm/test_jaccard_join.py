@@ -107,3 +107,9 @@ def test_query_on_given_documents(spark):
     out = entry_points.queries()["op7_jaccard_join"](spark, SF_DIR)
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").collect()]
     assert sorted(map(tuple, out.collect()), key=str) == brute(rows)
+
+
+def test_names_of_its_own_may_be_taken(spark):
+    docs = spark.createDataFrame([(1, "a b", 5, 6, 7), (2, "a b", 5, 6, 7)], "doc_id long, text string, _hash long, _kept long, _ID long")
+    kept = jj.one_of_each(docs)
+    assert kept.columns == docs.columns and [tuple(r) for r in kept.collect()] == [(1, "a b", 5, 6, 7)]
