@@ -30,6 +30,7 @@ from ordina.session import fresh_path, written
 GZIP = 31  # zlib's window bits for gzip streams
 BLOCK = 1 << 20
 LEAST_BYTES = 0
+SPREAD = 16
 RECORDS_PER_FILE = 5_000
 HEAD_END = b"\r\n\r\n"
 
@@ -239,8 +240,11 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = LEAST_BYTES
     """
     rows = pages.select("page_id", "url", "html").withColumn("body", F.encode(F.coalesce("html", F.lit("")), "UTF-8"))
     rows = rows.select("page_id", "url", "html", F.sha1("body").alias("sum"), F.octet_length("body").alias("n"))
-    best = rows.groupBy("sum").agg(F.max("page_id").alias("best"))
-    joined = rows.join(best.withColumnRenamed("sum", "same"), F.col("sum") == F.col("same"))
+    # Pages of one payload, null ones for instance, may be a large share: they meet their best id in SPREAD places.
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SPREAD)).cast("int"))
+    best = rows.groupBy(F.col("sum").alias("same")).agg(F.max("page_id").alias("best"))
+    best = best.withColumn("place", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    joined = rows.join(best, (F.col("sum") == F.col("same")) & (F.col("salt") == F.col("place")))
     other = F.col("best").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") != F.col("best")))
     refers = F.when(other & (F.col("n") >= least_bytes), F.col("best"))
     files, root = _opened(folder)
@@ -253,10 +257,16 @@ def normalise(archives: DataFrame, source: str, target: str) -> DataFrame:
     """Rewrite the files `archives` (name) of `source` into `target`; gives (name, records, bytes)."""
     files, root = _opened(target)
     files.create_dir(root, recursive=True)
-    some = archives.select("name").distinct().repartition("name")
+    some = _dealt(archives)
     return written(some.mapInArrow(_normalised(source, target), "name string, records long, bytes long"), "members")
 
 
+def _dealt(names: DataFrame) -> DataFrame:
+    """Names of archives, as many partitions as names; adaptive execution would merge a few bytes into one task."""
+    some = names.select("name").distinct()
+    return some.repartition(max(1, some.count()), "name")
+
+
 def read_archives(members: DataFrame, folder: str, id_type: str = "bigint") -> DataFrame:
     """Every record of the files `members` (name) in `folder`, found by its index entry."""
     kind = pa.int32() if id_type == "int" else pa.int64()
@@ -264,7 +274,7 @@ def read_archives(members: DataFrame, folder: str, id_type: str = "bigint") -> D
         f"page_id {id_type}, payload_bytes long, payload_digest string, record_type string, refers_to {id_type},"
         " archive string, member_offset long"
     )
-    return members.select("name").repartition("name").mapInArrow(_read_back(folder, kind), schema)
+    return _dealt(members).mapInArrow(_read_back(folder, kind), schema)
 
 
 def round_trip(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:

@@ -76,3 +76,13 @@ def test_broken_streams():
         list(warc.records(warc.inflated(iter([data[:-20]]))))
     with pytest.raises(ValueError):
         list(warc.records(iter([whole[:-3]])))
+
+
+def test_mostly_null_pages_and_as_many_tasks_as_archives(spark, monkeypatch):
+    monkeypatch.setattr(warc, "RECORDS_PER_FILE", 20)
+    rows = [(i, None if i % 10 else f"page {i % 30}") for i in range(400)]
+    pages = spark.createDataFrame([(p, "u", h) for p, h in rows], "page_id long, url string, html string").repartition(6)
+    got = warc.round_trip(pages)
+    archives = got.select("archive").distinct().count()
+    assert archives >= 20 and got.rdd.getNumPartitions() == archives
+    assert sorted((tuple(r)[:5] for r in got.collect()), key=str) == brute(rows)
