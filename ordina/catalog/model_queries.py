@@ -326,6 +326,16 @@ def sink_results(spark, sf_dir):
     return scores.unionByName(best)
 
 
+@query("publish_results", f"SELECT doc_id, fold, CAST(y AS INT) AS y, {sql_r6('pred')} AS pred FROM ({OOF_SQL.format(lines=LINES)}) o")
+def publish_results(spark, sf_dir):
+    """The scores of a fit among its result tables, replaced at once and read back."""
+    root = fresh_path(spark, "results")
+    made = training.fit_round(LINE, line_table(spark, sf_dir), LINE_ROLES)[1]
+    tables.publish_results({name: df.limit(0) for name, df in made.items()}, root)
+    tables.publish_results(made, root)
+    return store.read_results(spark, root, ["oof"])["oof"].select("doc_id", "fold", "y", r6(PRED).alias("pred"))
+
+
 MEAN_LINE = f"(SELECT doc_id, sum(slope * n_chars / 1e3 + intercept) / 5 AS pred FROM documents, ({LINES}) f GROUP BY doc_id)"
 LINE_CUTS = (0.9, 1.6, 1.9)
 

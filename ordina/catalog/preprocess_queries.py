@@ -301,6 +301,20 @@ def sink_gold(spark, sf_dir):
     return read[0].unionByName(read[1])
 
 
+@query("publish_gold", f"SELECT CASE WHEN sii IS NULL THEN 'unlabelled' ELSE 'gold' END AS part, {', '.join(q(c) for c in SUNK)} FROM {encoded_sql()} e WHERE sii IS NULL OR sii > 0")
+def publish_gold(spark, sf_dir):
+    """The rows of both tables read back after a second commit has replaced the first."""
+    gold_path, rest_path = fresh_path(spark, "publish-gold"), fresh_path(spark, "publish-rest")
+    encoded = encode.encode_categories(I.subjects(spark, sf_dir), ROLES)
+    tables.publish_gold(encoded, TARGET, gold_path, rest_path)
+    tables.publish_gold(encoded.where(f"{TARGET} IS NULL OR {TARGET} > 0"), TARGET, gold_path, rest_path)
+    read = [
+        tables.scan_table(spark, p).select(F.lit(name).alias("part"), *[f"`{c}`" for c in SUNK])
+        for name, p in (("gold", gold_path), ("unlabelled", rest_path))
+    ]
+    return read[0].unionByName(read[1])
+
+
 @query("scan_unlabelled", rounded_sql(WIDE, wide_sql(), "WHERE sii IS NULL"))
 def scan_unlabelled(spark, sf_dir):
     return rounded(unlabelled(spark, sf_dir), EXACT)
@@ -655,6 +669,23 @@ def one_hot_missing_zero(spark, sf_dir):
     return encode.one_hot_missing_zero(rows, [], [*SEASONS, *CODES])[0]
 
 
+SLOTTED = ["o_orderstatus", "o_custkey", "o_orderpriority"]
+_LABELS_SQL = " UNION ".join(
+    f"SELECT {i} AS at, {'CAST(o_custkey AS DOUBLE)' if c == 'o_custkey' else 'NULL'} AS number, CAST({c} AS VARCHAR) AS value FROM orders WHERE o_orderkey % 7 <> 0"
+    for i, c in enumerate(SLOTTED)
+)
+_DICTIONARY_SQL = f"(SELECT at, value, row_number() OVER (ORDER BY at, number, value) - 1 AS slot FROM ({_LABELS_SQL}) l)"
+
+
+@query("one_hot_slots", f"WITH d AS {_DICTIONARY_SQL} SELECT o_orderkey, {', '.join(f'd{i}.slot AS {c}_slot' for i, c in enumerate(SLOTTED))} FROM orders " + " ".join(f"LEFT JOIN d d{i} ON d{i}.at = {i} AND d{i}.value = CAST({c} AS VARCHAR)" for i, c in enumerate(SLOTTED)))
+def one_hot_slots(spark, sf_dir):
+    """Places of the labels of orders, one of them the customer; those that are not in the train rows have none."""
+    rows = I.table(spark, sf_dir, "orders").select("o_orderkey", *SLOTTED)
+    train, rest = rows.where("o_orderkey % 7 <> 0"), rows.where("o_orderkey % 7 = 0")
+    done = encode.one_hot_slots(train, [rest], SLOTTED)
+    return done[0].unionByName(done[1])
+
+
 MEASURED = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 

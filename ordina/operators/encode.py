@@ -11,6 +11,10 @@ from pyspark.sql import types as T
 from ordina.config import ColumnRoles
 from ordina.functions.classes import encode_label, fill_none
 from ordina.operators.quantiles import refine, sketches
+from ordina.operators.ranking import prefix_starts
+from ordina.session import written
+
+MAX_COLUMNS = 10_000
 
 
 def encode_categories(df: DataFrame, roles: ColumnRoles, with_target: bool = True) -> DataFrame:
@@ -99,10 +103,26 @@ def sorted_labels(df: DataFrame, column: str, labels: Sequence[str]) -> list[str
     return sorted(labels, key=float if numeric else None)
 
 
+def label_counts(rows: DataFrame) -> dict[str, int]:
+    """How many labels each column of `category_rows` has: a row per column."""
+    counted = rows.groupBy("column").agg(F.countDistinct("value").alias("n"))
+    return {r["column"]: r["n"] for r in counted.collect()}
+
+
 def categories(df: DataFrame, columns: Sequence[str]) -> dict[str, list]:
-    """Sorted distinct non-null values per column; each becomes a column or a slot."""
+    """Sorted distinct non-null values per column; each becomes a column.
+
+    They are counted before they are fetched. Above `MAX_COLUMNS` it is an error: a
+    table cannot have that many columns, `one_hot_slots` gives places instead.
+    """
     found: dict[str, list] = {c: [] for c in columns}
-    for row in category_rows(df, columns).collect() if columns else ():
+    if not columns:
+        return found
+    rows = written(category_rows(df, columns), "labels")
+    total = rows.count()
+    if total > MAX_COLUMNS:
+        raise ValueError(f"{total} labels would be as many columns; one_hot_slots takes any number")
+    for row in rows.collect():
         found[row["column"]].append(row["value"])
     return {c: sorted_labels(df, c, values) for c, values in found.items()}
 
@@ -135,6 +155,42 @@ def one_hot_missing_zero(
     return [encode(df) for df in (train, *others)]
 
 
+def label_dictionary(train: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, value, slot): every label of `train` with its place, columns one after another.
+
+    Inside a column labels stand in the order of `sorted_labels`. The table is written
+    once; places come from ranges of labels, so no task and no driver holds them all.
+    """
+    rows = category_rows(train, columns)
+    order = F.array_position(F.lit(list(columns)), F.col("column")).cast("int").alias("__at")
+    numeric = [c for c in columns if isinstance(train.schema[c].dataType, T.NumericType)]
+    number = F.when(F.col("column").isin(numeric), F.col("value").try_cast("double")).alias("__number")
+    ranked = prefix_starts(rows.select("column", "value", order, number), ["__at", "__number", "value"], F.lit(1))
+    return written(ranked.select("column", "value", F.col("__start").alias("slot")), "dictionary")
+
+
+def one_hot_slots(
+    train: DataFrame, others: Sequence[DataFrame], columns: Sequence[str]
+) -> list[DataFrame]:
+    """One-hot codes as places: each column becomes `<column>_slot`, where its 1 stands.
+
+    For columns with any number of labels. Frames are joined with the dictionary of the
+    train labels, which Spark broadcasts only if its files are below the session's
+    threshold; very common values are left to the skew handling of the join. Unseen and
+    missing values have no place. Rows keep their other columns.
+    """
+    dictionary = label_dictionary(train, columns)
+
+    def encode(df: DataFrame) -> DataFrame:
+        for i, c in enumerate(columns):
+            places = dictionary.where(F.col("column") == c)
+            places = places.select(F.col("value").alias(f"__value_{i}"), F.col("slot").alias(f"{c}_slot"))
+            df = df.join(places, F.col(f"`{c}`").cast("string") == F.col(f"__value_{i}"), "left").drop(f"__value_{i}")
+        return df.drop(*columns)
+
+    return [encode(df) for df in (train, *others)]
+
+
 def robust_stats(df: DataFrame, columns: Sequence[str], **options) -> DataFrame:
     """One row with `[q25, median, q75]`, min and max of each column.
 

@@ -20,11 +20,13 @@ from pyspark.sql import functions as F
 from ordina.config import BASE_THRESHOLDS
 from ordina.functions.classes import fold_entry, round_half_even, round_to_class
 from ordina.operators import trees
-from ordina.operators.encode import category_rows, fill_none_columns
+from ordina.operators.encode import category_rows, fill_none_columns, label_counts
 from ordina.operators.metrics import Metric, cell_counts, kappa_of_cells
 from ordina.session import fresh_path, shared_dir, written
 
 PRED = "pred"
+# Trees take a category's values as bins; more than these are hashed.
+MAX_LABELS = 1_024
 
 
 # --- feature vectors ---------------------------------------------------------
@@ -39,29 +41,31 @@ class FeatureSpace:
     nominal slot; a missing code and one above the train maximum become
     `max + 1`. A text category becomes its position among the train values, of
     which `none` for a missing value is one; an unseen value takes the last slot
-    value.
+    value. A category with more train values than `MAX_LABELS` takes one of as many
+    values by its hash.
     """
 
     fills: dict[str, float]
     flagged: tuple[str, ...]
     top_codes: dict[str, int]
     labels: dict[str, tuple[str, ...]] = field(default_factory=dict)
+    hashed: dict[str, int] = field(default_factory=dict)
 
     @property
     def features(self) -> list[str]:
-        return [*self.fills, *self.top_codes, *self.labels]
+        return [*self.fills, *self.top_codes, *self.labels, *self.hashed]
 
     @property
     def slot_owners(self) -> list[str]:
         """The feature each vector slot belongs to."""
-        return [*self.fills, *self.flagged, *self.top_codes, *self.labels]
+        return [*self.fills, *self.flagged, *self.top_codes, *self.labels, *self.hashed]
 
     @property
     def cardinalities(self) -> list[int]:
         """Sizes of the nominal slots, in vector order."""
         return [top + 2 for top in self.top_codes.values()] + [
             len(known) + 1 for known in self.labels.values()
-        ]
+        ] + list(self.hashed.values())
 
     @property
     def max_cardinality(self) -> int:
@@ -81,6 +85,8 @@ class FeatureSpace:
             value = f"coalesce(CAST(`{c}` AS STRING), 'none')"
             at = f"nullif(array_position(array({texts}), {value}), 0) - 1"
             slots.append(f"CAST(coalesce({at}, {len(known)}) AS DOUBLE)")
+        for c, n in self.hashed.items():
+            slots.append(f"CAST(pmod(xxhash64(coalesce(CAST(`{c}` AS STRING), 'none')), {n}) AS DOUBLE)")
         return slots
 
     @cached_property
@@ -130,23 +136,29 @@ def feature_spaces(
     n_fold: int,
     info_col: str = "fold_info",
     as_text: bool = False,
+    max_labels: int = MAX_LABELS,
 ) -> list[FeatureSpace]:
     """The feature space of every fold's train rows, from one pass over the table.
 
     Sums are grouped by `fold_info`, which has a handful of values, and added up
-    per fold from there. With `as_text` the codes are text categories.
+    per fold from there. With `as_text` the codes are text categories; their labels are
+    counted before those of the smaller columns are fetched.
     """
     spaces = _numeric_spaces(df, numeric, () if as_text else codes, n_fold, info_col)
     if not as_text or not codes:
         return spaces
-    labels = category_rows(fill_none_columns(df, codes), codes, [info_col]).collect()
+    rows = written(category_rows(fill_none_columns(df, codes), codes, [info_col]), "labels")
+    counts = label_counts(rows)
+    hashed = {c: max_labels for c in codes if counts.get(c, 0) > max_labels}
+    # At most `max_labels` for each column and `fold_info`.
+    labels = rows.where(~F.col("column").isin(list(hashed))).collect()
     out = []
     for k, space in enumerate(spaces):
-        known: dict[str, set] = {c: set() for c in codes}
+        known: dict[str, set] = {c: set() for c in codes if c not in hashed}
         for r in labels:
             if r[info_col] and r[info_col].split(", ")[k] == "t":
                 known[r["column"]].add(r["value"])
-        out.append(replace(space, labels={c: tuple(sorted(v)) for c, v in known.items()}))
+        out.append(replace(space, labels={c: tuple(sorted(v)) for c, v in known.items()}, hashed=hashed))
     return out
 
 
@@ -363,12 +375,13 @@ def cv_fit(
     info_col: str = "fold_info",
     parallelism: int = 4,
     as_text: bool = False,
+    max_labels: int = MAX_LABELS,
 ) -> list[FoldModel]:
     """One regressor per fold, fitted on the fold's train rows.
 
     Folds are independent Spark jobs, so a few of them are submitted at once.
     """
-    spaces = feature_spaces(df, numeric, codes, n_fold, info_col, as_text)
+    spaces = feature_spaces(df, numeric, codes, n_fold, info_col, as_text, max_labels)
     shared_dir(df.sparkSession)  # boosting checkpoints its residuals there
 
     def fit(k: int) -> FoldModel:

@@ -17,7 +17,7 @@ from ordina.operators.series import (
 )
 from ordina.plans.row_features import AGE, row_features
 from ordina.session import written
-from ordina.sources.tables import sink_table, sink_test
+from ordina.sources.tables import publish_pair, sink_test
 
 
 def summarise_series(series: DataFrame, roles: ColumnRoles, **options) -> DataFrame:
@@ -55,7 +55,7 @@ def prepare_training(
     seed: int = 0,
     zero: str = "null",
 ) -> None:
-    """Write the gold and the unlabelled table.
+    """Write the gold and the unlabelled table, in one commit.
 
     The features are written once before the folds are drawn, since drawing
     them reads the table twice.
@@ -63,8 +63,7 @@ def prepare_training(
     features = written(build_features(subjects, series, roles, True, zero), "features")
     labelled = assign_folds(features.where(F.col(roles.target).isNotNull()), roles, seed)
     unlabelled = features.where(F.col(roles.target).isNull())
-    sink_table(labelled, gold_path, ["fold_info"])
-    sink_table(unlabelled, unlabelled_path)
+    publish_pair(labelled, unlabelled, gold_path, unlabelled_path)
 
 
 def prepare_test(

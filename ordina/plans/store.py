@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ordina.operators.models import FeatureSpace, FoldModel
 from ordina.operators.pseudo import Round
+from ordina.sources.versions import table_path
 
 RESULT_TABLES = ("curve", "best_iteration", "oof", "thresholds")
 
@@ -29,6 +30,7 @@ def save_member(done: Round, path: str) -> None:
                 "flagged": space.flagged,
                 "top_codes": space.top_codes,
                 "labels": space.labels,
+                "hashed": space.hashed,
             }
         )
     text = json.dumps({"name": done.name, "best": done.best, "best_iter": done.best_iter, "folds": folds})
@@ -45,6 +47,7 @@ def load_member(spark: SparkSession, path: str) -> Round:
             tuple(f["flagged"]),
             f["top_codes"],
             {c: tuple(v) for c, v in f["labels"].items()},
+            f.get("hashed", {}),
         )
         model = DefaultParamsReader.loadParamsInstance(f"{path}/fold-{f['fold']}", spark)
         models.append(FoldModel(f["fold"], space, model, f["upto"]))
@@ -55,4 +58,4 @@ def read_results(
     spark: SparkSession, root: str, names: Sequence[str] = RESULT_TABLES
 ) -> dict[str, DataFrame]:
     """The result tables that `sink_results` wrote below `root`."""
-    return {name: spark.read.parquet(f"{root}/{name}") for name in names}
+    return {name: spark.read.parquet(table_path(spark, root, name)) for name in names}

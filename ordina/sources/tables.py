@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ordina.config import series_schema, subject_schema
+from ordina.sources.versions import publish, table_path
 
 
 def scan_subjects(
@@ -46,8 +47,8 @@ def scan_series(
 
 
 def scan_table(spark: SparkSession, path: str) -> DataFrame:
-    """A gold, unlabelled or test feature table."""
-    return spark.read.parquet(path)
+    """A gold, unlabelled or test feature table; of a published one, its current version."""
+    return spark.read.parquet(table_path(spark, path))
 
 
 scan_gold = scan_unlabelled = scan_test = scan_table
@@ -69,9 +70,30 @@ def sink_gold(df: DataFrame, target: str, gold_path: str, unlabelled_path: str)
     The labelled table gets one folder per `fold_info`, so reading the rows of
     one fold skips the files of the others.
     """
-    folders = ["fold_info"] if "fold_info" in df.columns else []
-    sink_table(df.where(F.col(target).isNotNull()), gold_path, folders)
-    sink_table(df.where(F.col(target).isNull()).drop("fold_info"), unlabelled_path)
+    for part, path, folders in zip(_by_target(df, target), (gold_path, unlabelled_path), (_folders(df), ())):
+        sink_table(part, path, folders)
+
+
+def _by_target(df: DataFrame, target: str) -> tuple[DataFrame, DataFrame]:
+    return df.where(F.col(target).isNotNull()), df.where(F.col(target).isNull()).drop("fold_info")
+
+
+def _folders(df: DataFrame) -> list[str]:
+    return ["fold_info"] if "fold_info" in df.columns else []
+
+
+def publish_gold(df: DataFrame, target: str, gold_path: str, unlabelled_path: str) -> None:
+    """The tables of `sink_gold`, replaced in one commit and read with `scan_table`.
+
+    A job that is killed at any point leaves the old pair readable or the new one.
+    """
+    publish_pair(*_by_target(df, target), gold_path, unlabelled_path, _folders(df))
+
+
+def publish_pair(
+    gold: DataFrame, rest: DataFrame, gold_path: str, unlabelled_path: str, folders: Sequence[str] = ("fold_info",)
+) -> None:
+    publish({"gold": (gold, folders), "unlabelled": (rest, ())}, gold_path, {unlabelled_path: "unlabelled"})
 
 
 sink_test = sink_table
@@ -94,6 +116,11 @@ def sink_results(tables: Mapping[str, DataFrame], root: str) -> None:
         sink_table(df, f"{root}/{name}")
 
 
+def publish_results(tables: Mapping[str, DataFrame], root: str) -> None:
+    """The result tables below `root`, all replaced in one commit."""
+    publish({name: (df, ()) for name, df in tables.items()}, root)
+
+
 def write_series(df: DataFrame, root: str, id_col: str = "id", rows_per_file: int = 5_000_000) -> None:
     """Write a series in the folder-per-id layout `scan_series` reads.
 

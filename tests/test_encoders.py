@@ -150,3 +150,20 @@ def test_subject_file_is_read_by_name(spark, tmp_path):
     path.write_text("id,Physical-BMI\nx,heavy\n")
     with pytest.raises(Exception, match="MALFORMED"):
         tables.scan_subjects(spark, str(path)).collect()
+
+
+def test_any_number_of_labels(spark):
+    """Labels by place: numbers in their order, then texts; unseen and missing ones have none."""
+    train = spark.range(30_000).select(
+        (F.col("id") * 7 % 100_003).alias("code"), F.when(F.col("id") % 2 == 0, "b").when(F.col("id") % 3 == 0, "a").alias("kind"), "id"
+    )
+    other = spark.createDataFrame([(7, "a", -1), (8, "zz", -2), (None, None, -3)], "code long, kind string, id long")
+    first, second = encode.one_hot_slots(train, [other], ["code", "kind"])
+    codes = sorted(i * 7 % 100_003 for i in range(30_000))
+    got = {r.id: (r.code_slot, r.kind_slot) for r in first.collect()}
+    for i in (0, 1, 3, 29_999):
+        kind = "b" if i % 2 == 0 else "a" if i % 3 == 0 else None
+        assert got[i] == (codes.index(i * 7 % 100_003), {"a": 30_000, "b": 30_001, None: None}[kind])
+    assert {r.id: (r.code_slot, r.kind_slot) for r in second.collect()} == {-1: (codes.index(7), 30_000), -2: (None, None), -3: (None, None)}
+    with pytest.raises(ValueError, match="one_hot_slots"):
+        encode.one_hot_missing_zero(train, [], ["code"])

@@ -329,3 +329,16 @@ def test_best_iteration_of_every_model(spark):
     curve = spark.createDataFrame(rows, "model string, fold int, iter int, metric string, value double")
     got = {r.model: (r.best_iter, r["mean"]) for r in models.best_iteration(curve).collect()}
     assert got == {"a": (4, 3.0), "b": (1, 0.0)}
+
+
+def test_categories_with_too_many_labels_are_hashed(gold, tmp_path):
+    wide = gold.withColumn("many", F.col("id"))
+    spaces = models.feature_spaces(wide, ["a"], ["c", "many"], N_FOLD, as_text=True, max_labels=8)
+    assert all(s.hashed == {"many": 8} and list(s.labels) == ["c"] for s in spaces)
+    assert spaces[0].features == ["a", "c", "many"] and spaces[0].cardinalities[-1] == 8
+    slots = wide.select(F.expr(spaces[0].slots_sql).alias("x")).collect()
+    assert {r.x[-1] for r in slots} == set(map(float, range(8)))
+    fitted = models.cv_fit(wide, ["a"], ["c", "many"], "sii", models.forest(2, 3), 2, as_text=True, max_labels=8)
+    store.save_member(pseudo.Round("r", fitted, {}), str(tmp_path / "m"))
+    loaded = store.load_member(wide.sparkSession, str(tmp_path / "m")).models
+    assert [m.space for m in loaded] == [m.space for m in fitted]
