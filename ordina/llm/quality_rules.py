@@ -162,3 +162,12 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        (fail_bits & {mask(BASE)}) <> 0 AS base_failed, (fail_bits & {mask(POLICIES[POLICY])}) = 0 AS kept,
        n_lines, n_letter_words, fail_bits
 FROM b"""
+
+ABLATIONS_ORACLE = f"WITH led AS ({ORACLE}) " + " UNION ALL ".join(
+    f"SELECT '{p}' AS policy, '{r}' AS rule,"
+    f" CAST(count(*) FILTER (fail_bits & {mask(rules)} = 0) AS BIGINT) AS n_kept,"
+    f" CAST(count(*) FILTER (fail_bits & {mask(rules) - bit(r)} = 0) AS BIGINT) AS n_kept_without,"
+    f" CAST(count(*) FILTER (fail_bits & {mask(rules)} = {bit(r)}) AS BIGINT) AS only_this FROM led"
+    for p, rules in POLICIES.items()
+    for r in rules
+)

@@ -23,6 +23,7 @@ from ordina.llm import (
     warc,
 )
 from ordina.llm.common import read_table
+from ordina.session import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -73,6 +74,13 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_policy(quality_rules.ledger(read_table(spark, sf_dir, "documents")))
 
 
+@query("quality_ablations", quality_rules.ABLATIONS_ORACLE)
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every rule of every policy removes, from the bits of a written ledger."""
+    bits = written(quality_rules.ledger(read_table(spark, sf_dir, "documents")).select("doc_id", "fail_bits"), "ledger")
+    return quality_rules.ablations(bits)
+
+
 @query("op4_url_rules")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels name pages by id; a page is bad if it is toxic or of low quality."""
