@@ -272,7 +272,9 @@ def _memo(app: str, sf_dir: str, name: str) -> dict:
 def input_path(spark: SparkSession, sf_dir: str, name: str, make):
     """Where input files lie that are written once per session and data folder.
 
-    Only paths are kept, never rows or results.
+    Paths are kept: of raw inputs in the layouts that readers want, of the gold,
+    unlabelled and test tables, and of fitted members with their result tables. Later
+    queries of a session read those files instead of making them again.
     """
     slot = _memo(spark.sparkContext.applicationId, sf_dir, name)
     if "path" not in slot:

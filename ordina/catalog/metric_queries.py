@@ -411,6 +411,15 @@ def pseudo_label(spark, sf_dir):
     return data.select(*DOC_COLUMNS).withColumn("y", r6("y"))
 
 
+@query("pseudo_set", PSEUDO)
+def pseudo_set(spark, sf_dir):
+    """The same rows from the tables and the stored scores of the unlabelled documents."""
+    path, rest = fresh_path(spark, "scores"), unlabelled_docs(spark, sf_dir)
+    tables.sink_pseudo(pseudo.pseudo_scores(formula_models(), rest, "doc_id"), path)
+    data = pseudo.pseudo_set(labelled_docs(spark, sf_dir), rest, tables.scan_gold(spark, path), "doc_id", "y")
+    return data.select(*DOC_COLUMNS).withColumn("y", r6("y"))
+
+
 @query("sink_pseudo", PSEUDO)
 def sink_pseudo(spark, sf_dir):
     path = fresh_path(spark, "pseudo")

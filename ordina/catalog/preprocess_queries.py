@@ -671,13 +671,13 @@ def one_hot_missing_zero(spark, sf_dir):
 
 SLOTTED = ["o_orderstatus", "o_custkey", "o_orderpriority"]
 _LABELS_SQL = " UNION ".join(
-    f"SELECT {i} AS at, {'CAST(o_custkey AS DOUBLE)' if c == 'o_custkey' else 'NULL'} AS number, CAST({c} AS VARCHAR) AS value FROM orders WHERE o_orderkey % 7 <> 0"
+    f"SELECT {i} AS place, {'CAST(o_custkey AS DOUBLE)' if c == 'o_custkey' else 'NULL'} AS number, CAST({c} AS VARCHAR) AS value FROM orders WHERE o_orderkey % 7 <> 0"
     for i, c in enumerate(SLOTTED)
 )
-_DICTIONARY_SQL = f"(SELECT at, value, row_number() OVER (ORDER BY at, number, value) - 1 AS slot FROM ({_LABELS_SQL}) l)"
+_DICTIONARY_SQL = f"(SELECT place, value, row_number() OVER (ORDER BY place, number, value) - 1 AS slot FROM ({_LABELS_SQL}) l)"
 
 
-@query("one_hot_slots", f"WITH d AS {_DICTIONARY_SQL} SELECT o_orderkey, {', '.join(f'd{i}.slot AS {c}_slot' for i, c in enumerate(SLOTTED))} FROM orders " + " ".join(f"LEFT JOIN d d{i} ON d{i}.at = {i} AND d{i}.value = CAST({c} AS VARCHAR)" for i, c in enumerate(SLOTTED)))
+@query("one_hot_slots", f"WITH d AS {_DICTIONARY_SQL} SELECT o_orderkey, {', '.join(f'd{i}.slot AS {c}_slot' for i, c in enumerate(SLOTTED))} FROM orders " + " ".join(f"LEFT JOIN d d{i} ON d{i}.place = {i} AND d{i}.value = CAST({c} AS VARCHAR)" for i, c in enumerate(SLOTTED)))
 def one_hot_slots(spark, sf_dir):
     """Places of the labels of orders, one of them the customer; those that are not in the train rows have none."""
     rows = I.table(spark, sf_dir, "orders").select("o_orderkey", *SLOTTED)

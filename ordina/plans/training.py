@@ -111,7 +111,7 @@ def train_member(
         return scan_gold(spark, path)
 
     rounds, scores = pseudo.pseudo_rounds(
-        train_round, gold, unlabelled, roles.target, n_pseudo, store, test
+        train_round, gold, unlabelled, roles.target, n_pseudo, store, test, id_col=roles.id_col
     )
     best = pseudo.argmax_round(scores).first()["round"]
     return rounds[best], scores

@@ -100,6 +100,7 @@ sink_test = sink_table
 
 
 def sink_pseudo(df: DataFrame, path: str) -> None:
+    """A pseudo-labelled training set or its scores, with one folder per `fold_info`."""
     sink_table(df, path, ["fold_info"])
 
 

@@ -9,9 +9,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from ordina.config import ColumnRoles
+from ordina.functions.classes import fold_entry
 from ordina.operators import explain, metrics, models, pseudo
 from ordina.operators.metrics import qwk_threshold
 from ordina.plans import inference, store, training
+from ordina.sources import tables
 
 CUTS = (0.5, 1.5, 2.5)
 N_FOLD = 3
@@ -342,3 +344,28 @@ def test_categories_with_too_many_labels_are_hashed(gold, tmp_path):
     store.save_member(pseudo.Round("r", fitted, {}), str(tmp_path / "m"))
     loaded = store.load_member(wide.sparkSession, str(tmp_path / "m")).models
     assert [m.space for m in loaded] == [m.space for m in fitted]
+
+
+def test_scores_of_a_pseudo_labelled_set_are_narrow(spark, gold, boosted, tmp_path):
+    """The stored scores hold no feature, and with the tables they give the same rows."""
+    rest = gold.limit(40).withColumn("id", F.concat(F.lit("u"), "id")).drop("fold_info").withColumn("sii", F.lit(None).cast("int"))
+    rest = spark.createDataFrame(rest.collect(), rest.schema)
+    test = rest.drop("sii").withColumn("id", F.concat(F.lit("t"), "id"))
+    for more in (None, test):
+        path = str(tmp_path / f"scores-{more is None}")
+        tables.sink_pseudo(pseudo.pseudo_scores(boosted, rest, "id", more), path)
+        scores = tables.scan_gold(spark, path)
+        assert sorted(scores.columns) == ["fold_info", "id", "part", "score"]
+        got = pseudo.pseudo_set(gold, rest, scores, "id", "sii", more)
+        want = pseudo.pseudo_label(boosted, gold, rest, "sii", more)
+        assert got.columns == want.columns
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+
+
+def test_a_fold_reads_its_own_scores(spark, gold, boosted, tmp_path, capsys):
+    rest = gold.drop("fold_info").withColumn("sii", F.lit(None).cast("int"))
+    tables.sink_pseudo(pseudo.pseudo_scores(boosted, rest, "id"), str(tmp_path / "scores"))
+    data = pseudo.pseudo_set(gold, rest, tables.scan_gold(spark, str(tmp_path / "scores")), "id", "sii")
+    data.where(fold_entry("fold_info", 1) == "t").explain("formatted")
+    plan = capsys.readouterr().out
+    assert "PartitionFilters: [isnotnull(fold_info" in plan or "element_at(split(fold_info" in plan.split("PartitionFilters")[1][:300]
