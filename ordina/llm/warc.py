@@ -262,9 +262,13 @@ def normalise(archives: DataFrame, source: str, target: str) -> DataFrame:
 
 
 def _dealt(names: DataFrame) -> DataFrame:
-    """Names of archives, as many partitions as names; adaptive execution would merge a few bytes into one task."""
+    """Names of archives, as many partitions as names; adaptive execution would merge a few bytes into one task.
+
+    Dealt by a hash of the name: by the name itself, as `distinct` deals them already, the
+    planner may take the second deal for the first and leave it out.
+    """
     some = names.select("name").distinct()
-    return some.repartition(max(1, some.count()), "name")
+    return some.repartition(max(1, some.count()), F.xxhash64("name"))
 
 
 def read_archives(members: DataFrame, folder: str, id_type: str = "bigint") -> DataFrame:

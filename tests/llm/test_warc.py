@@ -86,3 +86,11 @@ def test_mostly_null_pages_and_as_many_tasks_as_archives(spark, monkeypatch):
     archives = got.select("archive").distinct().count()
     assert archives >= 20 and got.rdd.getNumPartitions() == archives
     assert sorted((tuple(r)[:5] for r in got.collect()), key=str) == brute(rows)
+
+
+def test_names_are_dealt_even_if_their_number_is_that_of_shuffle_partitions(spark):
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    names = spark.range(n).selectExpr("concat('file-', id) AS name")
+    assert warc._dealt(names).rdd.getNumPartitions() == n
+    plan = warc._dealt(names)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan
