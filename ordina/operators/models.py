@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import math
 import sys
 from collections.abc import Callable, Mapping, Sequence
@@ -13,7 +12,7 @@ from multiprocessing.pool import ThreadPool
 import numpy as np
 from pyspark import cloudpickle, inheritable_thread_target
 from pyspark.ml.base import Estimator, Model
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -266,20 +265,6 @@ class FoldModel:
                 out.__dict__[name] = self.__dict__[name]
         return out
 
-    def tree_terms(self) -> list[list[float]]:
-        """Weighted leaf values per tree, up to the cut."""
-        upto = self.upto or self.n_trees
-        return [
-            [v * w for v in tree.leaf_values]
-            for tree, w in list(zip(self.trees, self.weights))[:upto]
-        ]
-
-    def leaves(self, df: DataFrame, keep: Sequence[str]) -> DataFrame:
-        """`keep` and `__leaf`, the leaf number in each tree as an array."""
-        numbered = self.model.copy({self.model.leafCol: "__leafvec"})
-        wide = numbered.transform(self.space.assemble(df, keep))
-        return wide.select(*[f"`{c}`" for c in keep], vector_to_array("__leafvec").alias("__leaf"))
-
     def score(self, df: DataFrame, out: str = PRED, keep: Sequence[str] | None = None) -> DataFrame:
         """`df`, or its columns `keep`, plus the prediction; no shuffle."""
         keep = [c for c in (df.columns if keep is None else keep) if c != out]
@@ -287,15 +272,7 @@ class FoldModel:
         if self.upto is None or not self.is_ensemble:
             wide = self.model.transform(self.space.assemble(df, keep))
             return wide.select(*kept, F.col(self.model.getPredictionCol()).alias(out))
-        terms = self.tree_terms()
-        table = F.from_json(F.lit(json.dumps(terms)), "array<array<double>>")
-        each = F.transform(
-            F.sequence(F.lit(0), F.lit(len(terms) - 1)),
-            lambda t: F.get(F.get(table, t), F.get(F.col("__leaf"), t).cast("int")),
-        )
-        total = F.aggregate(each, F.lit(0.0), lambda acc, x: acc + x)
-        weight = sum(self.weights[: len(terms)]) if self.averages else 1.0
-        return self.leaves(df, keep).select(*kept, (total / F.lit(weight)).alias(out))
+        return df.select(*kept, tree_score(self).alias(out))
 
 
 def _tree_nodes(rows: list) -> TreeNodes:
@@ -322,6 +299,16 @@ def _tree_nodes(rows: list) -> TreeNodes:
     )
 
 
+def tree_score(m) -> Column:
+    """Sum or mean of the leaves where a row ends; its tested slots are read once for all trees."""
+    slots = ", ".join(m.space.slot_exprs[i] for i in trees.used_slots(m)) or "0D"
+    forest = F.get(trees.by_fold([m], trees.forest_entry, trees.FOREST), F.lit(m.fold))
+    return trees.bound(
+        {"f": forest, "x": F.expr(f"array({slots})")},
+        lambda b: trees.summed(trees.leaf_values(b["f"], b["x"])) / F.element_at(b["f"]["divisors"], -1),
+    )
+
+
 @dataclass
 class ExpressionModel:
     """A fold model given as a column, for scores that are known as a formula."""
@@ -356,13 +343,7 @@ class StatedTrees:
 
     def score(self, df: DataFrame, out: str = PRED, keep: Sequence[str] | None = None) -> DataFrame:
         kept = [f"`{c}`" for c in (df.columns if keep is None else keep) if c != out]
-        slots = ", ".join(self.space.slot_exprs[i] for i in trees.used_slots(self)) or "0D"
-        values = {"f": F.get(trees.by_fold([self], trees.forest_entry, trees.FOREST), F.lit(self.fold)), "x": F.expr(f"array({slots})")}
-        total = trees.bound(
-            values,
-            lambda b: trees.summed(trees.leaf_values(b["f"], b["x"])) / F.element_at(b["f"]["divisors"], -1),
-        )
-        return df.select(*kept, total.alias(out))
+        return df.select(*kept, tree_score(self).alias(out))
 
 
 def cv_fit(

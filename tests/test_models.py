@@ -369,3 +369,11 @@ def test_a_fold_reads_its_own_scores(spark, gold, boosted, tmp_path, capsys):
     data.where(fold_entry("fold_info", 1) == "t").explain("formatted")
     plan = capsys.readouterr().out
     assert "PartitionFilters: [isnotnull(fold_info" in plan or "element_at(split(fold_info" in plan.split("PartitionFilters")[1][:300]
+
+
+def test_cut_models_walk_a_row_once(gold, boosted, forests, capsys):
+    cut = [m.cut(2) for m in (*boosted, *forests)]
+    models.blend_score(cut, gold.select("id", "a", "b", "c")).explain("extended")
+    plan = capsys.readouterr().out
+    # No call for each tree, and no vector of all slots for each of them.
+    assert "UDF" not in plan and "array_to_vector" not in plan
