@@ -29,7 +29,7 @@ from ordina.operators import encode, folds, pseudo, quality, series
 from ordina.operators.ensemble import union_lists as union_lists_of
 from ordina.plans import preprocess
 from ordina.plans.row_features import FGC, HOURS, MISSING, PAQ, ROW_FEATURES, ZONES, row_features
-from ordina.session import fresh_path
+from ordina.session import fresh_path, written
 from ordina.sources import tables
 
 AGE, SEX = "Basic_Demos-Age", "Basic_Demos-Sex"
@@ -57,21 +57,49 @@ def series_root(spark: SparkSession, sf_dir: str) -> str:
     return I.input_path(spark, sf_dir, "series_root", make)
 
 
+def summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The series summary, which the training and the test tables share."""
+
+    def make():
+        path = fresh_path(spark, "summary")
+        tables.sink_table(preprocess.summarise_series(I.series(spark, sf_dir), ROLES), path)
+        return path
+
+    return spark.read.parquet(I.input_path(spark, sf_dir, "summary", make))
+
+
 def gold_paths(spark: SparkSession, sf_dir: str) -> dict[str, str]:
-    """Gold, unlabelled and test tables made by the preprocessing plan."""
+    """Gold and unlabelled tables made by the preprocessing plan."""
 
     def make():
-        paths = {n: fresh_path(spark, n) for n in ("gold", "unlabelled", "test")}
-        raw = I.series(spark, sf_dir)
+        paths = {n: fresh_path(spark, n) for n in ("gold", "unlabelled")}
         preprocess.prepare_training(
-            I.subjects(spark, sf_dir), raw, ROLES, paths["gold"], paths["unlabelled"], SEED
+            I.subjects(spark, sf_dir),
+            I.series(spark, sf_dir),
+            ROLES,
+            paths["gold"],
+            paths["unlabelled"],
+            SEED,
+            summary=summary(spark, sf_dir),
         )
-        preprocess.prepare_test(I.subjects(spark, sf_dir, False), raw, ROLES, paths["test"])
         return paths
 
     return I.input_path(spark, sf_dir, "gold_paths", make)
 
 
+def test_path(spark: SparkSession, sf_dir: str) -> str:
+    """The test table made by the preprocessing plan; only what reads it waits for it."""
+
+    def make():
+        path = fresh_path(spark, "test")
+        preprocess.prepare_test(
+            I.subjects(spark, sf_dir, False), I.series(spark, sf_dir), ROLES, path, summary=summary(spark, sf_dir)
+        )
+        return path
+
+    return I.input_path(spark, sf_dir, "test_path", make)
+
+
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.scan_gold(spark, gold_paths(spark, sf_dir)["gold"])
 
@@ -81,7 +109,7 @@ def unlabelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def test_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.scan_test(spark, gold_paths(spark, sf_dir)["test"])
+    return tables.scan_test(spark, test_path(spark, sf_dir))
 
 
 # --- SQL counterparts --------------------------------------------------------
@@ -305,7 +333,8 @@ def sink_gold(spark, sf_dir):
 def publish_gold(spark, sf_dir):
     """The rows of both tables read back after a second commit has replaced the first."""
     gold_path, rest_path = fresh_path(spark, "publish-gold"), fresh_path(spark, "publish-rest")
-    encoded = encode.encode_categories(I.subjects(spark, sf_dir), ROLES)
+    # Published twice, made once.
+    encoded = written(encode.encode_categories(I.subjects(spark, sf_dir), ROLES), "encoded")
     tables.publish_gold(encoded, TARGET, gold_path, rest_path)
     tables.publish_gold(encoded.where(f"{TARGET} IS NULL OR {TARGET} > 0"), TARGET, gold_path, rest_path)
     read = [

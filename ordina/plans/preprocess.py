@@ -34,9 +34,16 @@ def build_features(
     **options,
 ) -> DataFrame:
     """Encoded subjects with row features and the series summary, one lazy plan."""
+    return with_summary(subjects, summarise_series(series, roles, **options), roles, with_target, zero)
+
+
+def with_summary(
+    subjects: DataFrame, summary: DataFrame, roles: ColumnRoles, with_target: bool = True, zero: str = "null"
+) -> DataFrame:
+    """The features of `build_features` with a summary that is there already."""
     encoded = encode_categories(subjects, roles, with_target)
     wide = row_features(encoded, roles, zero)
-    return join_series(wide, summarise_series(series, roles, **options), roles.id_col)
+    return join_series(wide, summary, roles.id_col)
 
 
 def assign_folds(df: DataFrame, roles: ColumnRoles, seed: int = 0) -> DataFrame:
@@ -54,20 +61,29 @@ def prepare_training(
     unlabelled_path: str,
     seed: int = 0,
     zero: str = "null",
+    summary: DataFrame | None = None,
 ) -> None:
     """Write the gold and the unlabelled table, in one commit.
 
     The features are written once before the folds are drawn, since drawing
-    them reads the table twice.
+    them reads the table twice. A `summary` of the series that is there already, as
+    `summarise_series` gives it, is not made again.
     """
-    features = written(build_features(subjects, series, roles, True, zero), "features")
+    summary = summarise_series(series, roles) if summary is None else summary
+    features = written(with_summary(subjects, summary, roles, True, zero), "features")
     labelled = assign_folds(features.where(F.col(roles.target).isNotNull()), roles, seed)
     unlabelled = features.where(F.col(roles.target).isNull())
     publish_pair(labelled, unlabelled, gold_path, unlabelled_path)
 
 
 def prepare_test(
-    subjects: DataFrame, series: DataFrame, roles: ColumnRoles, test_path: str, zero: str = "null"
+    subjects: DataFrame,
+    series: DataFrame,
+    roles: ColumnRoles,
+    test_path: str,
+    zero: str = "null",
+    summary: DataFrame | None = None,
 ) -> None:
-    sink_test(build_features(subjects, series, roles, False, zero), test_path)
-
+    """Write the test table; `summary` as for `prepare_training`."""
+    summary = summarise_series(series, roles) if summary is None else summary
+    sink_test(with_summary(subjects, summary, roles, False, zero), test_path)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ordina.config import series_schema, subject_schema
+from ordina.session import written
 from ordina.sources.versions import publish, table_path
 
 
@@ -75,6 +76,8 @@ def sink_gold(df: DataFrame, target: str, gold_path: str, unlabelled_path: str)
 
 
 def _by_target(df: DataFrame, target: str) -> tuple[DataFrame, DataFrame]:
+    """Rows with and without target, of a copy, so that what makes them runs once."""
+    df = written(df, "by-target")
     return df.where(F.col(target).isNotNull()), df.where(F.col(target).isNull()).drop("fold_info")
 
 
