@@ -21,10 +21,12 @@ its shingles. Any such choice keeps the join exact.
 Keys held by one set only go at once. The rest gives candidates in three rounds, and
 links found in one are joined to components before the next: first each set against the
 smallest of all sets that are the smallest one of some key of its own; then each key's
-smallest set against the others that lie in different components; then every pair of a
-key that still does, sifted by size and by a parity bitmap of the sets (a lower bound of
-their difference). Candidates are verified on the texts' own shingles. So a class of
-copies of any number gives about one link a set, not one for each pair of them.
+smallest set against the others that lie in different components; then the pairs of a
+key that still do, sifted by size and by a parity bitmap of the sets (a lower bound of
+their difference). Of these a key offers a spanning forest of its components at a time, and
+again without the pairs that failed, of which it offers more each time, until none is left.
+Candidates are verified on the texts' own shingles. So a class of copies of any number
+gives about one link a set, not one for each pair of them.
 
 That finds the classes without all links. Every link lies inside a class, so
 `jaccard_links` counts them there: the sets of a class are dealt into cells of at most
@@ -294,41 +296,88 @@ def _shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (key, node, hub)], ["key", "node", "hub"])
 
 
-def _across_components(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (key, component): pairs of a key in different components that may be linked.
+def _across_components(room: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of rows sorted by (key, component): pairs of a key that may link its components.
 
-    Each row meets the rows after its own component's, one distance at a time; pairs
-    are sifted by size and bitmap and only those left are emitted.
+    Each row meets the rows after its own component's, one distance at a time, sifted by
+    size, by bitmap and by `tried`, the smaller nodes that it is known not to be linked
+    with. A pair is emitted if it joins two components that no pair of the key has joined
+    yet, so a key has fewer pairs than rows, and `room` more for each of its rows. A key
+    that has held a pair back is told once, in a row without nodes.
     """
-    for table in _whole_keys(batches):
-        key, node, comp, n = (table.column(c).to_numpy() for c in ("key", "node", "component", "n"))
-        if not len(key):
+
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_keys(batches):
+            key, node, comp, n = (table.column(c).to_numpy() for c in ("key", "node", "component", "n"))
+            if not len(key):
+                continue
+            bits = np.frombuffer(b"".join(table.column("bitmap").to_pylist()), np.uint64).reshape(-1, BITS // 64)
+            tried = [frozenset(t or ()) for t in table.column("tried").to_pylist()]
+            of_key = np.cumsum(np.concatenate(([True], key[1:] != key[:-1]))) - 1
+            left = np.bincount(of_key) * room
+            held_back = np.zeros(len(left), bool)
+            run = np.cumsum(np.concatenate(([True], (key[1:] != key[:-1]) | (comp[1:] != comp[:-1])))) - 1
+            ends = np.append(np.flatnonzero(np.diff(run)) + 1, len(key))
+            joined = np.arange(len(ends))  # runs by the smallest run that they are joined to
+            at = np.arange(len(key))
+            to = ends[run]
+            while True:
+                on = to < len(key)
+                at, to = at[on], to[on]
+                on = key[at] == key[to]
+                at, to = at[on], to[on]
+                if not len(at):
+                    break
+                small, large = np.minimum(n[at], n[to]), np.maximum(n[at], n[to])
+                good = DEN * small >= NUM * large
+                a, b = at[good], to[good]
+                for i in range(0, len(a), 20_000):
+                    x, y = a[i : i + 20_000], b[i : i + 20_000]
+                    apart = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64)
+                    close = (NUM + DEN) * apart <= (DEN - NUM) * (n[x] + n[y])
+                    found = _joining(x[close], y[close], node, tried, run, joined, of_key, left, held_back)
+                    if found:
+                        both = np.array(found, np.int64)
+                        yield _candidates(both[:, 0], both[:, 1], None)
+                to = to + 1
+            if held_back.any():
+                yield _candidates(None, None, key[np.flatnonzero(np.append(True, key[1:] != key[:-1]))[held_back]])
+
+    return across
+
+
+def _candidates(a, b, key) -> pa.RecordBatch:
+    n = len(a if key is None else key)
+    columns = [pa.nulls(n, pa.int64()) if c is None else pa.array(c, pa.int64()) for c in (a, b, key)]
+    return pa.RecordBatch.from_arrays(columns, ["a", "b", "key"])
+
+
+def _joining(x, y, node, tried, run, joined, of_key, left, held_back) -> list[tuple[int, int]]:
+    """Of candidate rows (x, y), the nodes to emit; `joined`, `left` and `held_back` are kept up to date."""
+
+    def root(r: int) -> int:
+        while joined[r] != r:
+            r = joined[r]
+        return r
+
+    found = []
+    for i, j in zip(x.tolist(), y.tolist()):
+        low, high = root(run[i]), root(run[j])
+        a, b, last = (node[i], node[j], j) if node[i] < node[j] else (node[j], node[i], i)
+        if a in tried[last]:
             continue
-        bits = np.frombuffer(b"".join(table.column("bitmap").to_pylist()), np.uint64).reshape(-1, BITS // 64)
-        run = np.cumsum(np.concatenate(([True], (key[1:] != key[:-1]) | (comp[1:] != comp[:-1])))) - 1
-        ends = np.append(np.flatnonzero(np.diff(run)) + 1, len(key))
-        at = np.arange(len(key))
-        to = ends[run]
-        while True:
-            on = to < len(key)
-            at, to = at[on], to[on]
-            on = key[at] == key[to]
-            at, to = at[on], to[on]
-            if not len(at):
-                break
-            small, large = np.minimum(n[at], n[to]), np.maximum(n[at], n[to])
-            good = DEN * small >= NUM * large
-            a, b = at[good], to[good]
-            for i in range(0, len(a), 20_000):
-                x, y = a[i : i + 20_000], b[i : i + 20_000]
-                apart = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64)
-                close = (NUM + DEN) * apart <= (DEN - NUM) * (n[x] + n[y])
-                x, y = x[close], y[close]
-                if len(x):
-                    both = np.sort(np.stack((node[x], node[y]), axis=1), axis=1)
-                    both = np.unique(both, axis=0)
-                    yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
-            to = to + 1
+        if low == high and left[of_key[i]] <= 0:
+            held_back[of_key[i]] = True
+            continue
+        found.append((a, b))
+        if low == high:
+            left[of_key[i]] -= 1
+        else:
+            joined[max(low, high)] = min(low, high)
+    if found:
+        while (joined[joined] != joined).any():
+            joined[:] = joined[joined]
+    return found
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -379,6 +428,18 @@ def _merged(groups: DataFrame, links: DataFrame) -> DataFrame:
     return written(merged, "groups")
 
 
+def _open_pairs(shared: DataFrame, groups: DataFrame, chosen: DataFrame, failed: DataFrame, room: int) -> DataFrame:
+    """What `_across_components` finds in the keys of `shared` that lie across components."""
+    placed = shared.select("key", "node").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    across = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
+    tried = failed.groupBy(F.col("b").alias("node")).agg(F.collect_list("a").alias("tried"))
+    facts = chosen.select("node", "n", "bitmap").join(tried, "node", "left")
+    rows = placed.join(across.select("key"), "key").join(facts, "node")
+    rows = rows.select("key", "node", "component", "n", "bitmap", "tried").repartition("key")
+    rows = rows.sortWithinPartitions("key", "component", "node")
+    return rows.mapInArrow(tidy(_across_components(room)), "a long, b long, key long").distinct()
+
+
 def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The sets of all rows, (node, alone, component, component_id) of all nodes, (node, text) of those that share a key.
 
@@ -412,21 +473,22 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     groups = written(components(_links(nearest, near)), "groups")
     rest = _apart(first.join(nearest, ["a", "b"], "left_anti"), groups)
     groups = _merged(groups, _links(rest, near))
-    # Round two: keys that lie across components.
-    placed = shared.select("key", "node").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    across = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-    open_rows = placed.join(across.select("key"), "key").join(chosen.select("node", "n", "bitmap"), "node")
-    pairs = (
-        open_rows.select("key", "node", "component", "n", "bitmap")
-        .repartition("key")
-        .sortWithinPartitions("key", "component", "node")
-        .mapInArrow(tidy(_across_components), "a long, b long")
-        .distinct()
-        .join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    )
-    named = _merged(groups, _links(pairs, near))
+    # Round three: keys that lie across components, then those of them that hold pairs back.
+    failed, room = _apart(first, groups), 0
+    while True:
+        failed = written(failed, "failed")
+        found = written(_open_pairs(shared, groups, chosen, failed, room), "pairs")
+        pairs = found.where("key IS NULL").select("a", "b")
+        links = _links(pairs, near)
+        groups = _merged(groups, links)
+        again = found.where("key IS NOT NULL").select("key")
+        if again.isEmpty():
+            break
+        shared = written(shared.join(again, "key"), "shared")
+        failed = _apart(failed.union(pairs.join(links, ["a", "b"], "left_anti")), groups)
+        room = max(1, 8 * room)
     placed = sets.select("node", "doc_id").where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"))
-    placed = placed.join(named, "node", "left").withColumn("alone", F.col("component").isNull())
+    placed = placed.join(groups, "node", "left").withColumn("alone", F.col("component").isNull())
     placed = placed.withColumn("component", F.coalesce("component", "node"))
     least = placed.groupBy("component").agg(F.min("least").alias("component_id"))
     of_node = written(placed.join(least, "component").select("node", "alone", "component", "component_id"), "named")

@@ -113,3 +113,39 @@ def test_names_of_its_own_may_be_taken(spark):
     docs = spark.createDataFrame([(1, "a b", 5, 6, 7), (2, "a b", 5, 6, 7)], "doc_id long, text string, _hash long, _kept long, _ID long")
     kept = jj.one_of_each(docs)
     assert kept.columns == docs.columns and [tuple(r) for r in kept.collect()] == [(1, "a b", 5, 6, 7)]
+
+
+def candidates(n, tried, room):
+    """Pairs that a key offers for n sets alike by size and bitmap, each its own component."""
+    import pyarrow as pa
+
+    rows = {
+        "key": pa.array([7] * n), "node": pa.array(range(n)), "component": pa.array(range(n)),
+        "n": pa.array([40] * n), "bitmap": pa.array([bytes(jj.BITS // 8)] * n, pa.binary()),
+        "tried": pa.array([tried.get(i) for i in range(n)], pa.list_(pa.int64())),
+    }
+    found = jj._across_components(room)([pa.RecordBatch.from_pydict(rows)])
+    return [(a, b) for batch in found for a, b, key in zip(*(c.to_pylist() for c in batch.columns)) if key is None]
+
+
+def test_a_key_offers_a_forest_of_its_sets():
+    pairs = candidates(300, {}, 0)
+    assert len(pairs) == 299 and {n for p in pairs for n in p} == set(range(300))
+    # A pair that failed is not tried again, others take its place.
+    again = candidates(300, {b: [b - 1] for b in range(1, 300)}, 0)
+    assert len(again) == 299 and all(b - a > 1 for a, b in again)
+    # With more room every pair is met in the end, once.
+    every = candidates(20, {}, 64)
+    assert len(every) == len(set(every)) == 190
+
+
+def test_near_copies_around_texts_that_are_far_from_each_other(spark):
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(150):
+        words = list(base)
+        for at in rng.sample(range(60), 3):
+            words[at] = f"x{rng.randrange(6)}"
+        rows.append((i, " ".join(words)))
+    assert result(spark, rows) == brute(rows)
