@@ -11,7 +11,10 @@ from pyspark.sql import types as T
 
 from ordina.config import series_schema, subject_schema
 from ordina.session import written
-from ordina.sources.versions import publish, table_path
+from ordina.sources.versions import path_exists, publish, table_path
+
+# Rows of the ids that have no folder of their own; readers of the folders skip the name.
+SHARED = "_shared"
 
 
 def scan_subjects(
@@ -36,7 +39,7 @@ def scan_series(
     schema: T.StructType | None = None,
     id_col: str = "id",
 ) -> DataFrame:
-    """All `id=<value>` folders below `root` as one table.
+    """All `id=<value>` folders below `root`, and the rows of ids without one, as one table.
 
     Naming the id column in the schema as a string keeps ids such as `0012` or
     `1e5` as they are written in the folder names.
@@ -44,7 +47,9 @@ def scan_series(
     schema = schema or series_schema()
     if not isinstance(schema[id_col].dataType, T.StringType):
         raise ValueError(f"{id_col} must be a string in the series schema")
-    return spark.read.schema(schema).parquet(root)
+    reader = spark.read.schema(schema)
+    folders, shared = reader.parquet(root), f"{root}/{SHARED}"
+    return folders.unionByName(reader.parquet(shared)) if path_exists(spark, shared) else folders
 
 
 def scan_table(spark: SparkSession, path: str) -> DataFrame:
@@ -125,17 +130,23 @@ def publish_results(tables: Mapping[str, DataFrame], root: str) -> None:
     publish({name: (df, ()) for name, df in tables.items()}, root)
 
 
-def write_series(df: DataFrame, root: str, id_col: str = "id", rows_per_file: int = 5_000_000) -> None:
+def write_series(
+    df: DataFrame, root: str, id_col: str = "id", rows_per_file: int = 5_000_000, max_folders: int = 1_000
+) -> None:
     """Write a series in the folder-per-id layout `scan_series` reads.
 
-    An id gets one file for each `rows_per_file` rows, written by as many tasks. Only
-    ids above that are counted out to the tasks, and there are few of them: at most
-    one in `rows_per_file` rows.
+    The `max_folders` ids with the most rows get a folder, so that files do not multiply
+    with the ids; rows of all other ids share files, which need no shuffle. An id gets one
+    file for each `rows_per_file` rows of its folder, written by as many tasks.
     """
-    large = df.groupBy(F.col(id_col).alias("__id")).agg(F.count(F.lit(1)).alias("__n"))
-    files = F.ceil(F.col("__n") / F.lit(rows_per_file)).cast("int")
-    large = large.where(F.col("__n") > rows_per_file).select("__id", files.alias("__files"))
-    spread = F.pmod(F.xxhash64(*[c for c in df.columns if c != id_col]), F.coalesce("__files", F.lit(1)))
-    rows = df.join(large, F.col(id_col) == F.col("__id"), "left").withColumn("__salt", spread)
-    dealt = rows.repartition(id_col, "__salt").select(*[f"`{c}`" for c in df.columns])
-    dealt.write.partitionBy(id_col).parquet(root)
+    counts = df.groupBy(F.col(id_col).alias("__id")).agg(F.count(F.lit(1)).alias("__n"))
+    # A folder's name cannot tell an empty id from a missing one.
+    named = counts.where(F.length(F.col("__id").cast("string")) > 0)
+    files = F.ceil(F.col("__n") / F.lit(rows_per_file)).cast("int").alias("__files")
+    largest = named.orderBy(F.desc("__n"), "__id").limit(max_folders).select("__id", files)
+    largest = F.broadcast(written(largest, "largest"))
+    mine, columns = F.col(id_col) == F.col("__id"), [f"`{c}`" for c in df.columns]
+    spread = F.pmod(F.xxhash64(*[c for c in df.columns if c != id_col]), F.col("__files"))
+    rows = df.join(largest, mine).withColumn("__salt", spread)
+    rows.repartition(id_col, "__salt").select(*columns).write.partitionBy(id_col).parquet(root)
+    df.join(largest, mine, "left_anti").select(*columns).write.parquet(f"{root}/{SHARED}")

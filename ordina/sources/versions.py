@@ -27,8 +27,12 @@ def _files(spark: SparkSession, path: str):
     return _path(spark, path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    return _files(spark, path).exists(_path(spark, path))
+
+
 def _read_json(spark: SparkSession, path: str) -> dict | None:
-    if not _files(spark, path).exists(_path(spark, path)):
+    if not path_exists(spark, path):
         return None
     # Spark's readers skip files whose names begin with an underscore.
     stream = _files(spark, path).open(_path(spark, path))

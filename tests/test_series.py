@@ -66,6 +66,21 @@ def test_ids_keep_their_spelling(spark, tmp_path):
     assert sorted(r.id for r in found.select("id").collect()) == ["0012", "1e5", "ab"]
 
 
+def test_small_ids_share_files(spark, tmp_path):
+    """Only the largest ids get a folder, so files do not multiply with ids; no row is lost."""
+    path = tmp_path / "series"
+    columns = {f.name: F.lit(0).cast(f.dataType) for f in series_schema().fields if f.name != "id"}
+    ids = ["a"] * 3 + ["b"] * 5 + ["c", "d", "d", "", None, "0012", "d"]
+    rows = spark.createDataFrame([(i,) for i in ids], "id string").withColumns(columns)
+    tables.write_series(rows, str(path), rows_per_file=2, max_folders=2)
+    assert sorted(p.name for p in path.glob("id=*")) == ["id=a", "id=b"]
+    found = tables.scan_series(spark, str(path))
+    assert found.columns == rows.select(*found.columns).columns and len(found.columns) == len(rows.columns)
+    assert sorted(r.id or repr(r.id) for r in found.collect()) == sorted(i or repr(i) for i in ids)
+    tables.write_series(rows, str(tmp_path / "none"), max_folders=0)
+    assert tables.scan_series(spark, str(tmp_path / "none")).count() == len(ids)
+
+
 def test_anchor_filter_reaches_the_scan(spark, tmp_path, capsys):
     path = str(tmp_path / "series")
     columns = {f.name: F.lit(0).cast(f.dataType) for f in series_schema().fields if f.name != "id"}
