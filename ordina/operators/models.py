@@ -26,6 +26,12 @@ from ordina.session import fresh_path, shared_dir, written
 PRED = "pred"
 # Trees take a category's values as bins; more than these are hashed.
 MAX_LABELS = 1_024
+# Wider aggregates are no longer compiled as a whole.
+COLUMNS_AT_ONCE = 32
+# A fit keeps four bytes for each train row and slot until its last tree.
+FIT_BYTES_AT_ONCE = 1_000_000_000
+# Every task of a fit sends the statistics of all slots and bins, however few its rows.
+FIT_TASKS_PER_CORE = 3
 
 
 # --- feature vectors ---------------------------------------------------------
@@ -49,6 +55,7 @@ class FeatureSpace:
     top_codes: dict[str, int]
     labels: dict[str, tuple[str, ...]] = field(default_factory=dict)
     hashed: dict[str, int] = field(default_factory=dict)
+    train_rows: int = field(default=0, compare=False)
 
     @property
     def features(self) -> list[str]:
@@ -164,19 +171,10 @@ def feature_spaces(
 def _numeric_spaces(
     df: DataFrame, numeric: Sequence[str], codes: Sequence[str], n_fold: int, info_col: str
 ) -> list[FeatureSpace]:
-    parts = (
-        df.groupBy(info_col)
-        .agg(
-            F.count(F.lit(1)).alias("__rows"),
-            *[F.expr(f"sum({_present_sql(c)}) AS s{i}") for i, c in enumerate(numeric)],
-            *[F.expr(f"count({_present_sql(c)}) AS n{i}") for i, c in enumerate(numeric)],
-            *[F.expr(f"CAST(max(`{c}`) AS INT) AS m{i}") for i, c in enumerate(codes)],
-        )
-        .collect()
-    )
+    parts = _train_parts(df, numeric, codes, info_col)
     spaces = []
     for k in range(n_fold):
-        train = [r for r in parts if r[info_col] and r[info_col].split(", ")[k] == "t"]
+        train = [r for info, r in parts.items() if info and info.split(", ")[k] == "t"]
         rows = sum(r["__rows"] for r in train)
         fills, flagged, tops = {}, [], {}
         for i, c in enumerate(numeric):
@@ -186,10 +184,25 @@ def _numeric_spaces(
                 flagged.append(c)
         for i, c in enumerate(codes):
             tops[c] = max((r[f"m{i}"] for r in train if r[f"m{i}"] is not None), default=-1)
-        spaces.append(FeatureSpace(fills, tuple(flagged), tops))
+        spaces.append(FeatureSpace(fills, tuple(flagged), tops, train_rows=rows))
     return spaces
 
 
+def _train_parts(df: DataFrame, numeric: Sequence[str], codes: Sequence[str], info_col: str) -> dict[str, dict]:
+    """Per `fold_info` its rows, sums, counts and maxima, a few columns at a time."""
+    aggs = [
+        [F.expr(f"sum({_present_sql(c)}) AS s{i}"), F.expr(f"count({_present_sql(c)}) AS n{i}")]
+        for i, c in enumerate(numeric)
+    ]
+    aggs += [[F.expr(f"CAST(max(`{c}`) AS INT) AS m{i}")] for i, c in enumerate(codes)]
+    parts: dict[str, dict] = {}
+    for first in range(0, max(1, len(aggs)), COLUMNS_AT_ONCE):
+        some = [a for listed in aggs[first : first + COLUMNS_AT_ONCE] for a in listed]
+        for r in df.groupBy(info_col).agg(F.count(F.lit(1)).alias("__rows"), *some).collect():
+            parts.setdefault(r[info_col], {}).update(r.asDict())
+    return parts
+
+
 # --- fold models -------------------------------------------------------------
 
 
@@ -360,18 +373,23 @@ def cv_fit(
 ) -> list[FoldModel]:
     """One regressor per fold, fitted on the fold's train rows.
 
-    Folds are independent Spark jobs, so a few of them are submitted at once.
+    Folds are independent Spark jobs, so a few of them are submitted at once, as many
+    as `FIT_BYTES_AT_ONCE` has room for. A fit has at most `FIT_TASKS_PER_CORE` tasks a
+    core, so that the statistics it shuffles for each tree do not grow with the rows.
     """
     spaces = feature_spaces(df, numeric, codes, n_fold, info_col, as_text, max_labels)
     shared_dir(df.sparkSession)  # boosting checkpoints its residuals there
+    tasks = FIT_TASKS_PER_CORE * df.sparkSession.sparkContext.defaultParallelism
+    size = max((4 * s.train_rows * len(s.slot_owners) for s in spaces), default=0)
+    parallelism = min(parallelism, n_fold, max(1, FIT_BYTES_AT_ONCE // max(1, size)))
 
     def fit(k: int) -> FoldModel:
         train = df.where(fold_entry(info_col, k) == "t")
         labelled = train.withColumn("__label", F.col(target).cast("double"))
-        model = estimator(spaces[k]).fit(spaces[k].assemble(labelled, ["__label"]))
+        model = estimator(spaces[k]).fit(spaces[k].assemble(labelled, ["__label"]).coalesce(tasks))
         return FoldModel(k, spaces[k], model)
 
-    with ThreadPool(min(parallelism, n_fold)) as pool:
+    with ThreadPool(parallelism) as pool:
         return pool.map(inheritable_thread_target(df.sparkSession)(fit), range(n_fold))
 
 

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import itertools
 import math
+import time
 
 import numpy as np
 import pandas as pd
@@ -67,6 +68,47 @@ def test_feature_spaces_see_train_rows_only(gold):
         assert space.slot_owners == ["a", "b", "b", "c"]
 
 
+class _Watched:
+    """An estimator that only tells what it is given, and how many fit beside it."""
+
+    def __init__(self):
+        self.tasks, self.now, self.most = [], 0, 0
+
+    def fit(self, df):
+        self.now += 1
+        self.most = max(self.most, self.now)
+        self.tasks.append(df.rdd.getNumPartitions())
+        time.sleep(0.3)
+        self.now -= 1
+
+
+def test_fits_have_bounded_tasks(gold):
+    """Each task of a fit shuffles the statistics of all slots, so their number must not grow with the table."""
+    watched = _Watched()
+    models.cv_fit(gold.repartition(500), ["a", "b"], ["c"], "sii", lambda space: watched, N_FOLD)
+    cores = gold.sparkSession.sparkContext.defaultParallelism
+    assert watched.tasks == [models.FIT_TASKS_PER_CORE * cores] * N_FOLD
+    assert watched.most > 1
+
+
+def test_large_fits_run_one_by_one(gold, monkeypatch):
+    """Fits keep their binned train rows; only as many run at once as there is room for."""
+    monkeypatch.setattr(models, "FIT_BYTES_AT_ONCE", 1)
+    watched = _Watched()
+    models.cv_fit(gold, ["a", "b"], ["c"], "sii", lambda space: watched, N_FOLD)
+    assert len(watched.tasks) == N_FOLD and watched.most == 1
+
+
+def test_feature_spaces_of_many_columns(gold, monkeypatch):
+    """Statistics taken a few columns at a time are those of one pass."""
+    whole = models.feature_spaces(gold, ["a", "b"], ["c"], N_FOLD)
+    monkeypatch.setattr(models, "COLUMNS_AT_ONCE", 1)
+    apart = models.feature_spaces(gold, ["a", "b"], ["c"], N_FOLD)
+    assert [(s.flagged, s.top_codes, s.train_rows) for s in apart] == [(s.flagged, s.top_codes, s.train_rows) for s in whole]
+    for x, y in zip(apart, whole):
+        assert x.fills == pytest.approx(y.fills)
+
+
 def test_vectors(spark):
     space = models.FeatureSpace({"a": 9.0}, ("a",), {"c": 2}, {"s": ("1", "none", "it's")})
     rows = [(1.0, 2, "1"), (float("nan"), None, None), (None, 7, "it's"), (0.0, -1, "new")]
