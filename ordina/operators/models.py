@@ -21,15 +21,15 @@ from ordina.functions.classes import fold_entry, round_half_even, round_to_class
 from ordina.operators import trees
 from ordina.operators.encode import category_rows, fill_none_columns, label_counts
 from ordina.operators.metrics import Metric, cell_counts, kappa_of_cells
-from ordina.session import fresh_path, shared_dir, written
+from ordina.session import LOST_ROWS, fresh_path, kept_rows, shared_dir, written
 
 PRED = "pred"
 # Trees take a category's values as bins; more than these are hashed.
 MAX_LABELS = 1_024
 # Wider aggregates are no longer compiled as a whole.
 COLUMNS_AT_ONCE = 32
-# A fit keeps four bytes for each train row and slot until its last tree.
-FIT_BYTES_AT_ONCE = 1_000_000_000
+# A fit keeps twelve bytes for each train row and slot until its last tree: the value and its bin.
+FIT_BYTES_AT_ONCE = 3_000_000_000
 # Every task of a fit sends the statistics of all slots and bins, however few its rows.
 FIT_TASKS_PER_CORE = 3
 
@@ -376,23 +376,39 @@ def cv_fit(
     Folds are independent Spark jobs, so a few of them are submitted at once, as many
     as `FIT_BYTES_AT_ONCE` has room for. A fit has at most `FIT_TASKS_PER_CORE` tasks a
     core, so that the statistics it shuffles for each tree do not grow with the rows.
+    Trees pass over their rows several times before they bin them; the vectors are made
+    once and kept for these passes, on disk where memory is short.
     """
     spaces = feature_spaces(df, numeric, codes, n_fold, info_col, as_text, max_labels)
     shared_dir(df.sparkSession)  # boosting checkpoints its residuals there
     tasks = FIT_TASKS_PER_CORE * df.sparkSession.sparkContext.defaultParallelism
-    size = max((4 * s.train_rows * len(s.slot_owners) for s in spaces), default=0)
+    size = max((12 * s.train_rows * len(s.slot_owners) for s in spaces), default=0)
     parallelism = min(parallelism, n_fold, max(1, FIT_BYTES_AT_ONCE // max(1, size)))
 
     def fit(k: int) -> FoldModel:
         train = df.where(fold_entry(info_col, k) == "t")
         labelled = train.withColumn("__label", F.col(target).cast("double"))
-        model = estimator(spaces[k]).fit(spaces[k].assemble(labelled, ["__label"]).coalesce(tasks))
+        rows = spaces[k].assemble(labelled, ["__label"]).coalesce(tasks)
+        learner = estimator(spaces[k])
+        # Others read their rows once.
+        model = _fit_on_kept(learner, rows) if hasattr(learner, "maxBins") else learner.fit(rows)
         return FoldModel(k, spaces[k], model)
 
     with ThreadPool(parallelism) as pool:
         return pool.map(inheritable_thread_target(df.sparkSession)(fit), range(n_fold))
 
 
+def _fit_on_kept(learner: Estimator, rows: DataFrame) -> Model:
+    """The model of rows that are made once; if an executor takes its part away, of rows made anew."""
+    try:
+        with kept_rows(rows) as kept:
+            return learner.fit(kept)
+    except Exception as failed:
+        if LOST_ROWS not in str(failed):
+            raise
+    return learner.fit(rows)
+
+
 def boosted_trees(iterations: int = 20, depth: int = 3, step: float = 0.1, seed: int = 0):
     """Estimator factory for gradient-boosted trees."""
     from pyspark.ml.regression import GBTRegressor

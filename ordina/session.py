@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
+# The error of a job that needs kept rows which went with their executor.
+LOST_ROWS = "CHECKPOINT_RDD_BLOCK_ID_NOT_FOUND"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach, as the cluster names it.
@@ -34,3 +39,18 @@ def written(df: DataFrame, label: str, partition_by: Sequence[str] = ()) -> Data
     path = fresh_path(spark, label)
     df.write.partitionBy(*partition_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path).select(*[f"`{c}`" for c in df.columns])
+
+
+@contextmanager
+def kept_rows(df: DataFrame) -> Iterator[DataFrame]:
+    """`df` with its rows kept by the executors, for several passes; freed at the end.
+
+    Rows are kept as they are, so a pass does not decode columns as that of a cached table
+    does. They are not made again: a job that needs those of a lost executor fails with
+    `LOST_ROWS`.
+    """
+    kept = df.localCheckpoint(storageLevel=StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield kept
+    finally:
+        kept._jdf.queryExecution().analyzed().rdd().unpersist(False)

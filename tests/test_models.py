@@ -99,6 +99,49 @@ def test_large_fits_run_one_by_one(gold, monkeypatch):
     assert len(watched.tasks) == N_FOLD and watched.most == 1
 
 
+class _Passing:
+    """An estimator for trees that passes over its rows twice and tells how often they were made."""
+
+    maxBins = None
+
+    def __init__(self, made, loses=False):
+        self.made, self.loses, self.told, self.rows = made, loses, [], []
+
+    def fit(self, df):
+        before = self.made.value
+        self.rows += [df.agg(F.sum("__label")).first()[0], df.agg(F.sum("__label")).first()[0]]
+        self.told.append(self.made.value - before)
+        if self.loses and len(self.told) == 1:
+            raise RuntimeError("[CHECKPOINT_RDD_BLOCK_ID_NOT_FOUND] Checkpoint block rdd_1_1 not found!")
+
+
+def _counted_labels(gold, made):
+    def seen(y):
+        made.add(1)
+        return y
+
+    return gold.withColumn("y", F.udf(seen, "int")("sii"))
+
+
+def test_rows_of_a_fit_are_made_once(gold):
+    """Trees pass over their rows several times; the vectors are made before that and freed after."""
+    context = gold.sparkSession.sparkContext
+    passing = _Passing(context.accumulator(0))
+    gold.count()  # it is cached itself
+    kept = set(context._jsc.getPersistentRDDs())
+    models.cv_fit(_counted_labels(gold, passing.made), ["a", "b"], ["c"], "y", lambda space: passing, N_FOLD, parallelism=1)
+    assert passing.told == [0] * N_FOLD and passing.made.value == 180 * (N_FOLD - 1)
+    assert passing.rows[::2] == passing.rows[1::2]
+    assert set(context._jsc.getPersistentRDDs()) <= kept
+
+
+def test_lost_rows_of_a_fit_are_made_again(gold):
+    """A fit whose kept rows went with an executor takes them from the table."""
+    passing = _Passing(gold.sparkSession.sparkContext.accumulator(0), loses=True)
+    models.cv_fit(_counted_labels(gold, passing.made), ["a", "b"], ["c"], "y", lambda space: passing, 1)
+    assert passing.told == [0, 240] and len(set(passing.rows)) == 1
+
+
 def test_feature_spaces_of_many_columns(gold, monkeypatch):
     """Statistics taken a few columns at a time are those of one pass."""
     whole = models.feature_spaces(gold, ["a", "b"], ["c"], N_FOLD)
