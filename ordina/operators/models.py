@@ -25,7 +25,7 @@ from ordina.session import LOST_ROWS, fresh_path, kept_rows, shared_dir, written
 
 PRED = "pred"
 # Trees take a category's values as bins; more than these are hashed.
-MAX_LABELS = 1_024
+MAX_LABELS = 4_096
 # Wider aggregates are no longer compiled as a whole.
 COLUMNS_AT_ONCE = 32
 # A fit keeps twelve bytes for each train row and slot until its last tree: the value and its bin.
