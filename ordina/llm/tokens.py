@@ -8,6 +8,8 @@ import string
 import unicodedata
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 CACHED_WORDS = 800_000
@@ -37,6 +39,20 @@ SPLITTER = {
 }
 
 
+def _latin(text: str) -> bool:
+    """Whether the normaliser does no more to the letters of `text` than `lower`: Latin-1."""
+    try:
+        return text.isascii() or bool(text.encode("latin-1"))
+    except UnicodeEncodeError:
+        return False
+
+
+def _spaced(text: str | None) -> str:
+    """`text` with spaces for line feeds; small where that is what the normaliser makes of it."""
+    text = (text or "").replace("\n", " ")
+    return text.lower() if _latin(text) else text
+
+
 class Encoder:
     """Ids of whole texts, each closed by the id `end`.
 
@@ -51,14 +67,16 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         made = json.loads(self.tokenizer.to_str())
         self.by_words = made["normalizer"] == NORMALISER and made["pre_tokenizer"] == SPLITTER
-        # Small ASCII letters need no normaliser, and no splitter but the space between words.
-        bare = {**made, "normalizer": None, "pre_tokenizer": {"type": "CharDelimiterSplit", "delimiter": " "}}
+        # Small Latin-1 letters need no normaliser, and no splitter but the space between words.
+        spaces = {"type": "CharDelimiterSplit", "delimiter": " "}
+        as_bytes = SPLITTER["pretokenizers"][1]
+        bare = {**made, "normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [spaces, as_bytes]}}
         self.small = Tokenizer.from_str(json.dumps(bare))
         suffix = made["model"].get("end_of_word_suffix")
         self.closes = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
         if suffix:
             self.closes[[i for piece, i in self.tokenizer.get_vocab().items() if piece.endswith(suffix)]] = True
-        self.end, self.cached = np.array([end], "<u4").tobytes(), cached
+        self.end, self.cached = np.array([end], "<u4"), cached
         self.known: dict[str, bytes] = {"": b""}
 
     def _ids(self, texts: list[str], tokenizer: Tokenizer | None = None) -> list[bytes]:
@@ -80,7 +98,7 @@ class Encoder:
                 out += self._ids(some)
         return out
 
-    def _learn(self, words: set[str]) -> None:
+    def _learn(self, words: list[str]) -> None:
         """Letters before closing marks are pieces of their own, and small letters after lower-casing.
 
         Letters whose composed small form is more than letters, such as a dotted capital I,
@@ -89,11 +107,12 @@ class Encoder:
         plain, letters, whole, apart = set(), set(), set(), []
         for word in words:
             core = word.rstrip(MARKS)
-            bare = core.lower() if core.isascii() else unicodedata.normalize("NFC", core).lower()
+            latin = _latin(core)
+            bare = core.lower() if latin else unicodedata.normalize("NFC", core).lower()
             if not bare.isalpha():
                 whole.add(word)
                 continue
-            if bare.isascii():
+            if latin:
                 plain.add(bare)
             else:
                 bare = core
@@ -108,22 +127,29 @@ class Encoder:
         known.update(zip(whole, self._ids(whole)))
         known.update((word, known[bare] + known[marks]) for word, bare, marks in apart)
 
+    def _ids_of_words(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words; those not met before are learnt."""
+        found = list(map(self.known.get, words))
+        gaps = [i for i, x in enumerate(found) if x is None]
+        if gaps:
+            self._learn([words[i] for i in gaps])
+            for i in gaps:
+                found[i] = self.known[words[i]]
+        return found
+
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         if not self.by_words:
-            return [np.frombuffer(x + self.end, "<u4") for x in self._ids([x or "" for x in texts])]
+            return [np.append(np.frombuffer(x, "<u4"), self.end) for x in self._ids([x or "" for x in texts])]
         if len(self.known) > self.cached:
             self.known = {"": b""}
-        split = [x.replace("\n", " ").split(" ") if x else [] for x in texts]
-        # Each word is looked up once; those that were not there are filled in afterwards.
-        found = [list(map(self.known.get, words)) for words in split]
-        gaps = [(k, [i for i, x in enumerate(ids) if x is None]) for k, ids in enumerate(found) if None in ids]
-        if gaps:
-            self._learn({split[k][i] for k, at in gaps for i in at})
-            for k, at in gaps:
-                words, ids = split[k], found[k]
-                for i in at:
-                    ids[i] = self.known[words[i]]
-        return [np.frombuffer(b"".join(ids) + self.end, "<u4") for ids in found]
+        split = pc.split_pattern(pa.array([_spaced(x) for x in texts], pa.large_string()), " ")
+        # Each distinct word is looked up once; its ids are then taken for every place of it.
+        words = split.flatten().dictionary_encode()
+        found = self._ids_of_words(words.dictionary.to_numpy(zero_copy_only=False).tolist())
+        ids = pa.array(found, pa.large_binary()).take(words.indices)
+        ends = np.frombuffer(ids.buffers()[1], np.int64)[split.offsets.to_numpy()].tolist()
+        whole = ids.buffers()[2]
+        return [np.append(np.frombuffer(whole[a:b], "<u4"), self.end) for a, b in zip(ends, ends[1:])]
 
 
 _ENCODERS: dict[tuple[str, int], Encoder] = {}

@@ -40,3 +40,27 @@ def test_other_vocabularies_get_whole_texts():
     other = Encoder(public_tokenizers.path("byte_bpe_50k.json"), 2)
     assert not other.by_words
     assert [x.tolist() for x in other.encode(["Two  words.\n\nx", None])] == [*whole(other, ["Two  words.\n\nx"]), [2]]
+
+
+def test_each_distinct_word_is_looked_up_once():
+    asked = []
+
+    class Known(dict):
+        def get(self, word):
+            asked.append(word)
+            return super().get(word)
+
+    encoder = Encoder(public_tokenizers.path("word_bpe_49k.json"), 2)
+    encoder.known = Known(encoder.known)
+    texts = ["The the Été. été.\n" * 500, None, "THE  été."]
+    assert [x.tolist() for x in encoder.encode(texts)] == whole(encoder, [x or "" for x in texts])
+    assert sorted(asked) == ["", "the", "été."]
+
+
+def test_latin_letters_and_marks(encoder):
+    """All pairs of Latin-1 characters, in a text of them alone and beside another letter."""
+    latin = [chr(c) for c in range(256)]
+    for a in latin:
+        pairs = " ".join(f"{a}{b}" for b in latin)
+        texts = [pairs, f"{pairs} ł", pairs.replace(" ", " É") + " <|ENDOFTEXT|> K\u212a. E\u0301 H\u0331!"]
+        assert [x.tolist() for x in encoder.encode(texts)] == whole(encoder, texts)
